@@ -69,15 +69,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, spaced
     """Pieces of at most ``size`` tokens: only a longer document is cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache(tokenizer, spaced)
+        cache = worker_cache(tokenizer, spaced, lower=True)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             _, offs = textops.text_buffer(batch.column(1))
             for i, j in textops.slices(offs):
                 ids = batch.column(0).slice(i, j - i).to_pylist()
                 out = [[], [], [], [], []]
-                for doc, x in zip(ids, cache.many([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])):
-                    got = memoryview(x + end)
+                for doc, x in zip(ids, batch.column(1).slice(i, j - i).to_pylist()):
+                    got = memoryview(cache.ids(x or "") + end)
                     for p, a in enumerate(range(0, len(got), 4 * size)):
                         part = got[a : a + 4 * size]
                         for column, v in zip(out, (doc, p, a // 4, len(part) // 4, zlib.crc32(part))):

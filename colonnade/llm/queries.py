@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokenfile
+from . import langid, mixing, mtree, packing, rpforest, tokenfile, urlfilter
 from .shared import scratch
 
 
+#: The rules that op9 applies.
+URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file; the same on every machine that has the package."""
     import public_tokenizers
@@ -26,10 +30,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    profiles = langid.learn(docs.where(~held_out).select("text", "lang"))
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), size=4096, end_id=1)
 
 
+def op5_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = mtree.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return mtree.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.link_near(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", limit=0.95)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [urlfilter.parse(r) for r in URL_RULES]
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -38,7 +68,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mix_sources": op1_mix_sources,
+        "op3_language_id": op3_language_id,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_mtree_top_k": op5_mtree_top_k,
+        "op8_near_vectors": op8_near_vectors,
+        "op9_url_filter": op9_url_filter,
         "op10_token_files": op10_token_files,
     }
 

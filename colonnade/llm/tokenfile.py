@@ -34,13 +34,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache(tokenizer, spaced)
+        cache = worker_cache(tokenizer, spaced, lower=False)
         part, total = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             _, offs = textops.text_buffer(batch.column(1))
             for i, j in textops.slices(offs):
-                got = [x + end for x in cache.many([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])]
+                got = [cache.ids(t or "") + end for t in batch.column(1).slice(i, j - i).to_pylist()]
                 ends = np.cumsum([len(x) // 4 for x in got])
                 ids = pa.array(np.frombuffer(b"".join(got), np.int32))
                 rows = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), ids)

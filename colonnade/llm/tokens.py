@@ -3,92 +3,101 @@
 The ids are the ``tokenizers`` library's own: a text is cut only at single spaces
 between two non-white characters, where neither of the supported pre-tokenizers
 (byte-level with its usual pattern; word patterns that drop white space) can have a
-piece that crosses, so the pieces' ids joined are the text's ids.
+piece that crosses, so the pieces' ids joined are the text's ids.  A word of Latin-1
+letters, with full stops, commas or exclamation marks after it, is the two pieces the
+patterns make of it, which the library's model encodes without the steps before it.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 #: White space beside a space may join it in one piece; such texts are cut more carefully.
-_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+_WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = ".,!"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a printable byte as its Latin-1 character, the others as U+0100 and on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
-class WordCache:
-    """``ids(text)`` as little-endian unsigned 32-bit integers.
+class WordCache(dict):
+    """Word -> its ids as little-endian unsigned 32-bit integers.
 
     ``spaced``: a word's ids depend on whether a space stands before it (byte-level
-    vocabularies).  At most ``most`` words are kept; the cache then starts anew.
+    vocabularies); ``lower``: the tokenizer lower-cases.  A word is kept from its second
+    sight on (words seen once mark a place in a bit table), at most ``most`` of them.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 700_000):
+    def __init__(self, path: str, spaced: bool, lower: bool, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced, self.most = spaced, most
-        self.inner: dict[str, bytes] = {}
-        # Encoded between words, the mark is one id that comes from nothing else.
-        self.mark = "\t" if spaced else "\x01"
-        got = self.tok.encode(self.mark, add_special_tokens=False).ids
-        self.mark_id = got[0] if len(got) == 1 else None
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words: many as one text with marks between, which costs a sixth of a call for each."""
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace() and self.mark not in w] if self.mark_id is not None else []
-        if len(plain) < len(words):
-            taken = set(plain)
-            odd = [w for w in words if w not in taken]
-            self.inner.update(zip(odd, self._encode([" " + w for w in odd] if self.spaced else odd)))
-        if plain:
-            text = " " + f"{self.mark} ".join(plain) if self.spaced else f" {self.mark} ".join(plain)
-            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == self.mark_id)
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(plain, [*(4 * at).tolist(), len(raw)]):
-                self.inner[w] = raw[start:end]
-                start = end + 4
-
-    def _words(self, text: str) -> list[str]:
-        if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _WHITE):
-            return _CUT.split(text)
-        return text.split(" ")
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; words that are new to the cache are encoded together."""
-        out, cut = [], [self._words(t) for t in texts]
-        if self.spaced:
-            heads = self._encode([w[0] for w in cut])
-            for w in cut:
-                del w[0]
-        need = set().union(*cut)
-        new = need.difference(self.inner)
-        if len(self.inner) + len(new) > self.most:
-            # words that this slice uses stay, the others go
-            self.inner = {w: self.inner[w] for w in need.difference(new)}
-        if new:
-            self._learn(list(new))
-        get = self.inner.__getitem__
-        out = [b"".join(map(get, w)) for w in cut]
-        return [h + x for h, x in zip(heads, out)] if self.spaced else out
+        self.model = self.tok.model
+        self.spaced, self.lower, self.most = spaced, lower, most
+        self.letters = _byte_letters()
+        self.space = self.letters[32] if spaced else ""
+        self.marks: dict[str, bytes] = {}
+        self.seen = bytearray(1 << 21)
+
+    def _encode(self, text: str) -> bytes:
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        base = word.rstrip(_MARKS)
+        if base.isalpha() and (base.isascii() or max(base) <= "\xff"):
+            piece = base.lower() if self.lower else base
+            if not piece.isascii():
+                piece = piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(self.space + piece)]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(base) < len(word):
+                tail = word[len(base) :]
+                if tail not in self.marks:
+                    self.marks[tail] = self._encode(tail)
+                out += self.marks[tail]
+        else:
+            out = self._encode(" " + word if self.spaced else word)
+        h = hash(word) & 0xFFFFFF
+        bit = 1 << (h & 7)
+        if self.seen[h >> 3] & bit:
+            self[word] = out
+        else:
+            self.seen[h >> 3] |= bit
+        return out
 
     def ids(self, text: str) -> bytes:
-        return self.many([text])[0]
+        if len(self) > self.most:
+            self.clear()
+            self.marks.clear()
+            self.seen = bytearray(1 << 21)
+        if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _WHITE) or not (text.isascii() or _WIDE_WHITE.search(text) is None):
+            words = _CUT.split(text)
+        else:
+            words = text.split(" ")
+        if not self.spaced:
+            return b"".join(map(self.__getitem__, words))
+        head = self._encode(words[0]) if words[0] else b""
+        del words[0]
+        return head + b"".join(map(self.__getitem__, words))
 
 
-_caches: dict[tuple[str, bool], WordCache] = {}
+_caches: dict[tuple[str, bool, bool], WordCache] = {}
 
 
-def worker_cache(path: str, spaced: bool) -> WordCache:
+def worker_cache(path: str, spaced: bool, lower: bool) -> WordCache:
     """This worker process's cache, which its later tasks use too."""
-    if (path, spaced) not in _caches:
-        _caches[path, spaced] = WordCache(path, spaced)
-    return _caches[path, spaced]
+    key = (path, spaced, lower)
+    if key not in _caches:
+        _caches[key] = WordCache(*key)
+    return _caches[key]
