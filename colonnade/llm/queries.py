@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, mtree, packing, rpforest, tokenfile, urlfilter
+from . import langid, mixing, mtree, packing, rpforest, substring, tokenfile, urlfilter
 from .shared import scratch
 
 
@@ -35,6 +35,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return substring.word_digest(kept, "kept_text", "kept_sha256")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -69,6 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_language_id": op3_language_id,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_mtree_top_k": op5_mtree_top_k,

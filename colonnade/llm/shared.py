@@ -126,3 +126,11 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
     for g in group:
         cond = cond & local[g].eqNullSafe(before[f"_g_{g}"])
     return local.join(F.broadcast(before), cond).select(*[local[c] for c in df.columns], local["row_key"], (local[out] + F.col("_before")).alias(out))
+
+
+def input_bytes(df: DataFrame, col: str) -> int:
+    """About how many bytes ``df`` holds: Spark's estimate from its files, else the sum of ``col``."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 55:
+        return size
+    return int(df.agg(F.sum(F.octet_length(col))).first()[0] or 0)
