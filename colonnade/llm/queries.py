@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, mtree, packing, rpforest, substring, tokenfile, urlfilter
+from . import jaccard, langid, mixing, mtree, packing, rpforest, substring, tokenfile, urlfilter
 from .shared import scratch
 
 
@@ -56,6 +56,10 @@ def op5_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.link_near(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", limit=0.95)
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_mtree_top_k": op5_mtree_top_k,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_near_vectors": op8_near_vectors,
         "op9_url_filter": op9_url_filter,
         "op10_token_files": op10_token_files,
