@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, mtree, packing, rpforest, substring, tokenfile, urlfilter
-from .shared import scratch
+from . import html_render, jaccard, langid, mixing, mtree, packing, rpforest, substring, tokenfile, urlfilter
+from .shared import bounded_batches, scratch
 
 
 #: The rules that op9 applies.
@@ -27,6 +27,7 @@ def vocabulary(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +61,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.link_near(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", limit=0.95)
 
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_mtree_top_k": op5_mtree_top_k,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_html_text": op7_html_text,
         "op8_near_vectors": op8_near_vectors,
         "op9_url_filter": op9_url_filter,
         "op10_token_files": op10_token_files,

@@ -134,3 +134,10 @@ def input_bytes(df: DataFrame, col: str) -> int:
     if size < 1 << 55:
         return size
     return int(df.agg(F.sum(F.octet_length(col))).first()[0] or 0)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Arrow batches of whole texts of at most ``rows`` rows, unless the session has fewer already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
