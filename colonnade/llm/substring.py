@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textops
 from .fmindex import FMIndex
@@ -214,47 +215,71 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes
     return sent.groupBy("shard").applyInArrow(search, "doc_id bigint, start int, windows int")
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20) -> DataFrame:
-    """Every document with what is left of it: doc_id, n_words, n_removed, kept_text.
-
-    A word is removed if a window that covers it occurs earlier.  ``kept_text`` is the text
-    itself where nothing is removed, else the kept words joined by a space.  A null text
-    has no words and stays null; texts shorter than a window keep all their words.  Rows
-    with a null ``doc_id`` take no part, and of rows that share one the first stands (see
-    one_row_per_id).  Other columns are ignored.  An empty table gives no rows.
-    """
-    rows = one_row_per_id(docs, "doc_id", ["text"]).select(F.col("doc_id").cast("bigint"), "text")
-    spans = written(repeated_spans(rows, window, gram, shard_bytes), "spans")
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))  # within one text
+def _cut(joined: DataFrame, at: int, window: int) -> DataFrame:
+    """``joined`` (its last column: the spans) with n_words and n_removed in their place, and
+    the text in column ``at`` cut: itself where nothing is removed, else the kept words joined by a space."""
+    names = joined.columns[:-1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, offs = textops.text_buffer(b.column(1))
+            _, offs = textops.text_buffer(b.column(at))
             for i, j in textops.slices(offs):
                 part = b.slice(i, j - i)
-                data, own = textops.text_buffer(part.column(1))
+                data, own = textops.text_buffer(part.column(at))
                 w = textops.Words(data, own)
                 gone = np.zeros(len(w.start) + 1, np.int32)
-                lists = part.column(2)
+                lists = part.column(len(names))
                 row = np.repeat(np.arange(j - i), np.asarray(lists.value_lengths().fill_null(0)))
                 flat = lists.flatten()
-                at = w.first[row] + np.asarray(flat.field("start"))
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + np.asarray(flat.field("windows")) + window - 1, -1)
+                first = w.first[row] + np.asarray(flat.field("start"))
+                np.add.at(gone, first, 1)
+                np.add.at(gone, first + np.asarray(flat.field("windows")) + window - 1, -1)
                 gone = np.cumsum(gone[:-1]) > 0
                 total = np.append(0, np.cumsum(gone))
                 removed = total[w.first[1:]] - total[w.first[:-1]]
-                texts = part.column(1).to_pylist()
+                texts = part.column(at).to_pylist()
                 for k in np.flatnonzero(removed).tolist():
                     a, z = w.first[k], w.first[k + 1]
                     keep = np.flatnonzero(~gone[a:z]) + a
-                    # runs of kept words that single spaces join already are copied as they are
-                    pieces = [w.data[x:y].tobytes() for x, y in zip(w.start[keep].tolist(), w.end[keep].tolist())]
-                    texts[k] = b" ".join(pieces).decode()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+                    texts[k] = b" ".join(w.data[x:y].tobytes() for x, y in zip(w.start[keep].tolist(), w.end[keep].tolist())).decode()
+                cols = [pa.array(texts, pa.string()) if c == at else part.column(c) for c in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64))], names=[*names, "_n_words", "_n_removed"])
+
+    schema = T.StructType([*joined.select(*names).schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    return joined.mapInArrow(cut, schema)
+
+
+def _with_spans(docs: DataFrame, rows: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFrame:
+    spans = written(repeated_spans(rows, window, gram, shard_bytes), "spans")
+    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("_spans"))  # within one text
+    return docs.join(per_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_spans")
 
-    joined = rows.join(per_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20) -> DataFrame:
+    """Every document with what is left of it: doc_id, n_words, n_removed, kept_text.
+
+    A word is removed if a window that covers it occurs earlier.  ``kept_text`` is the text
+    itself where nothing is removed, else the kept words joined by a space.  A null text
+    has no words and stays null; texts shorter than a window keep all their words.  Rows
+    with a null ``doc_id`` take no part, and of rows that share one the first stands (see
+    one_row_per_id).  Other columns are ignored.  An empty table gives no rows.
+    """
+    rows = one_row_per_id(docs, "doc_id", ["text"]).select(F.col("doc_id").cast("bigint"), "text")
+    cut = _cut(_with_spans(rows, rows, window, gram, shard_bytes), 1, window)
+    return cut.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("text").alias("kept_text"))
+
+
+def remove_repeats_from(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` with its texts cut as by :func:`remove_repeats`, all its columns kept.
+
+    ``n_chars``, if there, becomes the new text's length.  Documents of which no word is left
+    go; those without words from the start stay.
+    """
+    docs = one_row_per_id(docs, "doc_id", [c for c in docs.columns if c != "doc_id"]).select(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+    cut = _cut(_with_spans(docs, rows, window, gram, shard_bytes), docs.columns.index("text"), window)
+    left = cut.where("_n_removed = 0 OR _n_removed < _n_words")
+    return left.select(*[F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def word_digest(df: DataFrame, text: str, out: str) -> DataFrame:
