@@ -219,7 +219,8 @@ def mix_sources(docs: DataFrame, block: int = 512, per_shard: int = 1024, seed:
         .select("rank", "block", "row_key", "doc_id", "source", "offset", F.greatest(F.col("block") * b, F.col("offset")).alias("a"), F.least((F.col("block") + 1) * b, F.col("offset") + F.col("size")).alias("z"))
     )
     end = F.least(F.col("z"), F.col("block") * b + F.col("take"))
-    spans = slots.join(parts, ["rank", "block"]).where(end > F.col("a")).select("shard", "slot", "source", "epoch", "block", "row_key", "doc_id", (F.col("a") - F.col("offset")).alias("start"), (end - F.col("a")).alias("n"))
+    # the slots' number isn't known to the planner, which would broadcast them
+    spans = slots.join(parts.hint("merge"), ["rank", "block"]).where(end > F.col("a")).select("shard", "slot", "source", "epoch", "block", "row_key", "doc_id", (F.col("a") - F.col("offset")).alias("start"), (end - F.col("a")).alias("n"))
     return Mix(sized, quotas, spans)
 
 
@@ -233,7 +234,7 @@ def taken_words(mix: Mix) -> DataFrame:
     per_source = spark.createDataFrame([(q.source, q.size, q.target) for q in mix.quotas], "_s string, source_size bigint, target double")
     taken = mix.spans.groupBy("row_key").agg(F.sum("n").alias("taken"))
     return (
-        mix.docs.join(taken, "row_key", "left")
+        mix.docs.join(taken.hint("merge"), "row_key", "left")
         .join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_s")))
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source")
     )
