@@ -1,8 +1,8 @@
 """Operator 10: token ids in ORC files.
 
 Files hold one row per document in ascending ``doc_id`` order: ``doc_id``, the
-ids as ``array<int>`` (stored by ORC's integer run-length encoding), and the ids
-before it in its file.  Row indexes and a Bloom filter on ``doc_id`` are written, so
+ids as ``array<int>`` (stored by ORC's integer run-length encoding), their number, and
+the ids before it in its file.  Row indexes and a Bloom filter on ``doc_id`` are written, so
 readers work stripe by stripe in parallel and a search for a document reads only
 stripes that may hold it.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .tokens import worker_cache
 
-FILE_SCHEMA = "doc_id bigint, part int, start_in_part bigint, tokens array<int>"
+FILE_SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, tokens array<int>"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced: bool = True, stripe_mb: int = 32, index_stride: int = 10_000, bloom_fpp: float = 0.01) -> None:
@@ -46,7 +46,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced
                 rows = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), ids)
                 before = total + np.append(0, ends[:-1])
                 total += int(ends[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(before), rows], names=["doc_id", "part", "start_in_part", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(before), pa.array(np.diff(np.append(0, ends))), rows], names=["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
 
     # The text goes through the shuffle, not its ids, which are larger.
     dealt = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -57,7 +57,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(index_stride))
         .option("orc.stripe.size", str(stripe_mb << 20))
-        .option("compression", "zstd")
+        .option("compression", "none")  # run-length encoding leaves little to compress
         .orc(path)
     )
 
@@ -76,13 +76,13 @@ def digest(files: DataFrame) -> DataFrame:
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column(3)
+            col = batch.column(4)
             offs = np.asarray(col.offsets)
             ids = memoryview(np.asarray(col.values).astype("<u4", copy=False)).cast("B")
             sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offs).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
     rows = files.mapInArrow(crc, "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids_crc32 bigint")
-    per_file = files.groupBy("part").agg(F.sum(F.size("tokens").cast("bigint")).alias("n"))
+    per_file = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = per_file.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("start_in_part") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -16,7 +16,7 @@ import struct
 
 #: White space beside a space may join it in one piece; such texts are cut more carefully.
 _WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_WIDE_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_WIDE_WHITE = "\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,!"
 
@@ -32,11 +32,12 @@ class WordCache(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers.
 
     ``spaced``: a word's ids depend on whether a space stands before it (byte-level
-    vocabularies); ``lower``: the tokenizer lower-cases.  A word is kept from its second
-    sight on (words seen once mark a place in a bit table), at most ``most`` of them.
+    vocabularies); ``lower``: the tokenizer lower-cases.  A cache of more than half of
+    ``most`` words takes a word at its second sight only (the first marks a place in a bit
+    table); one of ``most`` words starts anew.
     """
 
-    def __init__(self, path: str, spaced: bool, lower: bool, most: int = 400_000):
+    def __init__(self, path: str, spaced: bool, lower: bool, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,11 +57,13 @@ class WordCache(dict):
     def __missing__(self, word: str) -> bytes:
         base = word.rstrip(_MARKS)
         if base.isalpha() and (base.isascii() or max(base) <= "\xff"):
-            piece = base.lower() if self.lower else base
-            if not piece.isascii():
-                piece = piece.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(self.space + piece)]
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            out = self.get(base) if len(base) < len(word) else None
+            if out is None:
+                piece = base.lower() if self.lower else base
+                if not piece.isascii():
+                    piece = piece.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(self.space + piece)]
+                out = struct.pack(f"<{len(ids)}I", *ids)
             if len(base) < len(word):
                 tail = word[len(base) :]
                 if tail not in self.marks:
@@ -68,6 +71,9 @@ class WordCache(dict):
                 out += self.marks[tail]
         else:
             out = self._encode(" " + word if self.spaced else word)
+        if len(self) < self.most // 2:
+            self[word] = out
+            return out
         h = hash(word) & 0xFFFFFF
         bit = 1 << (h & 7)
         if self.seen[h >> 3] & bit:
@@ -81,7 +87,7 @@ class WordCache(dict):
             self.clear()
             self.marks.clear()
             self.seen = bytearray(1 << 21)
-        if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _WHITE) or not (text.isascii() or _WIDE_WHITE.search(text) is None):
+        if "  " in text or " \n" in text or "\n " in text or any(map(text.__contains__, _WHITE)) or not text.isascii() and any(map(text.__contains__, _WIDE_WHITE)):
             words = _CUT.split(text)
         else:
             words = text.split(" ")
