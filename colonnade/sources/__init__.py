@@ -1,0 +1,100 @@
+"""Reading and writing tables: presets for files, typed and schemaless reads, raw vectors."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.predicate import Option
+from ..operators.encode import PRESETS
+from ..operators.query import evolve, query, typed_subset
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, in local tests a folder of this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if jdir.isDefined():
+        return jdir.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    base = tempfile.mkdtemp(prefix="colonnade-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def write(df: DataFrame, path: str, preset: str = "balanced", mode: str = "errorifexists", zone_rows: int | None = None) -> None:
+    """Write Parquet under a preset; ``zone_rows``: rows of a page, whose minima and maxima prune."""
+    w = df.write.mode(mode).options(**PRESETS[preset])
+    if zone_rows:
+        w = w.option("parquet.page.row.count.limit", str(zone_rows))
+    w.parquet(path)
+
+
+def append(df: DataFrame, path: str, preset: str = "balanced") -> None:
+    write(df, path, preset, "append")
+
+
+def read(spark: SparkSession, path: str, *options: Option, target: T.StructType | None = None, fill: bool = False) -> DataFrame:
+    """Read Parquet under a query's options; ``target``: fields to read, checked, with ``fill``
+    those that the files lack as zero."""
+    df = spark.read.parquet(path)
+    if target is not None:
+        df = evolve(df, target) if fill else typed_subset(df, target)
+    return query(df, *options)
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    return (spark.read.schema(schema) if schema is not None else spark.read).json(path)
+
+
+def read_variant(spark: SparkSession, path: str, out: str = "value") -> DataFrame:
+    """JSON lines without a schema, each a variant."""
+    return spark.read.text(path).select(F.parse_json("value").alias(out))
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    df.write.mode(mode).option("header", "true").csv(path)
+
+
+def read_float32(spark: SparkSession, path: str, dims: int) -> DataFrame:
+    """(path, idx, vec) from files of little-endian 32-bit floats, ``dims`` a vector; a file's
+    rest that is no whole vector is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(raw) % (4 * dims):
+                    raise ValueError(f"{name}: {len(raw)} bytes are no vectors of {dims}")
+                x = np.frombuffer(raw, "<f4").reshape(-1, dims)
+                for i in range(0, len(x), 4096):
+                    part = x[i : i + 4096]
+                    rows = pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), dims).cast(pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(i, i + len(part))), rows], names=["path", "idx", "vec"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, idx bigint, vec array<float>")
+
+
+def batches(df: DataFrame, most_rows: int = 65_536) -> Iterator[pa.RecordBatch]:
+    """A table's rows as Arrow batches, one partition after the other, never all at once."""
+    part: list = []
+    schema = df.limit(0).toArrow().schema
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        part.append(row.asDict(recursive=True))
+        if len(part) == most_rows:
+            yield pa.RecordBatch.from_pylist(part, schema=schema)
+            part = []
+    if part:
+        yield pa.RecordBatch.from_pylist(part, schema=schema)

@@ -1,0 +1,89 @@
+"""Ordered streams of messages: frames, a dictionary that outlives messages, patch streams.
+
+A message has ``stream_id``, ``seq`` (its place in the stream) and a value.  Streams are
+independent of each other; state is kept by ``stream_id`` and cleared by an envelope's reset.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..errors import BaselineRequiredError, InvalidPatchError
+from ..operators.delta import DELETE
+
+MESSAGES = "stream_id bigint, seq bigint, value string, reset boolean"
+
+
+def frames(spark: SparkSession, path: str, schema: str = MESSAGES, files_per_batch: int = 1) -> DataFrame:
+    """A file source whose micro-batches are groups of frames in the order of their files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def write_frames(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Append the stream to files and stop when it is drained; a failure commits nothing."""
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def encode_dictionary(stream: DataFrame) -> DataFrame:
+    """(stream_id, seq, id, value): the id of each message's value in its stream's dictionary.
+
+    The value itself comes with the message that brings it in, as later ones refer to it.
+    Ids count from 0 in the order of ``seq``; a reset message starts a new dictionary before it.
+    """
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        values = list(state.get[0]) if state.exists else []
+        ids = {v: i for i, v in enumerate(values)}
+        rows = pd.concat(pdfs).sort_values("seq")
+        out = []
+        for seq, value, reset in zip(rows["seq"], rows["value"], rows["reset"]):
+            if reset is True or reset == True:  # noqa: E712  a numpy truth value
+                values, ids = [], {}
+            new = value not in ids
+            if new:
+                ids[value] = len(values)
+                values.append(value)
+            out.append((key[0], int(seq), ids[value], value if new else None))
+        state.update((values,))
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "id", "value"])
+
+    return stream.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, seq bigint, id bigint, value string", "vals array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def decode_dictionary(encoded: DataFrame, resets: DataFrame | None = None) -> DataFrame:
+    """(stream_id, seq, value) from a table of encoded messages: an id means the value that
+    last came in under it."""
+    given = encoded.where("value IS NOT NULL").select("stream_id", "id", F.col("seq").alias("_from"), F.col("value").alias("_value"))
+    joined = encoded.select("stream_id", "seq", "id").join(given, ["stream_id", "id"]).where("_from <= seq")
+    return joined.groupBy("stream_id", "seq").agg(F.max_by("_value", "_from").alias("value"))
+
+
+def apply_patch_stream(stream: DataFrame) -> DataFrame:
+    """(entity, seq, version, value): state of each entity after each patch of a stream.
+
+    Patches: entity, seq, op (insert, update, delete), base (the version it is for; null for an
+    insert), value.  A patch for a version other than the entity's is an error, one without
+    a base where the entity is known too.
+    """
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, value = state.get if state.exists else (0, None)
+        out = []
+        rows = pd.concat(pdfs).sort_values("seq")
+        for seq, op, base, new in zip(rows["seq"], rows["op"], rows["base"], rows["value"]):
+            if version and pd.isna(base):
+                raise BaselineRequiredError(f"entity {key[0]}, message {seq}")
+            if (0 if pd.isna(base) else int(base)) != version:
+                raise InvalidPatchError(f"entity {key[0]}, message {seq}: for version {base}, not {version}")
+            version, value = version + 1, None if op == DELETE else new
+            out.append((key[0], int(seq), version, value))
+        state.update((version, value))
+        yield pd.DataFrame(out, columns=["entity", "seq", "version", "value"])
+
+    return stream.groupBy("entity").applyInPandasWithState(step, "entity bigint, seq bigint, version bigint, value string", "version bigint, value string", "append", GroupStateTimeout.NoTimeout)
