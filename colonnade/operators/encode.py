@@ -203,13 +203,18 @@ def _zeros(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(x == 0, 64, lead).astype(np.int32), np.where(x == 0, 64, trail).astype(np.int32)
 
 
-def xor_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(rn)
-        bits = np.bitwise_xor.accumulate(pdf["xor"].to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame({rn: pdf[rn], column: bits.view(np.float64)})
+def _grouped_doubles(encoded: DataFrame, column: str, rn: str, fn) -> DataFrame:
+    """``fn`` turns each block, in order, to doubles' bits.  Arrow keeps a NaN apart from a null."""
 
-    return encoded.groupBy("block").applyInPandas(one, f"{rn} bigint, {column} double")
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by(rn)
+        return pa.table({rn: table.column(rn), column: pa.array(fn(table).view(np.float64))})
+
+    return encoded.groupBy("block").applyInArrow(one, f"{rn} bigint, {column} double")
+
+
+def xor_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
+    return _grouped_doubles(encoded, column, rn, lambda t: np.bitwise_xor.accumulate(t.column("xor").to_numpy().view(np.uint64)))
 
 
 def xor_window_encode(df: DataFrame, column: str, rn: str = "rn", rows: int = 4096, back: int = 128) -> DataFrame:
@@ -231,15 +236,14 @@ def xor_window_encode(df: DataFrame, column: str, rn: str = "rn", rows: int = 40
 
 
 def xor_window_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(rn)
-        bits = pdf["xor"].to_numpy(np.int64).view(np.uint64).copy()
-        for i, k in enumerate(pdf["ref"].tolist()):
+    def fn(table: pa.Table) -> np.ndarray:
+        bits = table.column("xor").to_numpy().view(np.uint64).copy()
+        for i, k in enumerate(table.column("ref").to_pylist()):
             if k:
                 bits[i] ^= bits[i - k]
-        return pd.DataFrame({rn: pdf[rn], column: bits.view(np.float64)})
+        return bits
 
-    return encoded.groupBy("block").applyInPandas(one, f"{rn} bigint, {column} double")
+    return _grouped_doubles(encoded, column, rn, fn)
 
 
 def real_double_encode(df: DataFrame, column: str, rn: str = "rn", rows: int = 4096, most: int = 8) -> DataFrame:
