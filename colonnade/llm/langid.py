@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
+from .shared import lean
 
 UNDETERMINED = "und"
 _BITS = 7
@@ -92,6 +93,7 @@ def learn(labelled: DataFrame, dims: int = 1024, seed: int = 5) -> Profiles:
     at most one number for each language and possible trigram of letter classes.
     """
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
 
@@ -156,6 +158,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     schema = T.StructType([*docs.select(*cols).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x dims numbers
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         letters = letter_vectors(p.dims, p.seed)

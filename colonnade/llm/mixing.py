@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import one_row_per_id, prefix_sums, written
+from .shared import lean, one_row_per_id, prefix_sums, written
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -172,6 +172,7 @@ def mix_sources(docs: DataFrame, block: int = 512, per_shard: int = 1024, seed:
     """
     spark = docs.sparkSession
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = textops.text_buffer(b.column(2))
@@ -187,6 +188,7 @@ def mix_sources(docs: DataFrame, block: int = 512, per_shard: int = 1024, seed:
     totals = np.array([q.total_slots for q in quotas], np.int64)
     shards = max(1, -(-int(totals.sum()) // per_shard))
 
+    @lean
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard in b.column(0).to_pylist():
@@ -247,11 +249,12 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     part, each run of taken words stands with the white space between them, runs joined by
     a space.  ``n_chars`` is the new text's length.  Documents the mix doesn't take go.
     """
-    runs = mix.spans.groupBy("doc_id").agg(F.collect_list(F.struct("epoch", "start", "n")).alias("_runs"), F.first("row_key").alias("_k"))
+    runs = mix.spans.groupBy("doc_id").agg(F.collect_list(F.struct("epoch", "start", "n")).alias("__colonnade_runs"))
     cols = docs.columns
     ti, ni = cols.index("text"), cols.index("n_chars") if "n_chars" in cols else -1
-    joined = docs.join(runs.select("doc_id", "_runs").hint("shuffle_hash"), "doc_id").select(*cols, "_runs")
+    joined = docs.join(runs.hint("shuffle_hash"), "doc_id").select(*cols, "__colonnade_runs")
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, texts = [], []

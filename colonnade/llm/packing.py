@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import written
+from .shared import lean, written
 from .tokens import worker_cache
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -68,6 +68,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 def token_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, spaced: bool = False) -> DataFrame:
     """Pieces of at most ``size`` tokens: only a longer document is cut."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache(tokenizer, spaced, lower=True)
         end = np.array([end_id], "<u4").tobytes()

@@ -38,7 +38,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"), window=20)
-    return substring.word_digest(kept, "kept_text", "kept_sha256")
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

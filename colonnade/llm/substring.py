@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 
 from . import textops
 from .fmindex import FMIndex
-from .shared import input_bytes, one_row_per_id, written
+from .shared import input_bytes, lean, one_row_per_id, tidy, written
 
 U64 = np.uint64
+_SLICE = 1 << 20  # bytes of text at a time
 _RUN = 32  # windows of a run at most, so that runs are streamed in few steps
 _HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("bytes", "<i4"), ("twice", "<i4")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("windows", "<i4")])
@@ -141,45 +142,102 @@ def _spans(head: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20) -> DataFrame:
+def _slice_runs(data: np.ndarray, offs: np.ndarray, docs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, textops.Words, np.ndarray]:
+    """(heads, first words, words, spans): a slice's runs, equal ones once (the earliest); the
+    spans are of the others, whose windows all start earlier."""
+    head, s, w = runs_of(data, offs, docs, window, gram)
+    if not len(head):
+        return head, s, w, np.zeros(0, _SPAN)
+    first = _firsts(_run_hashes(w.hashes(), s, head["windows"].astype(np.int64) + window - 1))
+    return head[first], s[first], w, _spans(head[~first])
+
+
+def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (textops.mix(keys ^ U64(0x5851F42D4C957F2D)) % U64(shards)).astype(np.int32)
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (textops.mix(keys + U64(0x3C6EF372FE94F82B)) % U64(bits)).astype(np.int64)
+
+
+def _by_shard(shard: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(shard, begin, end) of each stretch of a sorted array."""
+    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: len(shard)]
+    return shard[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(shard)).tolist() if len(cuts) else []
+
+
+def repeated_keys(docs: DataFrame, window: int, gram: int, shards: int, bits: int) -> dict[int, bytes]:
+    """A Bloom filter of the keys that more than one run has: for each shard its ``bits`` bits."""
+
+    @lean
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            data, offs = textops.text_buffer(b.column(1))
+            for i, j in textops.slices(offs, _SLICE):
+                head, _, _, _ = _slice_runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ids[i:j], window, gram)
+                if not len(head):
+                    continue
+                keys, n = np.unique(head["key"], return_counts=True)
+                # a key that is repeated already is sent twice
+                keys = np.concatenate([keys, keys[n > 1]])
+                shard = _shards(keys, shards)
+                order = np.argsort(shard, kind="stable")
+                of, begin, end = _by_shard(shard[order])
+                keys = keys[order]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([keys[x:y].tobytes() for x, y in zip(begin, end)], pa.binary())], names=["shard", "keys"])
+
+    def fill(table: pa.Table) -> pa.Table:
+        keys = np.sort(np.concatenate([np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]))
+        again = keys[1:][keys[1:] == keys[:-1]]
+        have = np.zeros(bits, bool)
+        have[_places(again, bits)] = True
+        return pa.table({"shard": table.column("shard").slice(0, 1), "filter": pa.array([np.packbits(have, bitorder="little").tobytes()], pa.binary())})
+
+    sent = docs.mapInArrow(send, "shard int, keys binary")
+    rows = sent.groupBy("shard").applyInArrow(fill, "shard int, filter binary").toArrow()
+    return dict(zip(rows.column("shard").to_pylist(), rows.column("filter").to_pylist()))
+
+
+def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20, filter_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, start, windows): windows start..start+windows-1 that occur earlier.
 
     ``docs``: ``doc_id`` (distinct, not null) and ``text``.  Earlier is a smaller ``doc_id``,
-    or an earlier start in the same text.
+    or an earlier start in the same text.  Only runs whose key may be repeated travel with their words:
+    a Bloom filter of ``filter_bytes`` at most tells which; if it is too small for a corpus,
+    more runs travel, and none is lost.
     """
     spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs, "text") // shard_bytes))
+    size = input_bytes(docs, "text")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    bits = max(1 << 10, min(filter_bytes * 8, size // 4) // shards // 8 * 8)
+    shared = spark.sparkContext.broadcast(repeated_keys(docs, window, gram, shards, bits))
 
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
+        known = np.zeros((shards, bits // 8), np.uint8)
+        for k, x in shared.value.items():
+            known[k] = np.frombuffer(x, np.uint8)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offs = textops.text_buffer(b.column(1))
-            for i, j in textops.slices(offs):
-                head, s, w = runs_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ids[i:j], window, gram)
-                if not len(head):
-                    continue
-                # equal runs of this slice travel once
-                length = head["windows"].astype(np.int64) + window - 1
-                first = _firsts(_run_hashes(w.hashes(), s, length))
-                done = _spans(head[~first])
-                head, s = head[first], s[first]
-                shard = (textops.mix(head["key"] ^ U64(0x5851F42D4C957F2D)) % U64(shards)).astype(np.int32)
+            for i, j in textops.slices(offs, _SLICE):
+                head, s, w, done = _slice_runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ids[i:j], window, gram)
+                shard, place = _shards(head["key"], shards), _places(head["key"], bits)
+                may = ((known[shard, place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0) | (head["twice"] > 0)
+                head, s, shard = head[may], s[may], shard[may]
                 order = np.argsort(shard, kind="stable")
                 head, s, shard = head[order], s[order], shard[order]
                 size = head["bytes"].astype(np.int64)
-
                 raw = np.append(w.data, np.uint8(32))
-                at = _ranges(w.start[s], size + 1)
+                at = _ranges(w.start[s], size + 1)  # words keep the white space between them; a space ends a run
                 ends = np.cumsum(size + 1)
                 at[ends - 1] = len(w.data)
                 text = raw[at]
-                cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-                heads, texts = [], []
-                for a, z in zip(cuts.tolist(), np.append(cuts[1:], len(shard)).tolist()):
-                    heads.append(head[a:z].tobytes())
-                    texts.append(press.compress(text[ends[a] - size[a] - 1 : ends[z - 1]].tobytes()))
-                rows = [shard[cuts].tolist(), heads, texts, [b""] * len(cuts)]
+                of, begin, end = _by_shard(shard)
+                rows = [of, [head[x:y].tobytes() for x, y in zip(begin, end)], [press.compress(text[ends[x] - size[x] - 1 : ends[y - 1]].tobytes()) for x, y in zip(begin, end)], [b""] * len(of)]
                 if len(done):
                     for column, v in zip(rows, (int(ids[i]) % shards, b"", b"", done.tobytes())):
                         column.append(v)
@@ -209,17 +267,20 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes
             text = text[_ranges((np.cumsum(size) - size)[order], size[order])]
             done.append(earlier_windows(head[order], text.tobytes(), window))
         got = np.concatenate(done)
+        tidy()
         return pa.table({"doc_id": pa.array(got["doc"]), "start": pa.array(got["start"]), "windows": pa.array(got["windows"])})
 
-    sent = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(send, "shard int, head binary, text binary, done binary")
+    sent = docs.mapInArrow(send, "shard int, head binary, text binary, done binary")
     return sent.groupBy("shard").applyInArrow(search, "doc_id bigint, start int, windows int")
 
 
 def _cut(joined: DataFrame, at: int, window: int) -> DataFrame:
-    """``joined`` (its last column: the spans) with n_words and n_removed in their place, and
-    the text in column ``at`` cut: itself where nothing is removed, else the kept words joined by a space."""
+    """``joined`` (its last column: the spans) with n_words, n_removed and the SHA-256 (lowercase
+    hex) of the kept words joined by a space in their place, and the text in column ``at`` cut:
+    itself where nothing is removed, else the kept words joined by a space."""
     names = joined.columns[:-1]
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, offs = textops.text_buffer(b.column(at))
@@ -238,25 +299,32 @@ def _cut(joined: DataFrame, at: int, window: int) -> DataFrame:
                 total = np.append(0, np.cumsum(gone))
                 removed = total[w.first[1:]] - total[w.first[:-1]]
                 texts = part.column(at).to_pylist()
-                for k in np.flatnonzero(removed).tolist():
-                    a, z = w.first[k], w.first[k + 1]
-                    keep = np.flatnonzero(~gone[a:z]) + a
-                    texts[k] = b" ".join(w.data[x:y].tobytes() for x, y in zip(w.start[keep].tolist(), w.end[keep].tolist())).decode()
+                sums = []
+                for k, (a, z) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+                    if removed[k]:
+                        keep = np.flatnonzero(~gone[a:z]) + a
+                        left = b" ".join(w.data[x:y].tobytes() for x, y in zip(w.start[keep].tolist(), w.end[keep].tolist()))
+                        texts[k] = left.decode()
+                    else:
+                        # bytes.split() cuts at exactly 0x20 and 0x09-0x0D
+                        left = b" ".join(w.data[own[k] : own[k + 1]].tobytes().split())
+                    sums.append(hashlib.sha256(left).hexdigest())
                 cols = [pa.array(texts, pa.string()) if c == at else part.column(c) for c in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64))], names=[*names, "_n_words", "_n_removed"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(w.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sums, pa.string())], names=[*names, "__colonnade_n_words", "__colonnade_n_removed", "__colonnade_sha256"])
 
-    schema = T.StructType([*joined.select(*names).schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    added = [T.StructField("__colonnade_n_words", T.LongType()), T.StructField("__colonnade_n_removed", T.LongType()), T.StructField("__colonnade_sha256", T.StringType())]
+    schema = T.StructType([*joined.select(*names).schema.fields, *added])
     return joined.mapInArrow(cut, schema)
 
 
 def _with_spans(docs: DataFrame, rows: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFrame:
     spans = written(repeated_spans(rows, window, gram, shard_bytes), "spans")
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("_spans"))  # within one text
-    return docs.join(per_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_spans")
+    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("__colonnade_spans"))  # within one text
+    return docs.join(per_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "__colonnade_spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20) -> DataFrame:
-    """Every document with what is left of it: doc_id, n_words, n_removed, kept_text.
+    """Every document with what is left of it: doc_id, n_words, n_removed, kept_text, kept_sha256.
 
     A word is removed if a window that covers it occurs earlier.  ``kept_text`` is the text
     itself where nothing is removed, else the kept words joined by a space.  A null text
@@ -266,7 +334,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes
     """
     rows = one_row_per_id(docs, "doc_id", ["text"]).select(F.col("doc_id").cast("bigint"), "text")
     cut = _cut(_with_spans(rows, rows, window, gram, shard_bytes), 1, window)
-    return cut.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("text").alias("kept_text"))
+    return cut.select("doc_id", F.col("__colonnade_n_words").alias("n_words"), F.col("__colonnade_n_removed").alias("n_removed"), F.col("text").alias("kept_text"), F.col("__colonnade_sha256").alias("kept_sha256"))
 
 
 def remove_repeats_from(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20) -> DataFrame:
@@ -278,19 +346,5 @@ def remove_repeats_from(docs: DataFrame, window: int = 20, gram: int = 8, shard_
     docs = one_row_per_id(docs, "doc_id", [c for c in docs.columns if c != "doc_id"]).select(*docs.columns)
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     cut = _cut(_with_spans(docs, rows, window, gram, shard_bytes), docs.columns.index("text"), window)
-    left = cut.where("_n_removed = 0 OR _n_removed < _n_words")
-    return left.select(*[F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
-
-
-def word_digest(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the SHA-256 (lowercase hex) of ``text``'s words joined by one space; drops ``text``."""
-    cols = [c for c in df.columns if c != text]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # bytes.split() cuts at exactly 0x20 and 0x09-0x0D
-            sums = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in b.column(len(cols)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.string())], names=[*cols, out])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema) + f", {out} string"
-    return df.select(*cols, text).mapInArrow(run, schema)
+    left = cut.where("__colonnade_n_removed = 0 OR __colonnade_n_removed < __colonnade_n_words")
+    return left.select(*[F.when(F.col("__colonnade_n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
+from .shared import lean
 from .tokens import worker_cache
 
 FILE_SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, tokens array<int>"
@@ -33,6 +34,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced
     often as they stand.  Other columns are ignored.  An empty table gives no rows.
     """
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache(tokenizer, spaced, lower=False)
         part, total = TaskContext.get().partitionId(), 0
@@ -74,6 +76,7 @@ def digest(files: DataFrame) -> DataFrame:
     than shuffle partitions at the writing.
     """
 
+    @lean
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(4)
