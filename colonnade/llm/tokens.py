@@ -1,7 +1,7 @@
 """Token ids of whole texts, with a bounded cache of encoded words.
 
-The ids are the ``tokenizers`` library's own: a text is cut only at single spaces
-between two non-white characters, where neither of the supported pre-tokenizers
+The ids are the ``tokenizers`` library's own: a text is cut only at single spaces and
+line breaks between two non-white characters, where neither of the supported pre-tokenizers
 (byte-level with its usual pattern; word patterns that drop white space) can have a
 piece that crosses, so the pieces' ids joined are the text's ids.  A word of Latin-1
 letters, with full stops, commas or exclamation marks after it, is the two pieces the
@@ -28,29 +28,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
-class WordCache(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers.
+class _Words(dict):
+    """Word -> its ids as little-endian unsigned 32-bit integers, with ``before`` in front of it.
 
-    ``spaced``: a word's ids depend on whether a space stands before it (byte-level
-    vocabularies); ``lower``: the tokenizer lower-cases.  A cache of more than half of
-    ``most`` words takes a word at its second sight only (the first marks a place in a bit
-    table); one of ``most`` words starts anew.
+    A cache of more than half of ``most`` words takes a word at its second sight only (the
+    first marks a place in a bit table).
     """
 
-    def __init__(self, path: str, spaced: bool, lower: bool, most: int = 600_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tok.model
-        self.spaced, self.lower, self.most = spaced, lower, most
+    def __init__(self, tok, before: str, lower: bool, most: int):  # noqa: ANN001
+        self.tok, self.model, self.before, self.lower, self.most = tok, tok.model, before, lower, most
         self.letters = _byte_letters()
-        self.space = self.letters[32] if spaced else ""
+        self.space = self.letters[32] if before else ""
         self.marks: dict[str, bytes] = {}
         self.seen = bytearray(1 << 21)
 
-    def _encode(self, text: str) -> bytes:
+    def start_anew(self) -> None:
+        self.clear()
+        self.marks.clear()
+        self.seen = bytearray(1 << 21)
+
+    def encode(self, text: str) -> bytes:
         ids = self.tok.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -67,10 +64,10 @@ class WordCache(dict):
             if len(base) < len(word):
                 tail = word[len(base) :]
                 if tail not in self.marks:
-                    self.marks[tail] = self._encode(tail)
+                    self.marks[tail] = self.encode(tail)
                 out += self.marks[tail]
         else:
-            out = self._encode(" " + word if self.spaced else word)
+            out = self.encode(self.before + word)
         if len(self) < self.most // 2:
             self[word] = out
             return out
@@ -82,20 +79,44 @@ class WordCache(dict):
             self.seen[h >> 3] |= bit
         return out
 
+
+class WordCache:
+    """``ids(text)`` through caches of at most ``most`` words.
+
+    ``spaced``: a word's ids depend on whether a space stands before it, and a single line
+    break is a piece of its own (byte-level vocabularies); otherwise white space only parts
+    words.  ``lower``: the tokenizer lower-cases.
+    """
+
+    def __init__(self, path: str, spaced: bool, lower: bool, most: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.spaced, self.most = spaced, most
+        self.inner = _Words(tok, " " if spaced else "", lower, most)
+        self.heads = _Words(tok, "", lower, max(2, most // 4)) if spaced else self.inner
+        self.line = self.inner.encode("\n") if spaced else b""
+
     def ids(self, text: str) -> bytes:
-        if len(self) > self.most:
-            self.clear()
-            self.marks.clear()
-            self.seen = bytearray(1 << 21)
+        for words in (self.inner, self.heads):
+            if len(words) > words.most:
+                words.start_anew()
+        get = self.inner.__getitem__
         if "  " in text or " \n" in text or "\n " in text or any(map(text.__contains__, _WHITE)) or not text.isascii() and any(map(text.__contains__, _WIDE_WHITE)):
             words = _CUT.split(text)
-        else:
-            words = text.split(" ")
+            return self.heads[words[0]] + b"".join(map(get, words[1:]))
         if not self.spaced:
-            return b"".join(map(self.__getitem__, words))
-        head = self._encode(words[0]) if words[0] else b""
-        del words[0]
-        return head + b"".join(map(self.__getitem__, words))
+            return b"".join(map(get, text.replace("\n", " ").split(" ")))
+        if "\n\n" in text:
+            words = text.split(" ")
+            return self.heads[words[0]] + b"".join(map(get, words[1:]))
+        lines = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            lines.append(self.heads[words[0]] + b"".join(map(get, words[1:])) if len(words) > 1 else self.heads[line])
+        return self.line.join(lines)
 
 
 _caches: dict[tuple[str, bool, bool], WordCache] = {}
