@@ -210,6 +210,18 @@ def array_diff(old: Column, new: Column, dtype: T.ArrayType) -> Column:
     return F.transform(out, lambda p: F.struct(p["idx"].alias("idx"), p["value"].alias("value")))
 
 
+def array_apply(old: Column, entries: Column) -> Column:
+    """``old`` with the values of :func:`array_diff` put in their places."""
+    at = F.transform(entries, lambda e: e["idx"].cast("bigint"))
+    return F.transform(old, lambda x, i: F.when(F.array_contains(at, i.cast("bigint")), F.element_at(F.filter(entries, lambda e: e["idx"] == i), 1)["value"]).otherwise(x))
+
+
+def map_hash(column: Column, dtype: T.MapType) -> Column:
+    """A hash of a map that doesn't hang on the order of its entries; null for null."""
+    hashes = F.transform(F.map_entries(column), lambda e: F.xxhash64(e["key"], _hashable(e["value"], dtype.valueType)))
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(h))
+
+
 # Fingerprints
 
 

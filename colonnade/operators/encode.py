@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import UnsupportedError
 from ..functions.scalar import bit_length, common_prefix, common_suffix, index_width, varint_length, zigzag
 from .order import numbered, with_previous, with_running_sum
 
@@ -61,9 +62,13 @@ def run_length_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFr
     return encoded.select(F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias(rn), F.col("value").alias(column))
 
 
-def dictionary(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    """(value, code): distinct values that aren't null, numbered by first occurrence."""
+def dictionary(df: DataFrame, column: str, rn: str = "rn", seed: tuple = ()) -> DataFrame:
+    """(value, code): distinct values that aren't null, numbered by first occurrence; those of
+    ``seed`` come first whether they occur or not."""
     firsts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(rn).alias("_first"))
+    if seed:
+        given = df.sparkSession.createDataFrame([(v, i - len(seed)) for i, v in enumerate(dict.fromkeys(seed))], f"value {df.schema[column].dataType.simpleString()}, _first bigint")
+        firsts = firsts.unionByName(given).groupBy("value").agg(F.min("_first").alias("_first"))
     return numbered(firsts, "_first", out="code").select("value", "code")
 
 
@@ -323,6 +328,93 @@ def alphabet(df: DataFrame, column: str) -> DataFrame:
     return chars.agg(F.count(F.lit(1)).alias("chars"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).select("chars", index_width(F.col("chars")).alias("bits"), "total")
 
 
+def _alphabet_letters(df: DataFrame, column: str) -> list[str]:
+    rows = df.where(F.col(column).isNotNull()).select(F.explode(F.split(column, "")).alias("ch")).where("ch <> ''").distinct().limit(MOST_CODES + 1).collect()  # bounded
+    if len(rows) > MOST_CODES:
+        raise UnsupportedError("alphabet", column, f"{MOST_CODES} characters at most", "more")
+    return sorted(r["ch"] for r in rows)
+
+
+def alphabet_encode(df: DataFrame, column: str, out: str = "packed") -> tuple[list[str], DataFrame]:
+    """(letters, ``df`` with ``out``): each value as its letters' numbers in as few bits as tell
+    them apart, the first highest, after the value's length in four bytes; null for null."""
+    letters = _alphabet_letters(df, column)
+    bits, code = max(0, (len(letters) - 1).bit_length()) if letters else 0, {c: i for i, c in enumerate(letters)}
+
+    def pack(text: str) -> bytes:
+        n = 0
+        for c in text:
+            n = n << bits | code[c]
+        size = -(-len(text) * bits // 8)
+        return len(text).to_bytes(4, "little") + n.to_bytes(size, "little")
+
+    return letters, _byte_map(df, column, out, pack, pa.binary(), T.BinaryType())
+
+
+def alphabet_decode(df: DataFrame, packed: str, letters: list[str], out: str) -> DataFrame:
+    bits = max(0, (len(letters) - 1).bit_length()) if letters else 0
+
+    def back(raw: bytes) -> str:
+        size, n = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:], "little")
+        return "".join(letters[n >> bits * (size - 1 - i) & (1 << bits) - 1] for i in range(size))
+
+    return _byte_map(df, packed, out, back, pa.string(), T.StringType())
+
+
+def _byte_map(df: DataFrame, column: str, out: str, fn, kind: pa.DataType, dtype: T.DataType) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [None if x is None else fn(x) for x in b.column(b.schema.get_field_index(column)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, dtype)]))
+
+
+def slab_encode(df: DataFrame, column: str, rn: str = "rn", rows: int = 4096) -> DataFrame:
+    """(block, slab, handles): a block's values as one string of bytes and (rn, offset, length) for
+    each row; a null has offset -1."""
+    c = df.select(rn, F.col(column).alias("v"), F.floor(F.col(rn) / rows).cast("bigint").alias("block"))
+    w = Window.partitionBy("block").orderBy(rn).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.octet_length("v"), F.lit(0))
+    c = c.withColumn("length", size).withColumn("offset", F.when(F.col("v").isNull(), -1).otherwise(F.coalesce(F.sum("length").over(w), F.lit(0))).cast("bigint"))
+    parts = c.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(rn, "offset", "length", F.coalesce("v", F.lit("")).alias("v")))).alias("x"))  # a block's rows
+    return parts.select("block", F.encode(F.array_join(F.transform("x", lambda e: e["v"]), ""), "utf-8").alias("slab"), F.transform("x", lambda e: F.struct(e[rn].alias(rn), e["offset"].alias("offset"), e["length"].alias("length"))).alias("handles"))
+
+
+def slab_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
+    """Each handle's bytes of its slab."""
+    h = encoded.select("slab", F.explode("handles").alias("h"))
+    value = F.call_function("substring", F.col("slab"), (F.col("h.offset") + 1).cast("int"), F.col("h.length").cast("int")).cast("string")
+    return h.select(F.col(f"h.{rn}").alias(rn), F.when(F.col("h.offset") >= 0, value).alias(column))
+
+
+def state_references(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
+    """(rn, form): the shortest way to tell each value: repeat (of the row before), pair (what last
+    followed the value before it), known (seen before), new."""
+    c = with_previous(df.select(rn, F.col(column).alias("v")), {"p": "v"}, rn)
+    pair = F.lag("v").over(Window.partitionBy("p").orderBy(rn))
+    first = F.min(rn).over(Window.partitionBy("v"))
+    form = F.when(F.col("v") == F.col("p"), "repeat").when(F.col("p").isNotNull() & (pair == F.col("v")), "pair").when(first < F.col(rn), "known").otherwise("new")
+    return c.select(rn, form.alias("form"))
+
+
+def column_prefix(df: DataFrame, column: str) -> DataFrame:
+    """One row: bytes that all values begin with, which are those that the least and the greatest share."""
+    return df.agg(F.min(column).alias("a"), F.max(column).alias("b")).select(common_prefix(F.col("a"), F.col("b")).alias("shared"))
+
+
+def high_cardinality(df: DataFrame, column: str, share: float = 0.7) -> DataFrame:
+    """One row: whether more than ``share`` of the values are distinct, by an approximate count."""
+    return df.agg((F.approx_count_distinct(column, 0.02) > F.count(column) * share).alias("high"))
+
+
+def delta_statistics(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
+    """One row: first, least and greatest difference to the row before, and the bits of their range."""
+    c = with_previous(df.select(rn, F.col(column).cast("bigint").alias("v")), {"p": "v"}, rn)
+    d = F.col("v") - F.col("p")
+    return c.agg(F.min_by("v", rn).alias("first"), F.min(d).alias("least"), F.max(d).alias("greatest"), bit_length(F.max(d) - F.min(d)).alias("bits"))
+
+
 def byte_histogram(df: DataFrame, column: str) -> DataFrame:
     """(byte, n) over all texts' bytes."""
     hexes = F.hex(F.encode(F.col(column), "utf-8"))
@@ -517,6 +609,44 @@ def recommend(df: DataFrame, *columns: str, rn: str = "rn") -> DataFrame:
     return out
 
 
+def float_costs(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
+    """One row of predicted bytes: raw, decimal, xor (of a column of doubles without nulls)."""
+    d = decimal_exponent(df, column).first()
+    n = d["n"]
+    m = decimal_encode(df, column, d["exponent"], rn)
+    width = m.agg(F.min("mantissa").alias("a"), F.max("mantissa").alias("b")).select(bit_length(F.col("b") - F.col("a")).alias("w"))
+    x = xor_encode(df, column, rn).agg(F.sum(F.when(F.col("meaningful") == 0, 1).otherwise(F.col("meaningful") + 13)).alias("x"))
+    decimal = F.ceil(F.lit(n) * F.col("w") / 8) + F.lit(d["exceptions"] * 10 + 10)
+    return width.crossJoin(x).select(F.lit(n).alias("n"), F.lit(n * 8).alias("raw"), decimal.cast("bigint").alias("decimal"), F.ceil(F.col("x") / 8).cast("bigint").alias("xor"))
+
+
+def recommend_floats(df: DataFrame, *columns: str, rn: str = "rn") -> DataFrame:
+    """(column, encoding): the cheapest encoding of each column of doubles."""
+    parts = []
+    for name in columns:
+        names = ["raw", "decimal", "xor"]
+        parts.append(float_costs(df, name, rn).select(F.lit(name).alias("column"), F.coalesce(*[F.when(F.col(x) == F.least(*names), F.lit(x)) for x in names]).alias("encoding")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def layout_probe(df: DataFrame, *columns: str, rn: str = "rn") -> DataFrame:
+    """One row: predicted bytes of integer and text columns row by row and column by column, and
+    whether columns gain ten percent."""
+    row, col = None, None
+    for name in columns:
+        if isinstance(df.schema[name].dataType, T.StringType):
+            c = df.agg((F.sum(F.octet_length(name) + 1)).alias("r"), F.count_distinct(name).alias("k"), F.count(name).alias("n"), F.sum(F.octet_length(name)).alias("b")).select("r", F.least(F.col("b") + F.col("n"), F.ceil(F.col("n") * index_width(F.col("k")) / 8) + F.col("k") * F.ceil(F.col("b") / F.col("n"))).cast("bigint").alias("c"))
+        else:
+            least = F.least("raw", "frame_of_reference", "delta", "run_length", "dictionary")
+            c = integer_costs(df, name, rn).crossJoin(df.agg(F.sum(varint_length(zigzag(F.col(name))) + 1).alias("r"))).select("r", least.alias("c"))
+        r = c.first()  # one row
+        row, col = (row or 0) + r["r"], (col or 0) + r["c"]
+    return df.sparkSession.createDataFrame([(row, col, col * 10 <= row * 9)], "row_bytes bigint, column_bytes bigint, columnar boolean")
+
+
 #: Writer options by preset: speed, balance, size.
 PRESETS = {
     "speed": {"compression": "none", "parquet.writer.version": "v1"},

@@ -68,6 +68,11 @@ def prune(df: DataFrame, zones: DataFrame, test: WhereCmp | WhereRange, rn: str
     return df.withColumn("zone", zone_of(rn)).join(keep, "zone", "left_semi").where(test.lower(df.schema)).drop("zone")
 
 
+def matched_zones(df: DataFrame, zones: DataFrame, test: WhereCmp | WhereRange, rn: str = "rn") -> DataFrame:
+    """(zone): zones with a row that passes, which are all that a projection has to read."""
+    return prune(df, zones, test, rn).select(zone_of(rn).alias("zone")).distinct()
+
+
 def skip_stats(zones: DataFrame, test: WhereCmp | WhereRange) -> DataFrame:
     """One row: zones, and how many of them the test skips."""
     return zones.agg(F.count(F.lit(1)).alias("zones"), F.count_if(~may_hold(test)).alias("skipped"))

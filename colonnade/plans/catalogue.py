@@ -706,6 +706,85 @@ def _(s, d):
     return with_running_sum(_events(s, d, "user_id"), "user_id", "total").select("rn", "total")
 
 
+@register("e29_alphabet_roundtrip", "SELECT p_partkey, p_brand, true AS shorter FROM part")
+def _(s, d):
+    letters, packed = encode.alphabet_encode(table(s, d, "part").select("p_partkey", F.concat("p_brand", F.lit("........")).alias("t")), "t")
+    out = encode.alphabet_decode(packed, "packed", letters, "u")
+    return out.select("p_partkey", F.expr("left(u, length(u) - 8)").alias("p_brand"), (F.octet_length("packed") < F.octet_length("t")).alias("shorter"))
+
+
+@register("e30_slab_roundtrip", "SELECT event_id AS rn, CASE WHEN event_id % 9 <> 0 THEN event_type END AS v FROM events")
+def _(s, d):
+    df = _events(s, d, "event_type").withColumn("v", F.when(F.col("event_id") % 9 != 0, F.col("event_type")))
+    return encode.slab_decode(encode.slab_encode(df, "v"), "v")
+
+
+@register("e31_state_references", "WITH p AS (SELECT event_id, event_type AS v, lag(event_type) OVER (ORDER BY event_id) AS p, min(event_id) OVER (PARTITION BY event_type) AS f FROM events) SELECT event_id AS rn, CASE WHEN v = p THEN 'repeat' WHEN p IS NOT NULL AND lag(v) OVER (PARTITION BY p ORDER BY event_id) = v THEN 'pair' WHEN f < event_id THEN 'known' ELSE 'new' END AS form FROM p")
+def _(s, d):
+    return encode.state_references(_events(s, d, "event_type"), "event_type")
+
+
+@register("e32_recommend_floats", "SELECT 'o_totalprice' AS \"column\", 'decimal' AS encoding")
+def _(s, d):
+    return encode.recommend_floats(numbered(_orders(s, d), "o_orderkey"), "o_totalprice")
+
+
+@register("e33_column_prefix", f"SELECT CAST({_LCP} AS INTEGER) AS shared FROM (SELECT min(c_name) AS a, max(c_name) AS b FROM customer)")
+def _(s, d):
+    return encode.column_prefix(table(s, d, "customer"), "c_name")
+
+
+@register("e34_high_cardinality", "SELECT true AS name, false AS segment")
+def _(s, d):
+    c = table(s, d, "customer")
+    return encode.high_cardinality(c, "c_name").withColumnRenamed("high", "name").crossJoin(encode.high_cardinality(c, "c_mktsegment").withColumnRenamed("high", "segment"))
+
+
+@register("e35_layout_probe", "SELECT true AS columnar")
+def _(s, d):
+    return encode.layout_probe(_events(s, d, "event_type", "user_id"), "event_id", "user_id", "event_type").select("columnar")
+
+
+@register("e36_seeded_dictionary", "SELECT value, row_number() OVER (ORDER BY f) - 1 AS code FROM (SELECT event_type AS value, min(CASE event_type WHEN 'view' THEN -2 ELSE event_id END) AS f FROM events GROUP BY 1 UNION ALL SELECT 'absent', -1)")
+def _(s, d):
+    return encode.dictionary(_events(s, d, "event_type"), "event_type", seed=("view", "absent"))
+
+
+@register("e37_delta_statistics", "WITH p AS (SELECT event_id, user_id, user_id - lag(user_id) OVER (ORDER BY event_id) AS x FROM events) SELECT arg_min(user_id, event_id) AS first, min(x) AS least, max(x) AS greatest, CAST(length(ltrim(bin(max(x) - min(x)), '0')) AS INTEGER) AS bits FROM p")
+def _(s, d):
+    return encode.delta_statistics(_events(s, d, "user_id"), "user_id").withColumn("bits", F.col("bits").cast("int"))
+
+
+@register("d20_array_apply", "SELECT event_id, true AS restored FROM events")
+def _(s, d):
+    e = F.col("event_id")
+    df = table(s, d, "events").select("event_id", F.array(e, e + 1, e + 2).alias("a"), F.when(e % 2 == 0, F.array(e, e + 9, e + 2)).otherwise(F.array(e + 1, e + 1, F.lit(None))).alias("b"))
+    return df.select("event_id", F.col("b").eqNullSafe(delta.array_apply(F.col("a"), delta.array_diff(F.col("a"), F.col("b"), T.ArrayType(T.LongType())))).alias("restored"))
+
+
+@register("d21_map_hash", "SELECT event_id, true AS same, true AS differs FROM events")
+def _(s, d):
+    dtype = T.MapType(T.StringType(), T.LongType())
+    e = F.col("event_id")
+    a, b, c = (F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in m]) for m in (("a", e, "b", e + 1), ("b", e + 1, "a", e), ("a", e + 1, "b", e)))
+    return table(s, d, "events").select("event_id", (delta.map_hash(a, dtype) == delta.map_hash(b, dtype)).alias("same"), (delta.map_hash(a, dtype) != delta.map_hash(c, dtype)).alias("differs"))
+
+
+@register("z08_matched_zones", "SELECT DISTINCT CAST(floor(o_orderkey / 256) AS BIGINT) AS zone FROM orders WHERE o_totalprice >= 499000")
+def _(s, d):
+    df = _numbered_orders(s, d)
+    return zonemap.matched_zones(df, zonemap.build(df, "o_totalprice"), P.where_cmp("o_totalprice", P.GE, 499000.0))
+
+
+@register("u01_value_codec", "SELECT n_nationkey, n_name FROM nation")
+def _(s, d):
+    from ..functions.codec import ValueCodec
+
+    codec = ValueCodec(T.StringType(), lambda v: v[::-1].encode(), lambda raw: raw.decode()[::-1])
+    df = table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("given"))
+    return codec.read(codec.write(df, "given", "raw"), "raw", "n_name").select("n_nationkey", "n_name")
+
+
 # V: vectors
 
 
@@ -948,3 +1027,29 @@ def _(s, d):
     for _i in range(2):
         sources.append(table(s, d, "nation"), path)
     return sources.read(s, path).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("i07_float32_source", "SELECT vec_id AS idx, round(embedding[1]::DOUBLE, 6) AS head FROM embeddings")
+def _(s, d):
+    import numpy as np
+
+    from .. import sources
+
+    path = _files(s, "f32")
+    v = table(s, d, "embeddings").orderBy("vec_id").select("embedding").toArrow().column(0).to_pylist()  # the fixture itself
+    raw = np.array(v, "<f4").tobytes()
+    jpath = s._jvm.org.apache.hadoop.fs.Path(f"{path}/all.f32")
+    out = jpath.getFileSystem(s._jsc.hadoopConfiguration()).create(jpath)
+    out.write(bytearray(raw))
+    out.close()
+    return sources.read_float32(s, path, len(v[0])).select("idx", F.round(F.col("vec")[0].cast("double"), 6).alias("head"))
+
+
+@register("i08_batches", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer")
+def _(s, d):
+    from .. import sources
+
+    n = keys = 0
+    for b in sources.batches(table(s, d, "customer").select("c_custkey", "c_name"), 400):
+        n, keys = n + b.num_rows, keys + sum(b.column(0).to_pylist())
+    return s.createDataFrame([(n, keys)], "n bigint, keys bigint")
