@@ -7,18 +7,16 @@ inequality every linked pair meets in a region, and regions are joined in the sa
 they are small.  Only components are wanted, so pairs already connected aren't compared.
 
 Sets of unrelated texts are nearly all at distance 1 from any pivot, so pivots alone would
-put the whole corpus into every region.  The groups therefore come from a pigeonhole filter
-that loses no pair: hashing cuts the universe of shingles into more parts than two linked
-sets can have differences, so they agree on some part, and sets that agree on a part's
-whole content are candidates.
+put the whole corpus into every region.  The groups therefore come from a filter that loses
+no pair: with its members ordered from rare to frequent, a set shares with each set it is
+linked to one of its first ones, as many as the sets may differ by and one more.  Members that
+no other set has are left out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .components import connected_components
-from .shared import input_bytes, one_row_per_id, written
+from .shared import input_bytes, lean, one_row_per_id, tidy, written
 
 U64 = np.uint64
 _SKETCH = 8  # 64-bit words
@@ -54,41 +52,6 @@ class Likeness:
         return total * (self.den - self.num) // (self.den + self.num)
 
 
-@lru_cache
-def size_classes(like: Likeness, top: int = 1 << 40) -> np.ndarray:
-    """Least sizes of the classes: the larger of two linked sets is in the other's class or the next."""
-    out = [1]
-    while out[-1] < top:
-        out.append(max(out[-1] + 1, out[-1] * like.den // like.num + 1))
-    return np.array(out, np.int64)
-
-
-def _at_most(m: int, mean: float) -> float:
-    """P(X <= m) of a Poisson variable."""
-    return sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(m + 1))
-
-
-@lru_cache(maxsize=None)
-def parts_of(like: Likeness, c: int) -> tuple[int, int, int]:
-    """(parts, least content, spare) for pairs whose larger set is in class c.
-
-    With D differences at most and D + 1 + spare parts, 1 + spare parts agree.  Parts with
-    less than the least content are left out by sets that have no more than ``spare`` of
-    them; two linked sets that both have more use all their parts.
-    """
-    bounds = size_classes(like)
-    differences = like.differences(2 * int(bounds[c + 1] - 1))
-    if not differences:
-        return 1, 1, 0
-    for least in (3, 2, 1):
-        for spare in range(1, int(0.15 * (differences + 1)) + 2):
-            parts = differences + 1 + spare
-            thin = parts * _at_most(least - 1, float(bounds[c]) / parts)
-            if thin + 2.5 * math.sqrt(thin) <= spare:
-                return parts, least, spare
-    return differences + 2, 1, 1
-
-
 @dataclass
 class Sets:
     """Shingle sets of a slice's rows: members of row i are values[first[i]:first[i+1]], sorted."""
@@ -118,37 +81,16 @@ class Sets:
         return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(-1, _SKETCH)
 
 
-def signatures(sets: Sets, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of every part that a set is to be found by, in its class and the next."""
-    bounds, sizes = size_classes(like), sets.sizes
-    rows = np.flatnonzero(sizes)
-    if not len(rows):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    own = np.searchsorted(bounds, sizes, "right") - 1
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    out_s, out_r = [], []
-    for ahead in (0, 1):
-        c = np.maximum(own + ahead, 0)
-        table = np.array([parts_of(like, x) for x in range(int(c.max()) + 1)], np.int64)
-        parts, least, spare = table[c].T
-        parts[sizes == 0] = 0
-        base = np.cumsum(parts) - parts
-        salt = textops.mix(c.astype(U64) + U64(77))
-        part = base[row] + (textops.mix(sets.values ^ salt[row]) % parts[row].astype(U64)).astype(np.int64)
-        total = int(parts.sum())
-        mixed = textops.mix(sets.values + U64(0x1B873593))
-        # exact sums of the members' halves: below 2^53 for fewer than 2^21 members of a part
-        low = np.bincount(part, (mixed & U64(0xFFFFFFFF)).astype(np.float64), total).astype(U64)
-        high = np.bincount(part, (mixed >> U64(32)).astype(np.float64), total).astype(U64)
-        content = np.bincount(part, minlength=total)
-        of = np.repeat(np.arange(len(sizes)), parts)
-        thin = content < least[of]
-        many = np.bincount(of, thin, len(sizes)) > spare
-        keep = np.flatnonzero(~thin | many[of])
-        number = (keep - base[of[keep]]).astype(U64)
-        out_s.append(textops.mix(textops.mix(low[keep] ^ textops.mix(high[keep])) + number * U64(0x9E3779B97F4A7C15) + salt[of[keep]]))
-        out_r.append(of[keep])
-    return np.concatenate(out_s), np.concatenate(out_r)
+def prefixes(sets: Sets, tiers: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """(member, row): the rarest members of each set, one more than it may differ by from a set
+    it is linked to, without those of tier 0, which stand alone."""
+    n = sets.sizes
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((sets.values, tiers, row))
+    keep = n - -(-n * like.num // like.den) + 1
+    place = np.arange(len(order)) - sets.first[:-1][row]
+    at = order[(place < keep[row]) & (tiers[order] > 0)]
+    return sets.values[at], row[at]
 
 
 class Union:
@@ -263,6 +205,7 @@ def set_facts(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (set size), f0 and f1 (fingerprint of the set), s0.. (parity sketch)."""
     names = ["doc_id", "n", "f0", "f1", *[f"s{i}" for i in range(_SKETCH)]]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = textops.text_buffer(b.column(1))
@@ -274,37 +217,112 @@ def set_facts(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
 
 
-def candidates(docs: DataFrame, k: int, like: Likeness, bucket_bytes: int = 4 << 20) -> DataFrame:
-    """(a, b, group): rows that agree on a part; ``group``: one of many, tied to the smallest id only."""
-    spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs, "text") // bucket_bytes))
+def _distinct(sets: Sets, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a row is the smallest id of its set in the slice, (that id, id) of the others)."""
+    one, two = sets.sums(1), sets.sums(2)
+    order = np.lexsort((ids, one, two, sets.sizes))
+    s1, s2, n = one[order], two[order], sets.sizes[order]
+    new = np.append(True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]) | (n[1:] != n[:-1]))[: len(order)]
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    copies = np.flatnonzero(~new & (n > 0))
+    first = np.zeros(len(ids), bool)
+    first[order[new]] = True
+    return first, np.stack([ids[head[copies]], ids[order[copies]]], axis=1).astype(np.int64)
+
+
+def _stretches(key: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(key, begin, end) of each stretch of a sorted array."""
+    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    return key[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(key)).tolist() if len(cuts) else []
+
+
+def frequencies(docs: DataFrame, k: int, buckets: int, entries: int) -> dict[int, bytes]:
+    """For each bucket a table of ``entries`` bytes: the largest floor(log2(sets that have it))
+    among the members of an entry, so 0 means that no member of it is in two sets.
+
+    Every set is counted (equal ones of a slice once); a member travels as 32 bits of its hash.
+    """
 
+    @lean
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            data, offs = textops.text_buffer(b.column(1))
+            for i, j in textops.slices(offs):
+                sets = Sets.of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+                first, _ = _distinct(sets, ids[i:j])
+                values, n = np.unique(sets.values[np.repeat(first, sets.sizes)], return_counts=True)
+                h = textops.mix(values ^ U64(0x6A09E667F3BCC909))
+                bucket = (h % U64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                n = np.minimum(n[order], 0xFFFF).astype(np.uint16)
+                of, begin, end = _stretches(bucket[order])
+                short = ((h[order] >> U64(24)) & U64(0xFFFFFFFF)).astype(np.uint32)
+                rows = [[], []]
+                for x, y in zip(begin, end):
+                    some = n[x:y] > 1
+                    rows[0].append(short[x:y][~some].tobytes())
+                    rows[1].append(short[x:y][some].tobytes() + n[x:y][some].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary())], names=["bucket", "once", "more"])
+
+    def fill(table: pa.Table) -> pa.Table:
+        once = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("once").to_pylist()])
+        more = [(np.frombuffer(x, np.uint32, len(x) // 6), np.frombuffer(x, np.uint16, len(x) // 6, len(x) // 6 * 4)) for x in table.column("more").to_pylist()]
+        values = np.concatenate([once, *[v for v, _ in more]])
+        counts = np.concatenate([np.ones(len(once), np.int64), *[n.astype(np.int64) for _, n in more]])
+        order = np.argsort(values, kind="stable")
+        values, counts = values[order], counts[order]
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        total = np.add.reduceat(counts, first)
+        tier = np.log2(total).astype(np.uint8)
+        out = np.zeros(entries, np.uint8)
+        some = tier > 0
+        np.maximum.at(out, values[first][some].astype(np.int64) % entries, tier[some])
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "tiers": pa.array([out.tobytes()], pa.binary())})
+
+    sent = docs.mapInArrow(send, "bucket int, once binary, more binary")
+    rows = sent.groupBy("bucket").applyInArrow(fill, "bucket int, tiers binary").toArrow()
+    return dict(zip(rows.column("bucket").to_pylist(), rows.column("tiers").to_pylist()))
+
+
+def candidates(docs: DataFrame, k: int, like: Likeness, count_bytes: int = 4 << 20, meet_bytes: int = 32 << 20, table_bytes: int = 64 << 20) -> DataFrame:
+    """(a, b, group): rows that share a rare member; ``group``: one of many, tied to the smallest id only.
+
+    The table of frequencies has ``table_bytes`` bytes at most; if it is too small for a corpus,
+    more members travel, and no pair is lost.
+    """
+    spark = docs.sparkSession
+    size = input_bytes(docs, "text")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // count_bytes))
+    # few members travel, and a pair is found once in each bucket that holds some it shares
+    meetings = max(1, -(-size // meet_bytes))
+    entries = max(1 << 10, min(table_bytes, size // 16) // buckets)
+    shared = spark.sparkContext.broadcast(frequencies(docs, k, buckets, entries))
+
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((buckets, entries), np.uint8)
+        for key, x in shared.value.items():
+            table[key] = np.frombuffer(x, np.uint8)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offs = textops.text_buffer(b.column(1))
             for i, j in textops.slices(offs):
                 sets = Sets.of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 own = ids[i:j]
-                # equal sets of a slice travel once: the one with the smallest id
-                order = np.lexsort((own, sets.sums(1), sets.sums(2), sets.sizes))
-                s1, n = sets.sums(1)[order], sets.sizes[order]
-                new = np.append(True, (s1[1:] != s1[:-1]) | (n[1:] != n[:-1]))
-                head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-                copies = np.flatnonzero(~new & (n > 0))
-                rep = np.zeros(len(own), bool)
-                rep[order[new]] = True
-                sig, row = signatures(sets, like)
-                sig, row = sig[rep[row]], row[rep[row]]
-                bucket = ((sig >> U64(40)) % U64(buckets)).astype(np.int32)
+                first, same = _distinct(sets, own)
+                # bucket and entry as in frequencies(), where 32 bits of the hash remain
+                h = textops.mix(sets.values ^ U64(0x6A09E667F3BCC909))
+                tiers = table[(h % U64(buckets)).astype(np.int64), ((h >> U64(24)) & U64(0xFFFFFFFF)).astype(np.int64) % entries]
+                member, row = prefixes(sets, tiers, like)
+                member, row = member[first[row]], row[first[row]]
+                bucket = ((member >> U64(40)) % U64(meetings)).astype(np.int32)
                 o = np.argsort(bucket, kind="stable")
-                sig, doc, bucket = sig[o], own[row[o]], bucket[o]
-                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-                ends = np.append(cuts[1:], len(bucket)).tolist() if len(cuts) else []
-                rows = [bucket[cuts].tolist(), [sig[a:z].tobytes() for a, z in zip(cuts.tolist(), ends)], [doc[a:z].tobytes() for a, z in zip(cuts.tolist(), ends)], [b""] * len(cuts)]
-                if len(copies):
-                    same = np.stack([own[head[copies]], own[order[copies]]], axis=1).astype(np.int64)
-                    for column, v in zip(rows, (int(own[0]) % buckets, b"", b"", same.tobytes())):
+                member, doc = member[o], own[row[o]]
+                of, begin, end = _stretches(bucket[o])
+                rows = [of, [member[x:y].tobytes() for x, y in zip(begin, end)], [doc[x:y].tobytes() for x, y in zip(begin, end)], [b""] * len(of)]
+                if len(same):
+                    for column, v in zip(rows, (int(own[0]) % meetings, b"", b"", same.tobytes())):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], names=["bucket", "sig", "doc", "same"])
 
@@ -340,6 +358,57 @@ def candidates(docs: DataFrame, k: int, like: Likeness, bucket_bytes: int = 4 <<
     return sent.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, group boolean").groupBy("a", "b").agg(F.bool_or("group").alias("group"))
 
 
+def _by_pivots(rows: DataFrame, members: DataFrame, words: int, like: Likeness, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(sets still to be joined, links to pivots) of regions too large for a task.
+
+    ``members``: region, rep, n.  Every set meets a few pivots of its region; those linked with
+    them, directly or through each other, are one component.  What is left to join are the sets
+    outside a region's largest component, and of that the ones that the triangle inequality leaves
+    within a link's distance of them, by the distances to all pivots.
+    """
+    picks = members.groupBy("region").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(pivots)])
+    picks = picks.select("region", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("rep"))
+    given = rows.join(picks.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rep", "text"))).alias("pivots"))  # a few
+    met = rows.join(members.select("region", "rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).join(given.hint("merge"), "region").select("region", "rep", "text", "pivots")
+
+    def sets_of(texts: list[str | None]) -> list[np.ndarray]:
+        data, offs = textops.text_buffer(pa.array(texts, pa.string()))
+        return textops.shingle_sets(textops.Words(data, offs, lower=True), words)
+
+    @lean
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centers, ids = None, [], []
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                distances, linked = [], []
+                for region, rep, own, given in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets_of(part.column(2).to_pylist()), part.column(3)):
+                    if region != last:
+                        last, found = region, given.as_py()
+                        ids, centers = [g["rep"] for g in found], sets_of([g["text"] for g in found])
+                    common = np.array([len(np.intersect1d(own, c, assume_unique=True)) for c in centers])
+                    sizes = np.array([len(c) for c in centers])
+                    distances.append((1.0 - common / np.maximum(len(own) + sizes - common, 1)).tolist())
+                    linked.append([p for p, ok in zip(ids, like.linked(common, len(own), sizes).tolist()) if ok and p != rep])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(distances, pa.list_(pa.float64())), pa.array(linked, pa.list_(pa.int64()))], names=["region", "rep", "d", "linked"])
+
+    dist = written(met.mapInArrow(measure, "region bigint, rep bigint, d array<double>, linked array<bigint>"), "distances")
+    tied = dist.select(F.col("rep").alias("u"), F.explode("linked").alias("v"))
+    comp = connected_components(tied)
+    label = dist.join(comp, F.col("rep") == F.col("node"), "left").select("region", "rep", "d", F.coalesce("component", "rep").alias("c"))
+    label = written(label, "labels")
+    main = label.groupBy("region", "c").count().groupBy("region").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    apart = label.join(main, "region").where("c <> main")
+    reach = like.radius + 1e-9
+    range_of = apart.groupBy("region").agg(*[f(F.get("d", F.lit(i))).alias(f"{n}{i}") for i in range(pivots) for n, f in (("lo", F.min), ("hi", F.max))])
+    inside = F.lit(True)
+    for i in range(pivots):
+        d = F.get("d", F.lit(i))
+        inside = inside & (d.isNull() | ((d >= F.col(f"lo{i}") - reach) & (d <= F.col(f"hi{i}") + reach)))
+    near = label.join(range_of, "region").where(inside).select("region", "rep")
+    return near.join(members.select("rep", "n"), "rep").select("region", "rep", "n"), tied
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, region_members: int = 1 << 20) -> DataFrame:
     """One row per document of ``docs`` (``doc_id``, ``text``): n_shingles, component_id.
 
@@ -362,13 +431,18 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     near = (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (apart * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num))
     pairs = found.where("NOT group").join(a, "a").join(b, "b").where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges = pairs.union(found.where("group").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    regions = written(connected_components(edges), "regions")
+    regions = connected_components(edges)
     members = facts.join(regions, facts["doc_id"] == regions["node"]).select("doc_id", "n", "f0", "f1", F.col("component").alias("region"))
     reps = members.groupBy("region", "n", "f0", "f1").agg(F.min("doc_id").alias("rep"))
-    weight = reps.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    # a region larger than a task should hold is joined block by block, in every pair of blocks
-    weight = weight.select("region", F.ceil(F.col("total") / region_members).cast("int").alias("blocks"))
-    todo = reps.join(weight, "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    size = reps.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    large = size.where(F.col("total") > region_members).select("region")
+    joined, tied = reps.join(size.where(F.col("total") <= region_members), "region", "left_semi").select("region", "rep", "n"), None
+    if large.limit(1).count():
+        near, tied = _by_pivots(rows, reps.join(large, "region", "left_semi"), words, like)
+        joined = joined.unionByName(near)
+    # what is still larger than a task should hold is joined block by block, in every pair of blocks
+    blocks = joined.groupBy("region").agg(F.ceil(F.sum("n") / region_members).cast("int").alias("blocks"))
+    todo = joined.join(blocks, "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     todo = todo.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("region", "rep", "blocks", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
     texts = rows.join(todo.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("region", "i", "j", "own", "rep", "text")
 
@@ -384,11 +458,12 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         side = None if i == j else (table.column("own").to_numpy() == j).astype(np.int8)
         root = Region(sets, like, side).run()
         moved = np.flatnonzero(root != np.arange(len(ids)))
+        tidy()
         return pa.table({"u": pa.array(ids[moved]), "v": pa.array(ids[root[moved]])})
 
-    links = written(texts.groupBy("region", "i", "j").applyInArrow(region, "u bigint, v bigint"), "links")
-    if weight.where("blocks > 1").limit(1).count():
-        links = connected_components(links).select(F.col("node").alias("u"), F.col("component").alias("v"))
+    links = texts.groupBy("region", "i", "j").applyInArrow(region, "u bigint, v bigint")
+    if tied is not None:
+        links = connected_components(links.union(tied)).select(F.col("node").alias("u"), F.col("component").alias("v"))
     of_rep = links.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     classes = reps.join(of_rep, "rep", "left").select("n", "f0", "f1", F.coalesce("root", "rep").alias("component_id"))
     return facts.join(classes, ["n", "f0", "f1"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))

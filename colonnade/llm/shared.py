@@ -41,9 +41,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/colonnade/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write as Parquet in the shared folder and read back."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut lineage: write as Parquet in the shared folder and read back.
+
+    ``rows``: about how many there are, of cheap rows that need no more than a file for each
+    half a million; otherwise each partition has its file.
+    """
     path = scratch(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // 500_000)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._colonnade_path = path

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from . import textops
 from .fmindex import FMIndex
-from .shared import input_bytes, lean, one_row_per_id, tidy, written
+from .shared import input_bytes, lean, one_row_per_id, tidy
 
 U64 = np.uint64
 _SLICE = 1 << 20  # bytes of text at a time
@@ -318,7 +318,7 @@ def _cut(joined: DataFrame, at: int, window: int) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, rows: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFrame:
-    spans = written(repeated_spans(rows, window, gram, shard_bytes), "spans")
+    spans = repeated_spans(rows, window, gram, shard_bytes)
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("__colonnade_spans"))  # within one text
     return docs.join(per_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "__colonnade_spans")
 
