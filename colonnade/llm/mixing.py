@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import lean, one_row_per_id, prefix_sums, written
+from .shared import lean, one_row_per_id, prefix_sums
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -180,7 +180,7 @@ def mix_sources(docs: DataFrame, block: int = 512, per_shard: int = 1024, seed:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int64))], names=["doc_id", "source", "size"])
 
     rows = one_row_per_id(docs, "doc_id", ["source", "text"]).select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text"))
-    sized = written(prefix_sums(rows.mapInArrow(count, "doc_id bigint, source string, size bigint"), ["source"], ["doc_id"], "size", "offset", "sized"), "mix-docs")
+    sized = prefix_sums(rows.mapInArrow(count, "doc_id bigint, source string, size bigint"), ["source"], ["doc_id"], "size", "offset", "sized")
     # one row per source
     sizes = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     goal = targets(sizes, weights, most)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,28 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor and the driver share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (local tests) a folder of this process is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jdir.isDefined():
-        return jdir.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    base = tempfile.mkdtemp(prefix="colonnade-")
-    atexit.register(shutil.rmtree, base, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+from ..sources import shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/colonnade/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that every executor and the driver share."""
+    return f"{shared_folder(spark).rstrip('/')}/colonnade/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -86,7 +67,8 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
     Rows are range-partitioned by (group, order), so a hot group spreads over many
     tasks; each task adds a running sum of its own, and a table with one row for
     each (partition, group) - at most partitions + groups - carries what came before.
-    ``row_key`` (unique long) comes with it.  The result is a written table.
+    ``row_key`` (unique long) comes with it.  The running sums are a written table, so the
+    result is the same each time it is read.
     """
     schema = T.StructType(df.schema.fields + [T.StructField("_part", T.IntegerType()), T.StructField("row_key", T.LongType()), T.StructField(out, T.LongType())])
     at = [df.columns.index(g) for g in group]
