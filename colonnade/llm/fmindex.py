@@ -53,16 +53,16 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int):
         n = len(text)
         self.n, self.depth = n, depth
-        ranks = {1: text.astype(np.int64)}
+        ranks = {1: text.astype(np.int32)}
 
         def at(step: int, i: np.ndarray) -> np.ndarray:
             r = ranks[step]
             return np.where(i < n, r[np.minimum(i, n - 1)] + 1, 0)
 
         def joined(a: int, b: int) -> np.ndarray:
-            key = ranks[a] * (n + 2 + int(ranks[1].max(initial=0))) + at(b, np.arange(n) + a)
+            key = ranks[a].astype(np.int64) * (n + 2 + int(ranks[1].max(initial=0))) + at(b, np.arange(n) + a)
             order = np.argsort(key, kind="stable")
-            new = np.empty(n, np.int64)
+            new = np.empty(n, np.int32)
             new[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
             return new
 
@@ -76,9 +76,9 @@ class FMIndex:
             while part > rest:
                 part //= 2
             ranks[0] = full
-            key = full * (n + 2 + int(ranks[1].max(initial=0))) + at(part, np.arange(n) + reached)
+            key = full.astype(np.int64) * (n + 2 + int(ranks[1].max(initial=0))) + at(part, np.arange(n) + reached)
             order = np.argsort(key, kind="stable")
-            full = np.empty(n, np.int64)
+            full = np.empty(n, np.int32)
             full[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
             reached, rest = reached + part, rest - part
         ranks.pop(0, None)
@@ -95,7 +95,8 @@ class FMIndex:
             s //= 2
         lcp[1:n] = np.minimum(got, depth)
         lcp[0] = lcp[n] = -1
-        self.lcp = lcp
+        self.lcp = lcp.astype(np.int32)
+        ranks.clear()
         self.kinds = int(text.max(initial=0)) + 1
         counts = np.bincount(text, minlength=self.kinds)
         self.smaller = np.cumsum(counts) - counts

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from . import textops
 from .fmindex import FMIndex
-from .shared import input_bytes, lean, one_row_per_id, tidy
+from .shared import input_bytes, lean, one_row_per_id, tidy, written
 
 U64 = np.uint64
 _SLICE = 1 << 20  # bytes of text at a time
@@ -97,12 +97,18 @@ def runs_of(data: np.ndarray, offs: np.ndarray, docs: np.ndarray, window: int, g
     return head, s, w
 
 
+def _word_hashes(text: bytes, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the words of runs that a byte ends, a slice of runs at a time."""
+    data, offs = np.frombuffer(text, np.uint8), np.append(0, np.cumsum(sizes.astype(np.int64) + 1))
+    parts = [textops.Words(data[offs[i] : offs[j]], np.array([0, offs[j] - offs[i]])).hashes() for i, j in textops.slices(offs, _SLICE)]
+    return np.concatenate([*parts, np.zeros(0, U64)])
+
+
 def earlier_windows(head: np.ndarray, text: bytes, window: int) -> np.ndarray:
     """Spans of windows that start earlier among the runs; ``head`` in (doc, start) order."""
-    w = textops.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     length = head["windows"].astype(np.int64) + window - 1
     start = np.cumsum(length) - length
-    h = w.hashes()
+    h = _word_hashes(text, head["bytes"])
     first = _firsts(_run_hashes(h, start, length))
     out = [_spans(head[~first])]
     head, start, length = head[first], start[first], length[first]
@@ -199,7 +205,7 @@ def repeated_keys(docs: DataFrame, window: int, gram: int, shards: int, bits: in
     return dict(zip(rows.column("shard").to_pylist(), rows.column("filter").to_pylist()))
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20, filter_bytes: int = 64 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 2 << 20, filter_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, start, windows): windows start..start+windows-1 that occur earlier.
 
     ``docs``: ``doc_id`` (distinct, not null) and ``text``.  Earlier is a smaller ``doc_id``,
@@ -318,12 +324,12 @@ def _cut(joined: DataFrame, at: int, window: int) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, rows: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFrame:
-    spans = repeated_spans(rows, window, gram, shard_bytes)
+    spans = written(repeated_spans(rows, window, gram, shard_bytes), "spans")  # frees the shuffles before it
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("__colonnade_spans"))  # within one text
     return docs.join(per_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "__colonnade_spans")
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 2 << 20) -> DataFrame:
     """Every document with what is left of it: doc_id, n_words, n_removed, kept_text, kept_sha256.
 
     A word is removed if a window that covers it occurs earlier.  ``kept_text`` is the text
@@ -337,7 +343,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes
     return cut.select("doc_id", F.col("__colonnade_n_words").alias("n_words"), F.col("__colonnade_n_removed").alias("n_removed"), F.col("text").alias("kept_text"), F.col("__colonnade_sha256").alias("kept_sha256"))
 
 
-def remove_repeats_from(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats_from(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with its texts cut as by :func:`remove_repeats`, all its columns kept.
 
     ``n_chars``, if there, becomes the new text's length.  Documents of which no word is left
