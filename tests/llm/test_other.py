@@ -288,6 +288,26 @@ def test_rendering(page, want):
     assert html_render.visible_text(page) == want.strip("\n")
 
 
+LOOSE_TABLES = [
+    ("<table><tbody><td>a<td>b", "a  b"),
+    ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("<table><tbody><form><tr><td>a</td></tr></form></tbody></table>", "a"),
+    ("<table><tr><form><td>a<td>b</form></table>", "a  b"),
+    ("<form>x<table><form><tr><td>a</table>y</form>z", "x\n\na\n\ny\nz"),
+    ("<table><tbody><div>s<tr><td>a</table>", "s\na"),
+    ("<table><tbody><caption>c</caption>", "c"),
+    ("<table><caption>c</caption>s<tbody>t<tr><td>a</tbody><tfoot>u</table>", "c\ns\nt\nu\na"),
+    ("<table><colgroup><col>s<tr><td>a</table>", "s\na"),
+    ("<table><tbody hidden>no<tr><td>no</tbody><tbody><p hidden>no</p><tr><td>a</table>", "a"),
+    ("<table><tbody><table><tr><td>a</table></table>", "a"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), LOOSE_TABLES)
+def test_tables_that_leave_tags_out(page, want):
+    assert html_render.visible_text(page) == want
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumnRenamed("url", "text")
     got = html_render.extract(pages).collect()
