@@ -308,6 +308,25 @@ def test_tables_that_leave_tags_out(page, want):
     assert html_render.visible_text(page) == want
 
 
+STRAY_QUOTES = [
+    ("<a title=don't href=x>Click here</a> it's <b>bold</b>", "Click here it's bold"),
+    ("<div class='x''>It's fine</div>", "It's fine"),
+    ("<img alt=5\" src=a.png>First part 7\" disk <b>b</b>", "5\"First part 7\" disk b"),
+    ("<p \">a</p>\"b", "a\n\n\"b"),
+    ("<a 'b'>c</a> 'd' <i>e</i>", "c 'd' e"),
+    ("<a title = 'x>y' alt=\"<b>\"data-x='>'>t</a>", "t"),
+    ("<a href=>t</a> <a =\"x>u</a>\"", "t u\""),
+    ("a</b title='x>y'>c", "ac"),
+    ("<a href=/x/>t</a><br/>u", "t\nu"),
+    ("<p hidden='until-found'>a</p><p title='it''s' hidden>no</p>b", "a\n\nb"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), STRAY_QUOTES)
+def test_quotes_outside_values(page, want):
+    assert html_render.visible_text(page) == want
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumnRenamed("url", "text")
     got = html_render.extract(pages).collect()
