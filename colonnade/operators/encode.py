@@ -7,6 +7,7 @@ in their own encodings, so these are for analysis, shipping, and choosing.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -444,39 +445,79 @@ def markov_pair(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
 
 
 def move_to_front(df: DataFrame, column: str, rn: str = "rn", rows: int = 65_536) -> DataFrame:
-    """(rn, rank): how many other values occurred since this one last did; null at its first sight
-    in a block of ``rows`` rows."""
+    """(rn, rank): how many other values occurred since this one last did; null at its first sight.
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        recent: list = []
+    Blocks of ``rows`` rows are ranked apart; each begins with the last rows of all values
+    seen before it.
+    """
+    c = df.select(rn, F.col(column).alias("value"), F.floor(F.col(rn) / rows).cast("bigint").alias("block"))
+    seen = c.groupBy("block", "value").agg(F.max(rn).alias(rn))
+    blocks = seen.select("block").distinct().withColumn("no", F.row_number().over(Window.orderBy("block")))  # a row per block
+    until = F.coalesce(F.lead("no").over(Window.partitionBy("value").orderBy("no")), F.col("last"))
+    spans = seen.join(blocks, "block").crossJoin(F.broadcast(blocks.agg(F.max("no").alias("last")))).select(rn, "value", "no", until.alias("until")).where("no < until")
+    carried = spans.select(rn, "value", F.explode(F.sequence(F.col("no") + 1, F.col("until"))).alias("no")).join(blocks, "no")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(rn)
+        last: dict[int, int] = {}
+        order: list[int] = []  # the values' last rows, ascending
         out = []
-        for v in pdf["value"].tolist():
-            if v in recent:
-                k = recent.index(v)
-                out.append(k)
-                del recent[k]
+        for r, v in zip(pdf[rn].tolist(), pd.factorize(pdf["value"], use_na_sentinel=False)[0].tolist()):
+            if v in last:
+                k = bisect_left(order, last[v])
+                out.append(len(order) - 1 - k)
+                del order[k]
             else:
                 out.append(None)
-            recent.insert(0, v)
-        return pd.DataFrame({rn: pdf[rn], "rank": pd.array(out, "Int64")})
+            order.append(r)
+            last[v] = r
+        return pd.DataFrame({rn: pdf[rn].array, "rank": pd.array(out, "Int64")})[~pdf["carried"].to_numpy()]
 
-    return _grouped_codec(df, column, rn, rows, fn, f"{rn} bigint, rank bigint")
+    both = c.withColumn("carried", F.lit(False)).unionByName(carried.select(rn, "value", "block", F.lit(True).alias("carried")))
+    return both.groupBy("block").applyInPandas(one, f"{rn} bigint, rank bigint")
 
 
 def move_to_front_decode(encoded: DataFrame, firsts: DataFrame, column: str, rn: str = "rn", rows: int = 65_536) -> DataFrame:
-    """Inverse; ``firsts``: (rn, value) of the rows whose rank is null."""
+    """Inverse; ``firsts``: (rn, value) of the rows whose rank is null.
+
+    Blocks are decoded apart, to values or slots of the list that the block begins with.
+    These lists are then made block by block, from one row per block and value used in it.
+    """
     j = encoded.join(firsts, rn, "left").withColumn("block", F.floor(F.col(rn) / rows))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, recent, out = pdf.sort_values(rn), [], []
-        for k, v in zip(pdf["rank"], pdf["value"]):
-            if not pd.isna(k):
-                v = recent.pop(int(k))
-            recent.insert(0, v)
-            out.append(v)
-        return pd.DataFrame({rn: pdf[rn], column: out})
-
-    return j.groupBy("block").applyInPandas(one, f"{rn} bigint, {column} string")
+        pdf, recent, taken, out = pdf.sort_values(rn), [], [], []  # recent: (slot, value) used in the block; a value's own slot is -1
+        for r, k, v in zip(pdf[rn], pdf["rank"], pdf["value"]):
+            if pd.isna(k):
+                x = (-1, v)
+            elif k < len(recent):
+                x = recent.pop(int(k))
+            else:
+                slot = int(k) - len(recent)
+                for t in taken:
+                    if t > slot:
+                        break
+                    slot += 1
+                insort(taken, slot)
+                x = (slot, None)
+            recent.insert(0, x)
+            out.append((r, -1, *x))
+        out += [(-1, place, *x) for place, x in enumerate(recent)]
+        return pd.DataFrame(out, columns=[rn, "place", "slot", "value"]).assign(block=pdf["block"].iloc[0])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        now, out = [], []
+        for block, part in pdf.sort_values(["block", "place"]).groupby("block"):
+            used = list(zip(part["slot"].tolist(), part["value"].tolist()))
+            taken = {slot for slot, _ in used if slot >= 0}
+            out += [(block, slot, now[slot]) for slot in taken]
+            now = [now[slot] if slot >= 0 else v for slot, v in used] + [v for slot, v in enumerate(now) if slot not in taken]
+        return pd.DataFrame(out, columns=["block", "slot", "value"])
+
+    steps = j.groupBy("block").applyInPandas(one, f"{rn} bigint, place bigint, slot bigint, value string, block bigint")
+    lists = steps.where("place >= 0").groupBy().applyInPandas(chain, "block bigint, slot bigint, value string")
+    found = steps.where("place < 0").join(lists.withColumnRenamed("value", "_listed"), ["block", "slot"], "left")
+    return found.select(rn, F.when(F.col("slot") < 0, F.col("value")).otherwise(F.col("_listed")).alias(column))
 
 
 # Symbol tables

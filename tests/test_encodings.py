@@ -118,3 +118,20 @@ def test_linear_zones_have_no_false_skip(spark):
 def test_numbering_over_partitions(spark):
     df = numbered(spark.range(1000).repartition(7).select((F.col("id") * 37 % 1000).alias("k")), "k")
     assert [(r["k"], r["rn"]) for r in df.orderBy("k").collect()] == [(i, i) for i in range(1000)]
+
+
+@pytest.mark.parametrize("rows", [7, 1000])
+@pytest.mark.parametrize("kinds", [1, 60])
+def test_move_to_front_over_blocks(spark, rows, kinds):
+    r = random.Random(kinds)
+    values = [None if k == 1 else f"v{k}" for k in (r.randrange(kinds) for _ in range(60))]
+    places = [i + 40 * (i // 20) for i in range(60)]  # with gaps longer than a block
+    recent, want = [], []
+    for v in values:
+        want.append(recent.index(v) if v in recent else None)
+        recent = [v, *(x for x in recent if x != v)]
+    df = spark.createDataFrame(list(zip(places, values)), "rn bigint, v string")
+    e = E.move_to_front(df, "v", rows=rows)
+    assert back(e, "rank") == want
+    firsts = e.where("rank IS NULL").join(df, "rn").select("rn", F.col("v").alias("value"))
+    assert back(E.move_to_front_decode(e, firsts, "v", rows=rows)) == values
