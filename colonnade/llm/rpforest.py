@@ -8,7 +8,7 @@ united into components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,8 +143,14 @@ def link_near(df: DataFrame, id_col: str, vec_col: str, limit: float = 0.95, tre
     fit = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vec_col, lambda x: x != F.lit(0.0))
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.when(fit, F.col(vec_col)).alias("v"))
     classes = written(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")), "classes")
-    dims = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
-    parts = [_links(classes.where(F.size("v") == d), limit, trees, leaf_rows, spill, sample_rows, task_rows, seed) for d in sorted(dims)]
+    d = F.size("v")
+    # lengths whose trees would have a root only are compared whole; the others are at most one per leaf_rows rows
+    lengths = classes.groupBy(d.alias("d")).count().agg(F.sort_array(F.collect_list(F.when(F.col("count") > leaf_rows, F.col("d")))).alias("many"), F.count(F.lit(1)).alias("n")).first()
+    parts = [_links(classes.where(d == k), limit, trees, leaf_rows, spill, sample_rows, task_rows, seed) for k in lengths["many"]]
+    if lengths["n"] > len(parts):
+        zero = F.lit(0)
+        few = classes.where(~d.isin(lengths["many"])).select(zero.alias("leaf"), zero.alias("i"), zero.alias("j"), zero.alias("b"), "rep", "w", "v", F.array(zero).alias("leaves"), d.alias("d"))
+        parts.append(few.groupBy("d").applyInPandas(_leaf(limit), "id bigint, root bigint, n bigint"))
     found = parts[0] if parts else spark.createDataFrame([], "id bigint, root bigint, n bigint")
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -160,6 +166,25 @@ def link_near(df: DataFrame, id_col: str, vec_col: str, limit: float = 0.95, tre
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("c", "id").alias("component_id"), (F.coalesce("c", "id") == F.col("id")).alias("kept"))
 
 
+def _leaf(limit: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < 2:
+            return pd.DataFrame({"id": [], "root": [], "n": []})
+        v = np.stack([np.asarray(x, np.float64) for x in pdf["v"]])
+        wide = max(map(len, pdf["leaves"]))
+        members = np.full((len(pdf), wide), -1, np.int64)
+        for k, x in enumerate(pdf["leaves"]):
+            members[k, : len(x)] = x
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        side = None if i == j else (pdf["b"].to_numpy() == j).astype(int)
+        ids = pdf["rep"].to_numpy(np.int64)
+        links, root = compare(ids, v, pdf["w"].to_numpy(np.int64), members, side, int(pdf["leaf"].iloc[0]), limit)
+        linked = (links > 0) | (root != np.arange(len(ids))) | np.isin(np.arange(len(ids)), root[root != np.arange(len(ids))])
+        return pd.DataFrame({"id": ids[linked], "root": ids[root[linked]], "n": links[linked]})
+
+    return leaf
+
+
 def _links(classes: DataFrame, limit: float, trees: int, leaf_rows: int, spill: float, sample_rows: int, task_rows: int, seed: int) -> DataFrame:
     """(id, root, n) of each leaf's rows with links: a root that they reach, links that the leaf counts."""
     spark = classes.sparkSession
@@ -195,19 +220,4 @@ def _links(classes: DataFrame, limit: float, trees: int, leaf_rows: int, spill:
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = rows.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
 
-    def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame({"id": [], "root": [], "n": []})
-        v = np.stack([np.asarray(x, np.float64) for x in pdf["v"]])
-        wide = max(map(len, pdf["leaves"]))
-        members = np.full((len(pdf), wide), -1, np.int64)
-        for k, x in enumerate(pdf["leaves"]):
-            members[k, : len(x)] = x
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        side = None if i == j else (pdf["b"].to_numpy() == j).astype(int)
-        ids = pdf["rep"].to_numpy(np.int64)
-        links, root = compare(ids, v, pdf["w"].to_numpy(np.int64), members, side, int(pdf["leaf"].iloc[0]), limit)
-        linked = (links > 0) | (root != np.arange(len(ids))) | np.isin(np.arange(len(ids)), root[root != np.arange(len(ids))])
-        return pd.DataFrame({"id": ids[linked], "root": ids[root[linked]], "n": links[linked]})
-
-    return rows.select("leaf", "i", "j", "b", "rep", "w", "v", "leaves").groupBy("leaf", "i", "j").applyInPandas(leaf, "id bigint, root bigint, n bigint")
+    return rows.select("leaf", "i", "j", "b", "rep", "w", "v", "leaves").groupBy("leaf", "i", "j").applyInPandas(_leaf(limit), "id bigint, root bigint, n bigint")

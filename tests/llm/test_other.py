@@ -201,6 +201,12 @@ def test_forest_of_copies(spark):
     assert rpforest.link_near(vectors(spark, []), "vec_id", "embedding").count() == 0
 
 
+def test_forest_of_many_lengths(spark):
+    rows = [(2 * d + k, [1.0 + k] * d, 0, 0, "", 0) for d in range(1, 1011) for k in (0, 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rpforest.link_near(vectors(spark, rows), "vec_id", "embedding").collect()}
+    assert got == {2 * d + k: (1, 2 * d) for d in range(1, 1011) for k in (0, 1)}
+
+
 # URLs
 
 
