@@ -1,8 +1,13 @@
+import html.parser
 import math
+import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from colonnade.llm import html_render, langid, mixing, mtree, rpforest, urlfilter
 from colonnade.llm.queries import URL_RULES, queries
@@ -342,5 +347,106 @@ def test_pages(spark, sf_dir):
     assert html_render.extract(pages.limit(0)).count() == 0
 
 
+MB = 1 << 20
+#: A piece that is repeated for a megabyte, and the text after it.
+HOSTILE = ["<div>", "<a ", "<a b='", "<table><tr><td>", "<table><tr><td>x<td>", "<table><tr><td>x<td>y<tr><td>", "</p>", "<i></b>", "<ul><li>x", "<blockquote>x", "<tr><td>x<td rowspan=999>y", "<td colspan=1000>x", "<!--", "<title>", "<p>", "&amp", "<"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_seconds(piece):
+    page = "first<table>" + piece * (MB // len(piece)) + "end"
+    began = time.process_time()
+    got = html_render.visible_text(page)
+    assert time.process_time() - began < 20 and len(got) < 12 * MB and got.startswith("first")
+
+
+def test_nested_tables():
+    for deep in (1, 15, 16, 17, 600, 5000):
+        got = html_render.visible_text("<table><tr><td>a<td>" * deep + "end" + "</table>" * deep + "after")
+        assert got.split() == ["a"] * deep + ["end", "after"]
+
+
+def test_blanks_of_tables_are_bounded():
+    got = html_render.visible_text("<table><tr><td>" + "w" * 200_000 + "<td>z" + "<tr><td>a<td>b" * 5000)
+    assert len(got) < 300_000 and got.split() == ["w" * 200_000, "z", *["a", "b"] * 5000]
+    assert html_render.visible_text("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f<tr><td colspan=2>long one<td>g</table>") == "ab        c\nd  e      f\nlong one  g"
+
+
+class Visible(html.parser.HTMLParser):
+    """Visible words of well-formed pages, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "hr", "img", "meta", "link"):
+            self.parts.append(" ")
+            return
+        hides = tag in ("head", "script", "style", "template", "title", "noscript", "svg") or "hidden" in dict(attrs) or "none" in dict(attrs).get("style", "")
+        self.hidden += 1 if self.hidden or hides else 0
+        self.parts.append(" " if tag in BREAKS else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= 1 if self.hidden else 0
+        self.parts.append(" " if tag in BREAKS else "")
+
+    def handle_data(self, data):
+        self.parts.append("" if self.hidden else data)
+
+
+BREAKS = {"p", "div", "td", "th", "tr", "table", "h1", "h2", "section", "blockquote", "dl", "dt", "dd", "pre", "html", "body", "article", "nav", "footer"}
+PLAIN, BLOCKS = ["b", "i", "span", "a"], ["div", "h1", "h2", "section", "blockquote", "pre"]
+
+
+@st.composite
+def well_formed(draw, depth=0):
+    """A page's contents with every tag closed and nothing that adds marks of its own."""
+    out = []
+    for _ in range(draw(st.integers(1, 4))):
+        kind = draw(st.sampled_from(["text", "text", "inline", "block", "table", "hidden", "odd"] if depth < 4 else ["text"]))
+        word = draw(st.text("abcxyz &<é漢\n", max_size=8)).replace("&", "&amp;").replace("<", "&lt;")
+        attrs = draw(st.sampled_from(["", " class=x", " title='<b> > it'", ' data-x="it\'s"', " id=a hidden", ' style="display: none"']))
+        if kind == "text":
+            out.append(word)
+        elif kind == "inline":
+            tag = draw(st.sampled_from(PLAIN))
+            out.append(f"<{tag}{attrs}>{word}</{tag}>")
+        elif kind == "block":
+            tag = draw(st.sampled_from(BLOCKS))
+            out.append(f"<{tag}{attrs}>{draw(well_formed(depth + 1))}</{tag}>")
+        elif kind == "table":
+            rows = draw(st.lists(st.lists(st.text("abc", min_size=1, max_size=5), min_size=1, max_size=3), min_size=1, max_size=3))
+            cell = lambda c: f"<td><table><tr><td>{c}</td></tr></table></td>" if "a" in c else f"<td>{c}</td>"
+            out.append(f"<table{attrs}>" + "".join("<tr>" + "".join(map(cell, row)) + "</tr>" for row in rows) + "</table>")
+        elif kind == "hidden":
+            out.append(draw(st.sampled_from(["<script>var a = '<p>no</p>';</script>", "<style>p{}</style>", "<!-- no <b> -->", "<svg><g>no</g></svg>", "<template><p>no</p></template>"])))
+        else:
+            out.append(draw(st.sampled_from(["<br>", "<hr>", "<br/>"])))
+    return "".join(out)
+
+
+@given(well_formed())
+@settings(max_examples=300, deadline=None)
+def test_words_are_those_of_another_parser(page):
+    other = Visible()
+    other.feed(page)
+    other.close()
+    assert re.split(r"[ \t\n\r\f]+", html_render.visible_text(page).strip()) == re.split(r"[ \t\n\r\f]+", "".join(other.parts).strip())
+
+
+def test_pages_have_the_words_of_another_parser(spark, sf_dir):
+    for r in html_render.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("html", "html AS page"), "html").collect():
+        other = Visible()
+        other.feed(re.sub("<li>|</li>|</?ul>", " ", r["page"] or ""))
+        other.close()
+        assert re.sub("(^|\n) *- ", r"\1", r["text"]).split() == "".join(other.parts).split()
+
+
+def test_repeated_pages_and_odd_columns(spark):
+    pages = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None), (2, "")], "text int, html string")
+    assert [r["text"] for r in html_render.extract(pages, out="text").collect()] == ["a", "a", "", ""]
+
+
 def test_edge_fixture_has_every_case():
     assert {t for _, t in EDGE} >= {None, ""}
