@@ -1,4 +1,9 @@
-"""FM-index over a sequence of symbols, with ranks from a wavelet matrix of packed bits."""
+"""Compressed FM-index over a sequence of symbols.
+
+Ranks come from a wavelet matrix of packed bits; the suffix array is only made for building.  What
+is kept for a symbol is log2(kinds) bits with their counts, a byte of common prefix, and for each
+length at which matches were cut a bit and the places of the bits set.
+"""
 
 from __future__ import annotations
 
@@ -46,11 +51,13 @@ class FMIndex:
     """Index for patterns of up to ``depth`` symbols.
 
     ``text`` holds symbols from 1; 0 separates its parts and is in no pattern.  Suffixes are
-    sorted by their first ``depth`` symbols, which is all that intervals of such patterns
-    need, by prefix doubling.
+    sorted by their first ``depth`` (255 at most) symbols, which is all that intervals of such
+    patterns need, by prefix doubling.
     """
 
     def __init__(self, text: np.ndarray, depth: int):
+        if depth > 255:
+            raise ValueError("common prefixes are kept as bytes")
         n = len(text)
         self.n, self.depth = n, depth
         ranks = {1: text.astype(np.int32)}
@@ -82,10 +89,10 @@ class FMIndex:
             full[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
             reached, rest = reached + part, rest - part
         ranks.pop(0, None)
-        self.sa = np.argsort(full, kind="stable").astype(np.int64)
+        sa = np.argsort(full, kind="stable").astype(np.int64)
         # common prefixes of neighbours, up to depth
-        lcp = np.zeros(n + 1, np.int64)
-        a, b = self.sa[:-1], self.sa[1:]
+        lcp = np.zeros(n + 1, np.uint8)
+        a, b = sa[:-1], sa[1:]
         got = np.zeros(max(n - 1, 0), np.int64)
         s = step
         while s:
@@ -94,26 +101,26 @@ class FMIndex:
                 got += np.where((x == y) & (x > 0), s, 0)
             s //= 2
         lcp[1:n] = np.minimum(got, depth)
-        lcp[0] = lcp[n] = -1
-        self.lcp = lcp.astype(np.int32)
+        self.lcp = lcp  # of each suffix and the one before it; 0 at either end
         ranks.clear()
         self.kinds = int(text.max(initial=0)) + 1
         counts = np.bincount(text, minlength=self.kinds)
         self.smaller = np.cumsum(counts) - counts
-        last = np.append(text, 0)[self.sa - 1]
-        last[self.sa == 0] = 0
+        last = np.append(text, 0)[sa - 1]
+        last[sa == 0] = 0
         # text[-1] stands for an end mark; as 0 is in no pattern, it disturbs no rank
         self.bwt = WaveletMatrix(last.astype(np.int64), self.kinds)
-        self._bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._bounds: dict[int, tuple[BitVector, np.ndarray]] = {}
 
-    def bounds(self, d: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each place in suffix order the interval of suffixes that share its first d symbols."""
+    def bounds(self, d: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For places ``i`` in suffix order the interval of suffixes that share the first ``d`` > 0 symbols."""
         if d not in self._bounds:
-            head = self.lcp[: self.n] < d
-            starts = np.flatnonzero(head)
-            group = np.cumsum(head) - 1
-            self._bounds[d] = starts[group], np.append(starts[1:], self.n)[group]
-        return self._bounds[d]
+            first = self.lcp[: self.n] < d
+            first[:1] = True
+            self._bounds[d] = BitVector(first), np.append(np.flatnonzero(first), self.n).astype(np.int32)
+        bits, starts = self._bounds[d]
+        group = bits.ones(i + 1)
+        return starts[group - 1], starts[group]
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with ``symbol`` put before them."""
@@ -140,8 +147,7 @@ class FMIndex:
             c = sequences[at]
             full = lanes[m[lanes] == self.depth]
             if len(full):
-                s, e = self.bounds(self.depth - 1)
-                lo[full], hi[full] = s[lo[full]], e[lo[full]]
+                lo[full], hi[full] = self.bounds(self.depth - 1, lo[full]) if self.depth > 1 else (0, self.n)
                 m[full] = self.depth - 1
             todo = lanes
             known = c < self.kinds
@@ -158,13 +164,12 @@ class FMIndex:
                 stuck = m[todo] == 0  # not even the symbol alone
                 todo = todo[~stuck]
                 if len(todo):
-                    up = np.maximum(self.lcp[lo[todo]], self.lcp[hi[todo]])
-                    up = np.maximum(np.minimum(up, m[todo] - 1), 0)
+                    up = np.maximum(self.lcp[lo[todo]], self.lcp[hi[todo]]).astype(np.int64)
+                    up = np.minimum(up, m[todo] - 1)
                     for d in np.unique(up).tolist():
                         own = todo[up == d]
                         if d:
-                            s, e = self.bounds(d)
-                            lo[own], hi[own] = s[lo[own]], e[lo[own]]
+                            lo[own], hi[own] = self.bounds(d, lo[own])
                         else:
                             lo[own], hi[own] = 0, self.n
                         m[own] = d

@@ -60,8 +60,8 @@ class Sets:
     first: np.ndarray
 
     @classmethod
-    def of(cls, data: np.ndarray, offs: np.ndarray, k: int) -> Sets:
-        got = textops.shingle_sets(textops.Words(data, offs, lower=True), k)
+    def of(cls, data: np.ndarray, offs: np.ndarray, k: int, key: int) -> Sets:
+        got = textops.shingle_sets(textops.Words(data, offs, lower=True), k, key)
         return cls(np.concatenate([*got, np.zeros(0, U64)]), np.append(0, np.cumsum([len(g) for g in got])).astype(np.int64))
 
     @property
@@ -201,7 +201,7 @@ class Region:
                     self._link(x, rows, self.common(x, own, tokens, len(rows)))
 
 
-def set_facts(docs: DataFrame, k: int) -> DataFrame:
+def set_facts(docs: DataFrame, k: int, key: int) -> DataFrame:
     """doc_id, n (set size), f0 and f1 (fingerprint of the set), s0.. (parity sketch)."""
     names = ["doc_id", "n", "f0", "f1", *[f"s{i}" for i in range(_SKETCH)]]
 
@@ -210,7 +210,7 @@ def set_facts(docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             data, offs = textops.text_buffer(b.column(1))
             for i, j in textops.slices(offs):
-                sets = Sets.of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+                sets = Sets.of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k, key)
                 cols = [pa.array(sets.sizes), *[pa.array(sets.sums(s).view(np.int64)) for s in (1, 2)], *[pa.array(np.ascontiguousarray(c)) for c in sets.sketches().T]]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *cols], names=names)
 
@@ -236,7 +236,7 @@ def _stretches(key: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return key[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(key)).tolist() if len(cuts) else []
 
 
-def frequencies(docs: DataFrame, k: int, buckets: int, entries: int) -> dict[int, bytes]:
+def frequencies(docs: DataFrame, k: int, key: int, buckets: int, entries: int) -> dict[int, bytes]:
     """For each bucket a table of ``entries`` bytes: the largest floor(log2(sets that have it))
     among the members of an entry, so 0 means that no member of it is in two sets.
 
@@ -249,7 +249,7 @@ def frequencies(docs: DataFrame, k: int, buckets: int, entries: int) -> dict[int
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offs = textops.text_buffer(b.column(1))
             for i, j in textops.slices(offs):
-                sets = Sets.of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+                sets = Sets.of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k, key)
                 first, _ = _distinct(sets, ids[i:j])
                 values, n = np.unique(sets.values[np.repeat(first, sets.sizes)], return_counts=True)
                 h = textops.mix(values ^ U64(0x6A09E667F3BCC909))
@@ -285,7 +285,7 @@ def frequencies(docs: DataFrame, k: int, buckets: int, entries: int) -> dict[int
     return dict(zip(rows.column("bucket").to_pylist(), rows.column("tiers").to_pylist()))
 
 
-def candidates(docs: DataFrame, k: int, like: Likeness, count_bytes: int = 4 << 20, meet_bytes: int = 32 << 20, table_bytes: int = 64 << 20) -> DataFrame:
+def candidates(docs: DataFrame, k: int, key: int, like: Likeness, count_bytes: int = 4 << 20, meet_bytes: int = 32 << 20, table_bytes: int = 64 << 20) -> DataFrame:
     """(a, b, group): rows that share a rare member; ``group``: one of many, tied to the smallest id only.
 
     The table of frequencies has ``table_bytes`` bytes at most; if it is too small for a corpus,
@@ -297,18 +297,18 @@ def candidates(docs: DataFrame, k: int, like: Likeness, count_bytes: int = 4 <<
     # few members travel, and a pair is found once in each bucket that holds some it shares
     meetings = max(1, -(-size // meet_bytes))
     entries = max(1 << 10, min(table_bytes, size // 16) // buckets)
-    shared = spark.sparkContext.broadcast(frequencies(docs, k, buckets, entries))
+    shared = spark.sparkContext.broadcast(frequencies(docs, k, key, buckets, entries))
 
     @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((buckets, entries), np.uint8)
-        for key, x in shared.value.items():
-            table[key] = np.frombuffer(x, np.uint8)
+        for bucket, x in shared.value.items():
+            table[bucket] = np.frombuffer(x, np.uint8)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offs = textops.text_buffer(b.column(1))
             for i, j in textops.slices(offs):
-                sets = Sets.of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+                sets = Sets.of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k, key)
                 own = ids[i:j]
                 first, same = _distinct(sets, own)
                 # bucket and entry as in frequencies(), where 32 bits of the hash remain
@@ -358,7 +358,7 @@ def candidates(docs: DataFrame, k: int, like: Likeness, count_bytes: int = 4 <<
     return sent.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, group boolean").groupBy("a", "b").agg(F.bool_or("group").alias("group"))
 
 
-def _by_pivots(rows: DataFrame, members: DataFrame, words: int, like: Likeness, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
+def _by_pivots(rows: DataFrame, members: DataFrame, words: int, key: int, like: Likeness, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
     """(sets still to be joined, links to pivots) of regions too large for a task.
 
     ``members``: region, rep, n.  Every set meets a few pivots of its region; those linked with
@@ -373,7 +373,7 @@ def _by_pivots(rows: DataFrame, members: DataFrame, words: int, like: Likeness,
 
     def sets_of(texts: list[str | None]) -> list[np.ndarray]:
         data, offs = textops.text_buffer(pa.array(texts, pa.string()))
-        return textops.shingle_sets(textops.Words(data, offs, lower=True), words)
+        return textops.shingle_sets(textops.Words(data, offs, lower=True), words, key)
 
     @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,10 +419,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     ``doc_id`` take no part, and of rows that share one the first stands (see
     one_row_per_id).  Other columns are ignored.  An empty table gives no rows.
     """
-    like = Likeness(num, den)
+    like, key = Likeness(num, den), textops.fresh_key()
     rows = one_row_per_id(docs, "doc_id", ["text"]).select(F.col("doc_id").cast("bigint"), "text")
-    facts = written(set_facts(rows, words), "facts")
-    found = written(candidates(rows, words, like), "candidates")
+    facts = written(set_facts(rows, words, key), "facts")
+    found = written(candidates(rows, words, key, like), "candidates")
     # pairs whose sizes or sketches differ too much for a link go
     names = ["n", *[f"s{i}" for i in range(_SKETCH)]]
     a = facts.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
@@ -438,7 +438,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     large = size.where(F.col("total") > region_members).select("region")
     joined, tied = reps.join(size.where(F.col("total") <= region_members), "region", "left_semi").select("region", "rep", "n"), None
     if large.limit(1).count():
-        near, tied = _by_pivots(rows, reps.join(large, "region", "left_semi"), words, like)
+        near, tied = _by_pivots(rows, reps.join(large, "region", "left_semi"), words, key, like)
         joined = joined.unionByName(near)
     # what is still larger than a task should hold is joined block by block, in every pair of blocks
     blocks = joined.groupBy("region").agg(F.ceil(F.sum("n") / region_members).cast("int").alias("blocks"))
@@ -453,7 +453,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         data, offs = textops.text_buffer(pa.concat_arrays(table.column("text").chunks) if table.num_rows else pa.array([], pa.string()))
         sets = []
         for x, y in textops.slices(offs):
-            sets += textops.shingle_sets(textops.Words(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x], lower=True), words)
+            sets += textops.shingle_sets(textops.Words(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x], lower=True), words, key)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         side = None if i == j else (table.column("own").to_numpy() == j).astype(np.int8)
         root = Region(sets, like, side).run()

@@ -2,17 +2,20 @@
 
 Windows of ``window`` words are dealt to shards by content: a window's key is the smallest
 hash among the ``gram``-word sequences it holds, so equal windows share a shard, and
-neighbouring windows with one key travel together as a run of words.  In a shard, runs
-whose key stands alone hold nothing repeated; equal runs are counted as one, the earliest.
-The others are indexed, and streamed through backward search over the shard's wavelet
-matrix: where the matching statistic reaches the window length, the interval's first
-occurrence tells whether the window starts earlier elsewhere.
+neighbouring windows with one key travel together as a run of words.  Two filters tell
+what may be repeated, first of keys, then of whole windows; only such windows travel.  A key
+that very many runs have - of a line in every document - would fill one shard, so its
+windows are dealt one by one, by their own hashes.
+
+In a shard equal runs are one, the earliest.  Runs are indexed, and streamed through backward
+search over the shard's wavelet matrix: where the matching statistic reaches the window length,
+the first place that was streamed through an interval is where its window starts first.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from .shared import input_bytes, lean, one_row_per_id, tidy, written
 U64 = np.uint64
 _SLICE = 1 << 20  # bytes of text at a time
 _RUN = 32  # windows of a run at most, so that runs are streamed in few steps
+_HOT = 64  # times that a key is sent and more, so that its windows are dealt one by one
 _HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("bytes", "<i4"), ("twice", "<i4")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("windows", "<i4")])
 
@@ -68,10 +72,10 @@ def _firsts(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs_of(data: np.ndarray, offs: np.ndarray, docs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, textops.Words]:
-    """(run heads, first byte of each, words) of the texts; a head's ``bytes`` are of its words."""
+def runs_of(data: np.ndarray, offs: np.ndarray, docs: np.ndarray, window: int, gram: int, salt: int) -> tuple[np.ndarray, np.ndarray, textops.Words, np.ndarray]:
+    """(run heads, first word of each, words, their hashes) of the texts; a head's ``bytes`` are of its words."""
     w = textops.Words(data, offs)
-    h = w.hashes()
+    h = w.hashes(salt)
     counts = w.counts
     doc = np.repeat(np.arange(len(counts)), counts)
     grams = textops.gram_hashes(h, gram)
@@ -79,7 +83,7 @@ def runs_of(data: np.ndarray, offs: np.ndarray, docs: np.ndarray, window: int, g
     t = np.arange(len(keys))
     t = t[doc[t] == doc[t + window - 1]]  # windows within one text
     if not len(t):
-        return np.zeros(0, _HEAD), np.zeros(0, np.int64), w
+        return np.zeros(0, _HEAD), np.zeros(0, np.int64), w, h
     new = np.append(True, (t[1:] != t[:-1] + 1) | (keys[t[1:]] != keys[t[:-1]]) | (doc[t[1:]] != doc[t[:-1]]))
     since = np.arange(len(t)) - np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
     new |= since % _RUN == 0
@@ -93,52 +97,54 @@ def runs_of(data: np.ndarray, offs: np.ndarray, docs: np.ndarray, window: int, g
     reach = n + window - gram
     head["twice"] = np.add.reduceat(grams[_ranges(s, reach)] == np.repeat(head["key"], reach), np.cumsum(reach) - reach) > 1
     order = np.lexsort((head["start"], head["doc"]))
-    head, s = head[order], s[order]
-    return head, s, w
+    return head[order], s[order], w, h
 
 
-def _word_hashes(text: bytes, sizes: np.ndarray) -> np.ndarray:
+def _word_hashes(text: bytes, sizes: np.ndarray, salt: int) -> np.ndarray:
     """Hashes of the words of runs that a byte ends, a slice of runs at a time."""
     data, offs = np.frombuffer(text, np.uint8), np.append(0, np.cumsum(sizes.astype(np.int64) + 1))
-    parts = [textops.Words(data[offs[i] : offs[j]], np.array([0, offs[j] - offs[i]])).hashes() for i, j in textops.slices(offs, _SLICE)]
+    parts = [textops.Words(data[offs[i] : offs[j]], np.array([0, offs[j] - offs[i]])).hashes(salt) for i, j in textops.slices(offs, _SLICE)]
     return np.concatenate([*parts, np.zeros(0, U64)])
 
 
-def earlier_windows(head: np.ndarray, text: bytes, window: int) -> np.ndarray:
+def earlier_windows(head: np.ndarray, text: bytes, window: int, salt: int) -> np.ndarray:
     """Spans of windows that start earlier among the runs; ``head`` in (doc, start) order."""
     length = head["windows"].astype(np.int64) + window - 1
     start = np.cumsum(length) - length
-    h = _word_hashes(text, head["bytes"])
-    first = _firsts(_run_hashes(h, start, length))
-    out = [_spans(head[~first])]
-    head, start, length = head[first], start[first], length[first]
-    _, at, many = np.unique(head["key"], return_inverse=True, return_counts=True)
-    ids = np.unique(h, return_inverse=True)[1].astype(np.int64) + 1
-    keep = (many[at] > 1) | (head["twice"] > 0)
-    head, start, length = head[keep], start[keep], length[keep]
-    if not len(head):
-        return np.concatenate(out)
-    symbols = np.unique(ids[_ranges(start, length)], return_inverse=True)[1].astype(np.int64) + 1
+    h = _word_hashes(text, head["bytes"], salt)
+    _, first, kind, copies = np.unique(_run_hashes(h, start, length), return_index=True, return_inverse=True, return_counts=True)
+    _, at, many = np.unique(head["key"][first], return_inverse=True, return_counts=True)
+    use = (many[at] > 1) | (head["twice"][first] > 0) | (copies > 1)  # of kinds of runs; other ones hold nothing repeated
+    if not use.any():
+        return np.zeros(0, _SPAN)
+    runs = np.sort(first[use])
+    of_kind = np.full(len(use), -1)
+    of_kind[kind[runs]] = np.arange(len(runs))
+    own, start, length = head[runs], start[runs], length[runs]
+    symbols = np.unique(h[_ranges(start, length)], return_inverse=True)[1].astype(np.int64) + 1
+    del h
     place = np.cumsum(length + 1) - length - 1
     whole = np.zeros(int((length + 1).sum()), np.int64)
-    at = _ranges(place, length)
-    whole[at] = symbols
-    index = FMIndex(whole, window)
-    matched, lo = index.matching_statistics(whole, place, length)
-    lo_of, _ = index.bounds(window)
-    starts = np.unique(lo_of)
-    earliest = np.zeros(index.n, np.int64)
-    earliest[starts] = np.minimum.reduceat(index.sa, starts)
-    hit = np.flatnonzero((matched == window) & (earliest[lo_of[lo]] < np.arange(len(whole))) & (whole > 0))
+    whole[_ranges(place, length)] = symbols
+    matched, lo = FMIndex(whole, window).matching_statistics(whole, place, length)
+    at = np.flatnonzero((matched == window) & (whole > 0))  # where windows start
+    # runs are streamed in order, so an interval's window starts first at its first place
+    hit = at[~_firsts(lo[at])]
+    out = []
     if len(hit):
         run = np.searchsorted(place, hit, "right") - 1
         cut = np.append(True, (hit[1:] != hit[:-1] + 1) | (run[1:] != run[:-1]))
         a = np.flatnonzero(cut)
         span = np.zeros(len(a), _SPAN)
-        span["doc"], span["start"] = head["doc"][run[a]], head["start"][run[a]] + hit[a] - place[run[a]]
+        span["doc"], span["start"] = own["doc"][run[a]], own["start"][run[a]] + hit[a] - place[run[a]]
         span["windows"] = np.diff(np.append(a, len(hit)))
         out.append(span)
-    return np.concatenate(out)
+    # a copy has the windows of the run it equals, which the index found at an earlier place
+    found = np.bincount(np.searchsorted(place, at, "right") - 1, minlength=len(runs)) == own["windows"]
+    copy = np.ones(len(head), bool)
+    copy[first] = False
+    copy &= (of_kind[kind] >= 0) & found[of_kind[kind]]
+    return np.concatenate([*out, _spans(head[copy])])
 
 
 def _spans(head: np.ndarray) -> np.ndarray:
@@ -148,14 +154,40 @@ def _spans(head: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slice_runs(data: np.ndarray, offs: np.ndarray, docs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, textops.Words, np.ndarray]:
-    """(heads, first words, words, spans): a slice's runs, equal ones once (the earliest); the
-    spans are of the others, whose windows all start earlier."""
-    head, s, w = runs_of(data, offs, docs, window, gram)
+def _slice_runs(data: np.ndarray, offs: np.ndarray, docs: np.ndarray, window: int, gram: int, salt: int) -> tuple[np.ndarray, np.ndarray, textops.Words, np.ndarray, np.ndarray]:
+    """(heads, first words, words, their hashes, spans): a slice's runs, equal ones once (the
+    earliest); the spans are of the others, whose windows all start earlier."""
+    head, s, w, h = runs_of(data, offs, docs, window, gram, salt)
     if not len(head):
-        return head, s, w, np.zeros(0, _SPAN)
-    first = _firsts(_run_hashes(w.hashes(), s, head["windows"].astype(np.int64) + window - 1))
-    return head[first], s[first], w, _spans(head[~first])
+        return head, s, w, h, np.zeros(0, _SPAN)
+    first = _firsts(_run_hashes(h, s, head["windows"].astype(np.int64) + window - 1))
+    return head[first], s[first], w, h, _spans(head[~first])
+
+
+class Sent:
+    """What a task has sent, as far as a table of fixed size remembers, so that hashes which are
+    frequent don't travel from each of its slices."""
+
+    def __init__(self, size: int = 1 << 16):
+        self.mask = U64(size - 1)
+        self.hash, self.times = np.zeros(size, U64), np.zeros(size, np.int8)
+        self.doc, self.start = np.zeros(size, np.int64), np.zeros(size, np.int64)
+
+    def twice(self, values: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which of the distinct ``values`` were sent twice already; the others, found ``n`` times, are sent now."""
+        slot = textops.mix(values) & self.mask
+        same = self.hash[slot] == values
+        before = np.where(same, self.times[slot], 0)
+        self.hash[slot], self.times[slot] = values, np.minimum(before + np.minimum(n, 2), 2)
+        return before >= 2
+
+    def earlier(self, values: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which of the distinct ``values`` were sent from an earlier place; the others are sent now."""
+        slot = textops.mix(values) & self.mask
+        out = (self.hash[slot] == values) & (self.times[slot] > 0) & ((self.doc[slot] < doc) | (self.doc[slot] == doc) & (self.start[slot] < start))
+        now = slot[~out]
+        self.hash[now], self.times[now], self.doc[now], self.start[now] = values[~out], 1, doc[~out], start[~out]
+        return out
 
 
 def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -172,68 +204,148 @@ def _by_shard(shard: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return shard[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(shard)).tolist() if len(cuts) else []
 
 
-def repeated_keys(docs: DataFrame, window: int, gram: int, shards: int, bits: int) -> dict[int, bytes]:
-    """A Bloom filter of the keys that more than one run has: for each shard its ``bits`` bits."""
+class Filter:
+    """Bits by shard that say which hashes were found more than once, and which very often."""
+
+    def __init__(self, given: dict[int, tuple[bytes, bytes]], shards: int, bits: int):
+        self.shards, self.bits = shards, bits
+        self.known, self.often = np.zeros((shards, bits // 8), np.uint8), None
+        for k, (x, hot) in given.items():
+            self.known[k] = np.frombuffer(x, np.uint8)
+            if hot:
+                self.often = np.zeros_like(self.known) if self.often is None else self.often
+                self.often[k] = np.frombuffer(hot, np.uint8)
+
+    def _look(self, table: np.ndarray, values: np.ndarray) -> np.ndarray:
+        place = _places(values, self.bits)
+        return (table[_shards(values, self.shards), place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        return self._look(self.known, values)
+
+    def hot(self, values: np.ndarray) -> np.ndarray:
+        return np.zeros(len(values), bool) if self.often is None else self._look(self.often, values)
+
+
+def _repeated(docs: DataFrame, prepare: Callable, shards: int, bits: int, often: int | None = None) -> dict[int, tuple[bytes, bytes]]:
+    """For each shard a Bloom filter of ``bits`` bits of the hashes that are found more than once,
+    and one of those that are sent ``often`` times (empty if there is none).
+
+    ``prepare()``, called once by a task, gives the function of (data, offsets, ids) that has the
+    hashes of a slice of texts.
+    """
 
     @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, hashes_of = Sent(), prepare()
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offs = textops.text_buffer(b.column(1))
             for i, j in textops.slices(offs, _SLICE):
-                head, _, _, _ = _slice_runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ids[i:j], window, gram)
-                if not len(head):
+                values, n = np.unique(hashes_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ids[i:j]), return_counts=True)
+                fresh = ~sent.twice(values, n)
+                values, n = values[fresh], n[fresh]
+                if not len(values):
                     continue
-                keys, n = np.unique(head["key"], return_counts=True)
-                # a key that is repeated already is sent twice
-                keys = np.concatenate([keys, keys[n > 1]])
-                shard = _shards(keys, shards)
+                # what is repeated already is sent twice
+                values = np.concatenate([values, values[n > 1]])
+                shard = _shards(values, shards)
                 order = np.argsort(shard, kind="stable")
                 of, begin, end = _by_shard(shard[order])
-                keys = keys[order]
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([keys[x:y].tobytes() for x, y in zip(begin, end)], pa.binary())], names=["shard", "keys"])
+                values = values[order]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([values[x:y].tobytes() for x, y in zip(begin, end)], pa.binary())], names=["shard", "hashes"])
 
     def fill(table: pa.Table) -> pa.Table:
-        keys = np.sort(np.concatenate([np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]))
-        again = keys[1:][keys[1:] == keys[:-1]]
-        have = np.zeros(bits, bool)
-        have[_places(again, bits)] = True
-        return pa.table({"shard": table.column("shard").slice(0, 1), "filter": pa.array([np.packbits(have, bitorder="little").tobytes()], pa.binary())})
+        values, n = np.unique(np.concatenate([np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]), return_counts=True)
+
+        def filled(some: np.ndarray) -> bytes:
+            have = np.zeros(bits, bool)
+            have[_places(values[some], bits)] = True
+            return np.packbits(have, bitorder="little").tobytes()
+
+        hot = n >= (often or np.inf)
+        return pa.table({"shard": table.column("shard").slice(0, 1), "filter": pa.array([filled(n > 1)], pa.binary()), "hot": pa.array([filled(hot) if hot.any() else b""], pa.binary())})
+
+    sent = docs.mapInArrow(send, "shard int, hashes binary")
+    rows = sent.groupBy("shard").applyInArrow(fill, "shard int, filter binary, hot binary").toArrow()
+    return dict(zip(rows.column("shard").to_pylist(), zip(rows.column("filter").to_pylist(), rows.column("hot").to_pylist())))
 
-    sent = docs.mapInArrow(send, "shard int, keys binary")
-    rows = sent.groupBy("shard").applyInArrow(fill, "shard int, filter binary").toArrow()
-    return dict(zip(rows.column("shard").to_pylist(), rows.column("filter").to_pylist()))
+
+def _pieces(head: np.ndarray, s: np.ndarray, h: np.ndarray, w: textops.Words, keys: Filter, windows: Filter, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(heads, first words) of the parts of runs whose windows may be repeated; under a hot key each
+    window is a part of its own, with its own hash as key."""
+    may = keys.has(head["key"]) | (head["twice"] > 0)
+    head, s = head[may], s[may]
+    if not len(head):
+        return head, s
+    n = head["windows"].astype(np.int64)
+    at, run = _ranges(s, n), np.repeat(np.arange(len(head)), n)
+    own = _run_hashes(h, at, np.full(len(at), window))
+    some = windows.has(own)
+    at, run, own = at[some], run[some], own[some]
+    if not len(at):
+        return head[:0], s[:0]
+    hot = keys.hot(head["key"][run])
+    new = np.append(True, (at[1:] != at[:-1] + 1) | (run[1:] != run[:-1])) | hot
+    first = np.flatnonzero(new)
+    out = head[run[first]]
+    out["start"] += (at[first] - s[run[first]]).astype(np.int32)
+    out["windows"] = np.diff(np.append(first, len(at)))
+    out["key"] = np.where(hot[first], own[first], out["key"])
+    out["bytes"] = w.end[at[first] + out["windows"] + window - 2] - w.start[at[first]]
+    return out, at[first]
 
 
 def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes: int = 2 << 20, filter_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, start, windows): windows start..start+windows-1 that occur earlier.
 
     ``docs``: ``doc_id`` (distinct, not null) and ``text``.  Earlier is a smaller ``doc_id``,
-    or an earlier start in the same text.  Only runs whose key may be repeated travel with their words:
-    a Bloom filter of ``filter_bytes`` at most tells which; if it is too small for a corpus,
-    more runs travel, and none is lost.
+    or an earlier start in the same text.  Only windows that may be repeated travel with their words:
+    Bloom filters of ``filter_bytes`` at most tell which; if they are too small for a corpus,
+    more windows travel, and none is lost.
     """
-    spark = docs.sparkSession
+    spark, salt = docs.sparkSession, textops.fresh_key()
     size = input_bytes(docs, "text")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     bits = max(1 << 10, min(filter_bytes * 8, size // 4) // shards // 8 * 8)
-    shared = spark.sparkContext.broadcast(repeated_keys(docs, window, gram, shards, bits))
+
+    def keys_of() -> Callable:
+        return lambda data, offs, ids: _slice_runs(data, offs, ids, window, gram, salt)[0]["key"]
+
+    keys = spark.sparkContext.broadcast(_repeated(docs, keys_of, shards, bits, _HOT))
+
+    def windows_of() -> Callable:
+        known = Filter(keys.value, shards, bits)
+
+        def hashes(data: np.ndarray, offs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+            head, s, _, h, _ = _slice_runs(data, offs, ids, window, gram, salt)
+            may = known.has(head["key"]) | (head["twice"] > 0)
+            n = head["windows"][may].astype(np.int64)
+            return _run_hashes(h, at := _ranges(s[may], n), np.full(len(at), window))
+
+        return hashes
+
+    windows = spark.sparkContext.broadcast(_repeated(docs, windows_of, shards, bits))
 
     @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        known = np.zeros((shards, bits // 8), np.uint8)
-        for k, x in shared.value.items():
-            known[k] = np.frombuffer(x, np.uint8)
+        of_keys, of_windows, sent = Filter(keys.value, shards, bits), Filter(windows.value, shards, bits), Sent()
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offs = textops.text_buffer(b.column(1))
             for i, j in textops.slices(offs, _SLICE):
-                head, s, w, done = _slice_runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ids[i:j], window, gram)
-                shard, place = _shards(head["key"], shards), _places(head["key"], bits)
-                may = ((known[shard, place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0) | (head["twice"] > 0)
-                head, s, shard = head[may], s[may], shard[may]
+                head, s, w, h, done = _slice_runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ids[i:j], window, gram, salt)
+                head, s = _pieces(head, s, h, w, of_keys, of_windows, window)
+                if len(head):
+                    # equal parts of the slice's runs, and of what the task has sent, needn't travel again
+                    own = _run_hashes(h, s, head["windows"].astype(np.int64) + window - 1)
+                    first = _firsts(own)
+                    first[first] = ~sent.earlier(own[first], head["doc"][first], head["start"][first])
+                    done = np.concatenate([done, _spans(head[~first])])
+                    head, s = head[first], s[first]
+                shard = _shards(head["key"], shards)
                 order = np.argsort(shard, kind="stable")
                 head, s, shard = head[order], s[order], shard[order]
                 size = head["bytes"].astype(np.int64)
@@ -251,27 +363,14 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8, shard_bytes
 
     def search(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        heads = [np.frombuffer(x, _HEAD) for x in table.column("head").to_pylist()]
         done = [np.frombuffer(x, _SPAN) for x in table.column("done").to_pylist()]
-        head = np.concatenate(heads)
-        _, at, many = np.unique(head["key"], return_inverse=True, return_counts=True)
-        keep = (many[at] > 1) if len(head) else np.zeros(0, bool)
-        keep |= head["twice"] > 0
-        parts, kept, k = [], [], 0
-        for own, x in zip(heads, table.column("text").to_pylist()):
-            mine = keep[k : k + len(own)]
-            k += len(own)
-            if mine.any():
-                raw = np.frombuffer(unpack.decompress(x), np.uint8)
-                size = own["bytes"].astype(np.int64) + 1
-                parts.append(raw[_ranges((np.cumsum(size) - size)[mine], size[mine])])
-                kept.append(own[mine])
-        if kept:
-            head, text = np.concatenate(kept), np.concatenate(parts)
+        head = np.concatenate([np.frombuffer(x, _HEAD) for x in table.column("head").to_pylist()])
+        if len(head):
+            text = np.frombuffer(b"".join(unpack.decompress(x) for x in table.column("text").to_pylist() if x), np.uint8)
             size = head["bytes"].astype(np.int64) + 1
             order = np.lexsort((head["start"], head["doc"]))
             text = text[_ranges((np.cumsum(size) - size)[order], size[order])]
-            done.append(earlier_windows(head[order], text.tobytes(), window))
+            done.append(earlier_windows(head[order], text.tobytes(), window, salt))
         got = np.concatenate(done)
         tidy()
         return pa.table({"doc_id": pa.array(got["doc"]), "start": pa.array(got["start"]), "windows": pa.array(got["windows"])})

@@ -2,10 +2,16 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which for UTF-8
 is the pattern ``[^\\x20\\x09-\\x0D]+``.  Everything here works on whole texts.
+
+Hashes take a key, drawn anew by :func:`fresh_key` for each run of an operator, so that no
+text can be made to hold different words with one hash; what the operators return doesn't
+hang on the key.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +25,12 @@ IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_BLOCKWISE = 256  # bytes; longer words are hashed one by one
+
+
+def fresh_key() -> int:
+    return secrets.randbits(64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,14 +97,21 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        up, down = _powers_to(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * up[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    def hashes(self, key: int) -> np.ndarray:
+        """A 64-bit hash of each word's bytes: blocks of eight are mixed in one after the other."""
+        size = self.end - self.start
+        data = np.append(self.data, np.zeros(8, np.uint8))
+        blocks = np.ndarray(len(data) - 7, "<u8", data.data, strides=(1,))  # the eight bytes from each place
+        h = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) ^ U64(key))
+        long = np.flatnonzero(size > _BLOCKWISE)
+        todo, at, left = slice(None), self.start, np.where(size > _BLOCKWISE, 0, size)
+        while len(at):
+            h[todo] = mix((h[todo] ^ (blocks[at] & _LOW_BYTES[np.minimum(left, 8)])) * U64(0x9FB21C651E98DF25))
+            more = np.flatnonzero(left > 8)
+            todo, at, left = more if isinstance(todo, slice) else todo[more], at[more] + 8, left[more] - 8
+        for i in long.tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].data, digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+        return h
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -106,13 +125,13 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
+def shingle_sets(words: Words, k: int, key: int) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles.
 
     A row with 1 to k-1 words has its whole sequence as its only shingle; a row
     without words has none.
     """
-    h = words.hashes()
+    h = words.hashes(key)
     grams = gram_hashes(h, k)
     out = []
     for a, b in zip(words.first[:-1], words.first[1:]):

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from colonnade.llm import jaccard, substring
+from colonnade.llm import jaccard, substring, textops
 from colonnade.llm.components import connected_components
 from colonnade.llm.fmindex import FMIndex, WaveletMatrix
 
@@ -60,6 +60,91 @@ def test_repeats_in_noise(spark, seed):
     assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got} == brute_removed(rows, 20)
 
 
+def one_line_in_all(seed):
+    """Documents with one line in common, and some whole passages around it."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(5))
+    line = [word() for _ in range(12)]
+    around = [([word() for _ in range(15)], [word() for _ in range(15)]) for _ in range(10)]
+    rows = []
+    for i in range(600):
+        a, b = r.choice(around) if i % 10 == 0 else ([word() for _ in range(15)], [word() for _ in range(15)])
+        rows.append((i, " ".join([word(), *a, *line, *b, word()])))
+    return rows
+
+
+def test_a_line_in_every_document_sends_no_unique_window(spark, monkeypatch):
+    rows = one_line_in_all(3)
+    monkeypatch.setattr(substring, "_SLICE", 4000)  # the driver's closures carry it
+    docs = documents(spark, rows).repartition(8)
+    got = substring.remove_repeats(docs, window=20).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got} == brute_removed(rows, 20)
+
+
+def test_parts_of_runs():
+    r = np.random.default_rng(1)
+    rows = [" ".join(f"w{x}" for x in [*r.integers(0, 9999, 15), *range(20_000, 20_012), *r.integers(0, 9999, 15)]) for _ in range(300)]
+    text = " ".join(rows).encode()
+    sizes = np.append(0, np.cumsum([len(x) + 1 for x in rows]))
+    sizes[-1] -= 1
+    head, s, w, h, _ = substring._slice_runs(np.frombuffer(text, np.uint8), sizes, np.arange(300), 20, 8, 7)
+    shared = np.bincount(np.unique(head["key"], return_inverse=True)[1]).max()
+    assert shared > 100  # the line's key leads in many runs
+
+    def bits(values, hot=(), n=1 << 16):
+        def filled(x):
+            x = np.asarray(x, np.uint64)
+            return {k: np.packbits(np.isin(np.arange(n), substring._places(x[substring._shards(x, 4) == k], n)), bitorder="little").tobytes() for k in range(4)}
+
+        known, often = filled(values), filled(hot)
+        return substring.Filter({k: (known[k], often[k] if len(hot) else b"") for k in known}, 4, n)
+
+    keys, n = np.unique(head["key"], return_counts=True)
+    none, _ = substring._pieces(head, s, h, w, bits(keys[n > 1]), bits([]), 20)
+    assert len(none) == 0
+    at = substring._ranges(s, head["windows"].astype(np.int64))
+    some = substring._run_hashes(h, at, np.full(len(at), 20))[::3]
+    for hot in ((), keys[n > 100]):
+        parts, first = substring._pieces(head, s, h, w, bits(keys, hot=hot), bits(some), 20)
+        assert len(parts) and (parts["bytes"] == w.end[first + parts["windows"] + 18] - w.start[first]).all()
+        covered = set(substring._run_hashes(h, t := substring._ranges(first, parts["windows"].astype(np.int64)), np.full(len(t), 20)).tolist())
+        assert covered >= set(some.tolist())
+        if len(hot):
+            single = ~np.isin(parts["key"], keys)
+            assert single.any() and (parts["windows"][single] == 1).all()
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+LONG_WORDS = [1024, 2048, 4096, 65_536]
+
+
+def test_long_words_that_differ_everywhere_are_no_repeats(spark):
+    rows = []
+    for n in LONG_WORDS:
+        rows += [(len(rows), " ".join([thue_morse(n)] * 10 + [f"{n}x{i}" for i in range(10)])), (len(rows) + 1, " ".join([thue_morse(n, "b", "a")] * 10 + [f"{n}x{i}" for i in range(10)]))]
+    got = substring.remove_repeats(documents(spark, rows), window=20).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got} == brute_removed(rows, 20)
+    assert not any(x["n_removed"] for x in got)
+
+
+def test_long_words_that_differ_everywhere_dont_link(spark):
+    rows = [(2 * k + i, f"{thue_morse(n, *pair)} {thue_morse(n, *pair)}") for k, n in enumerate(LONG_WORDS) for i, pair in enumerate(("ab", "ba"))]
+    assert components(documents(spark, rows)) == brute_components(rows, 4, 85, 100)
+
+
+def test_word_hashes_are_of_all_bytes():
+    words_ = [b"a" * n for n in (1, 7, 8, 9, 15, 16, 17, 255, 256, 257, 600)]
+    words_ += [w[:-1] + b"b" for w in words_] + [b"b" + w[1:] for w in words_[1:]] + [w[: len(w) // 2] + b"c" + w[len(w) // 2 + 1 :] for w in words_ if len(w) > 2]
+    words_ = sorted(set(words_))
+    text = b" ".join(words_)
+    w = textops.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(set(w.hashes(5).tolist())) == len(words_) and not set(w.hashes(5).tolist()) & set(w.hashes(6).tolist())
+    assert [h for x in words_ for h in textops.Words(np.frombuffer(x, np.uint8), np.array([0, len(x)])).hashes(5).tolist()] == w.hashes(5).tolist()
+
+
 def test_cut_documents_keep_their_columns(edge):
     got = {r["doc_id"]: r for r in substring.remove_repeats_from(edge).collect()}
     assert 7 in got and 8 not in got and got[9]["text"].endswith("tail") and got[0]["text"] is None
@@ -99,9 +184,9 @@ def test_matching_statistics(parts, queries, depth):
         for i in range(len(q)):
             best = max((n for n in range(1, min(depth, len(q) - i) + 1) if any(t[a : a + n] == q[i : i + n] for a in range(len(t)))), default=0)
             assert got[k] == best
-            if best:
-                a = int(index.sa[lo[k]])
-                assert t[a : a + best] == q[i : i + best]
+            if best:  # the interval holds every place of the match
+                low, high = index.bounds(best, lo[k : k + 1])
+                assert low[0] == lo[k] and high[0] - low[0] == sum(t[a : a + best] == q[i : i + best] for a in range(len(t)))
             k += 1
 
 
@@ -194,8 +279,8 @@ def test_small_table_loses_no_pair(spark):
     rows = near_copies(7, groups=6)
     df = documents(spark, rows).select("doc_id", "text")
     like = jaccard.Likeness(85, 100)
-    found = {(r["a"], r["b"]) for r in jaccard.candidates(df, 4, like, table_bytes=64).collect()}
-    assert found >= {(r["a"], r["b"]) for r in jaccard.candidates(df, 4, like).collect()}
+    found = {(r["a"], r["b"]) for r in jaccard.candidates(df, 4, 5, like, table_bytes=64).collect()}
+    assert found >= {(r["a"], r["b"]) for r in jaccard.candidates(df, 4, 5, like).collect()}
 
 
 def test_no_rows(none):
