@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import lean, one_row_per_id, prefix_sums
+from .shared import lean, prefix_sums, written
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -150,9 +150,9 @@ def shard_counts(totals: np.ndarray, shards: int, per_shard: int, shard: int, se
 
 @dataclass
 class Mix:
-    """``docs``: row_key, doc_id, source, size, offset.  ``spans``: the mix itself, one row
-    per (slot, document): shard, slot, source, epoch, block, row_key, doc_id, start, n - words
-    start..start+n-1 of the document."""
+    """``docs``: row_key, doc_id, source, text_hash, size, offset.  ``spans``: the mix itself, one
+    row per (slot, document): shard, slot, source, epoch, block, row_key, doc_id, text_hash, start,
+    n - words start..start+n-1 of the document."""
 
     docs: DataFrame
     quotas: list[Quota]
@@ -166,21 +166,26 @@ def mix_sources(docs: DataFrame, block: int = 512, per_shard: int = 1024, seed:
     """Mix every document of ``docs`` (``doc_id``, ``text``, ``source``) to its source's target.
 
     A null or empty text has no words and is never taken; a null source is a source of its
-    own.  Rows with a null ``doc_id`` take no part, and of rows that share one the first
-    stands (see one_row_per_id).  Other columns are ignored.  An empty table gives an
-    empty mix.  Reruns on the same rows agree.
+    own.  Every row is a document, those with a null or a shared ``doc_id`` too; in a source
+    they stand by ``doc_id``, nulls first, then by a hash of the text.  Other columns are
+    ignored.  An empty table gives an empty mix.  Reruns on the same rows agree.
+
+    The driver and every shard hold a few numbers for each source, which is meant for up to
+    some ten thousand of them.
     """
     spark = docs.sparkSession
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = textops.text_buffer(b.column(2))
+            data, offs = textops.text_buffer(b.column(3))
             n = [textops.Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]).counts for i, j in textops.slices(offs)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int64))], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int64))], names=["doc_id", "source", "text_hash", "size"])
 
-    rows = one_row_per_id(docs, "doc_id", ["source", "text"]).select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text"))
-    sized = prefix_sums(rows.mapInArrow(count, "doc_id bigint, source string, size bigint"), ["source"], ["doc_id"], "size", "offset", "sized")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.xxhash64("text").alias("text_hash"), "text")
+    # written, since the range partitioner would count the words once for its sample and once more
+    counted = written(rows.mapInArrow(count, "doc_id bigint, source string, text_hash bigint, size bigint"), "counted")
+    sized = prefix_sums(counted, ["source"], ["doc_id", "text_hash"], "size", "offset", "sized")
     # one row per source
     sizes = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     goal = targets(sizes, weights, most)
@@ -218,11 +223,11 @@ def mix_sources(docs: DataFrame, block: int = 512, per_shard: int = 1024, seed:
         sized.where("size > 0")
         .join(F.broadcast(names.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("block", F.explode(F.sequence(F.expr(f"offset div {block}"), F.expr(f"(offset + size - 1) div {block}"))))
-        .select("rank", "block", "row_key", "doc_id", "source", "offset", F.greatest(F.col("block") * b, F.col("offset")).alias("a"), F.least((F.col("block") + 1) * b, F.col("offset") + F.col("size")).alias("z"))
+        .select("rank", "block", "row_key", "doc_id", "text_hash", "source", "offset", F.greatest(F.col("block") * b, F.col("offset")).alias("a"), F.least((F.col("block") + 1) * b, F.col("offset") + F.col("size")).alias("z"))
     )
     end = F.least(F.col("z"), F.col("block") * b + F.col("take"))
     # the slots' number isn't known to the planner, which would broadcast them
-    spans = slots.join(parts.hint("merge"), ["rank", "block"]).where(end > F.col("a")).select("shard", "slot", "source", "epoch", "block", "row_key", "doc_id", (F.col("a") - F.col("offset")).alias("start"), (end - F.col("a")).alias("n"))
+    spans = slots.join(parts.hint("merge"), ["rank", "block"]).where(end > F.col("a")).select("shard", "slot", "source", "epoch", "block", "row_key", "doc_id", "text_hash", (F.col("a") - F.col("offset")).alias("start"), (end - F.col("a")).alias("n"))
     return Mix(sized, quotas, spans)
 
 
@@ -247,12 +252,19 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
 
     A document that an epoch takes whole keeps its text as it is; of one that it takes in
     part, each run of taken words stands with the white space between them, runs joined by
-    a space.  ``n_chars`` is the new text's length.  Documents the mix doesn't take go.
+    a space.  ``n_chars`` is the new text's length.  Documents the mix doesn't take go.  Of rows
+    with one doc_id, source and text each has its own runs; their other columns are those of the
+    row with the smallest values.
     """
-    runs = mix.spans.groupBy("doc_id").agg(F.collect_list(F.struct("epoch", "start", "n")).alias("__colonnade_runs"))
-    cols = docs.columns
+    cols, key = docs.columns, ["doc_id", "source", "text_hash"]
+    runs = mix.spans.groupBy(*key).agg(F.collect_list(F.struct("row_key", "epoch", "start", "n")).alias("__colonnade_runs"))
+    runs = runs.select("__colonnade_runs", *[F.col(c).alias(f"__colonnade_{c}") for c in key])
+    if mix.docs.groupBy(*key).count().where("count > 1").limit(1).count():
+        rest = [c for c in cols if c not in key]
+        docs = docs.groupBy("doc_id", "source", F.xxhash64("text").alias("__colonnade_h")).agg(F.min(F.struct(*rest)).alias("__colonnade_m")).select(*[F.col("__colonnade_m")[c].alias(c) if c in rest else F.col(c) for c in cols])
     ti, ni = cols.index("text"), cols.index("n_chars") if "n_chars" in cols else -1
-    joined = docs.join(runs.hint("shuffle_hash"), "doc_id").select(*cols, "__colonnade_runs")
+    same = docs["doc_id"].cast("bigint").eqNullSafe(runs["__colonnade_doc_id"]) & docs["source"].cast("string").eqNullSafe(runs["__colonnade_source"]) & (F.xxhash64(docs["text"]) == runs["__colonnade_text_hash"])
+    joined = docs.join(runs.hint("shuffle_hash"), same).select(*[docs[c] for c in cols], "__colonnade_runs")
 
     @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +273,9 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
             for i, (text, runs) in enumerate(zip(b.column(ti).to_pylist(), b.column(len(cols)).to_pylist())):
                 raw = text.encode()
                 w = textops.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                by: dict[int, list[tuple[int, int]]] = {}
-                for r in sorted(runs, key=lambda r: (r["epoch"], r["start"])):
-                    own = by.setdefault(r["epoch"], [])
+                by: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                for r in sorted(runs, key=lambda r: (r["row_key"], r["epoch"], r["start"])):
+                    own = by.setdefault((r["row_key"], r["epoch"]), [])
                     if own and own[-1][1] == r["start"]:
                         own[-1] = (own[-1][0], r["start"] + r["n"])
                     else:

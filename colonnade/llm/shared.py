@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import functools
 import uuid
@@ -17,9 +19,46 @@ from pyspark.sql import types as T
 from ..sources import shared_folder
 
 
+_ledgers: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that every executor and the driver share."""
-    return f"{shared_folder(spark).rstrip('/')}/colonnade/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that every executor and the driver share; an application's paths go when its driver ends."""
+    top = f"{shared_folder(spark).rstrip('/')}/colonnade/{spark.sparkContext.applicationId}"
+    if top not in _tops:
+        _tops.add(top)
+        atexit.register(_delete_at_exit, spark, top)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    for ledger in _ledgers:
+        ledger.append(path)
+    return path
+
+
+_tops: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session was stopped before
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(spark, path)
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are written in the block are deleted at its end, but for those taken off the list (:func:`keep`)."""
+    ledger: list[str] = []
+    _ledgers.append(ledger)
+    try:
+        yield ledger
+    finally:
+        _ledgers[:] = [x for x in _ledgers if x is not ledger]
+        for path in ledger:
+            _delete(spark, path)
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -37,13 +76,16 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return back
 
 
+def keep(df: DataFrame, ledger: list[str]) -> DataFrame:
+    ledger.remove(df._colonnade_path)
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`written` once nothing reads it any more."""
     path = getattr(df, "_colonnade_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        _delete(df.sparkSession, path)
 
 
 def one_row_per_id(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -61,6 +103,15 @@ def one_row_per_id(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_m")).select(key, *[F.col("_m")[c].alias(c) for c in rest])
 
 
+def unique_ids(df: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` isn't null and is no other row's.  Keys are counted first."""
+    df = df.where(F.col(key).isNotNull())
+    shared = df.groupBy(key).count().where("count > 1")
+    if shared.limit(1).count() == 0:
+        return df
+    return df.join(shared.select(key), key, "left_anti").select(*df.columns)
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str, name: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over rows before this one in its group, in order.
 

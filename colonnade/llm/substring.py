@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import textops
 from .fmindex import FMIndex
-from .shared import input_bytes, lean, one_row_per_id, tidy, written
+from .shared import input_bytes, lean, one_row_per_id, tidy, unique_ids, written
 
 U64 = np.uint64
 _SLICE = 1 << 20  # bytes of text at a time
@@ -446,10 +446,10 @@ def remove_repeats_from(docs: DataFrame, window: int = 20, gram: int = 8, shard_
     """``docs`` with its texts cut as by :func:`remove_repeats`, all its columns kept.
 
     ``n_chars``, if there, becomes the new text's length.  Documents of which no word is left
-    go; those without words from the start stay.
+    go; those without words from the start stay.  A null ``doc_id``, or one that several rows
+    have, names no document: such rows stay as they are, and nothing is held against them.
     """
-    docs = one_row_per_id(docs, "doc_id", [c for c in docs.columns if c != "doc_id"]).select(*docs.columns)
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+    rows = unique_ids(docs.select("doc_id", "text"), "doc_id").select(F.col("doc_id").cast("bigint"), "text")
     cut = _cut(_with_spans(docs, rows, window, gram, shard_bytes), docs.columns.index("text"), window)
     left = cut.where("__colonnade_n_removed = 0 OR __colonnade_n_removed < __colonnade_n_words")
     return left.select(*[F.when(F.col("__colonnade_n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

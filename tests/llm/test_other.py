@@ -78,6 +78,17 @@ def test_mix_of_edges(edge, none, spark):
     assert mixing.taken_words(mixing.mix_sources(documents(spark, [(1, None), (2, "")]))).count() == 2
 
 
+def test_mix_of_null_and_shared_ids(spark):
+    rows = [(None, "a b c"), (None, "d e"), (1, "f g h"), (1, "f g h"), (1, "i"), (2, None), (3, "j k l m")]
+    docs = spark.createDataFrame([(i, t, "s", k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, source string, n_chars bigint")
+    mix = mixing.mix_sources(docs, block=2)
+    taken = mixing.taken_words(mix).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in taken if r["doc_id"] is not None) == [(1, 1), (1, 3), (1, 3), (2, 0), (3, 4)]
+    assert sorted(r["size"] for r in taken if r["doc_id"] is None) == [2, 3] and sum(r["taken"] for r in taken) == 16 == taken[0]["target"]
+    got = mixing.mixed_documents(docs, mix).collect()
+    assert sorted(r["text"] for r in got) == sorted(t for _, t in rows if t)
+
+
 def test_multinomial_counts_vary():
     totals = np.array([300, 600, 100])
     counts = np.stack([mixing.shard_counts(totals, 10, 100, i, 1)[0] for i in range(10)])

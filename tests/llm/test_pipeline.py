@@ -42,6 +42,29 @@ def test_stages_against_brute_force(spark, corpus, sf_dir):
     assert sum(r["length"] for r in packed) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for _, x in rows(mixed))
 
 
+def test_null_and_shared_ids_stay(spark, sf_dir):
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = " ".join(f"q{i}" for i in range(40))
+    plain = [(1, passage), (2, passage), (3, "alpha beta gamma"), (3, "delta epsilon"), (None, passage), (None, "zeta eta"), (4, f"{passage} more words"), (5, f"{own} {passage} y {passage} z")]
+    docs = documents(spark, plain)
+    stage = dict(corpus_pipeline.STAGES)
+    assert sorted(rows(stage["language_id"](spark, docs, sf_dir)), key=str) == sorted(plain, key=str)
+    first = rows(stage["near_duplicates"](spark, docs, sf_dir))
+    assert sorted(first, key=str) == sorted([r for r in plain if r[0] != 2 and r[0] != 4], key=str)
+    second = rows(stage["substring_dedup"](spark, documents(spark, first), sf_dir))
+    assert sorted(second, key=str) == sorted([*[r for r in first if r[0] != 5], (5, f"{own} y z")], key=str)
+    mixed = rows(stage["mix_sources"](spark, documents(spark, second), sf_dir))
+    assert {r for r in mixed} and all(any(m[0] == s[0] and set(words(m[1])) <= set(words(s[1])) for s in second) for m in mixed)
+
+
+def test_run_leaves_its_result_only(spark, sf_dir, tmp_path, monkeypatch):
+    from colonnade.llm import shared
+
+    monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path))
+    packed = corpus_pipeline.run(spark, sf_dir)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.glob("colonnade/*/*")] == ["stage-packing"] and packed.count() > 0
+
+
 def test_edges_run_through(spark, sf_dir):
     docs = documents(spark, EDGE + [(None, "null id text"), (3, "again one")])
     for _, stage in corpus_pipeline.STAGES:
