@@ -28,14 +28,44 @@ def unzigzag(x: Column) -> Column:
     return F.shiftrightunsigned(x.cast("bigint"), 1).bitwiseXOR(-(x.cast("bigint").bitwiseAND(F.lit(1))))
 
 
+_DECIMAL = "decimal(38,0)"
+_TWO_64 = "18446744073709551616"
+
+
+def _wrapped(x: Column) -> Column:
+    """A decimal modulo 2^64, as a signed 64-bit integer."""
+    low = F.pmod(x, F.lit(_TWO_64).cast(_DECIMAL))
+    return F.when(low >= F.lit("9223372036854775808").cast(_DECIMAL), low - F.lit(_TWO_64).cast(_DECIMAL)).otherwise(low).cast("bigint")
+
+
+def wrapping_sub(a: Column, b: Column) -> Column:
+    """a - b of 64-bit integers modulo 2^64; only a difference that overflows goes through decimals."""
+    a, b = a.cast("bigint"), b.cast("bigint")
+    return F.coalesce(F.try_subtract(a, b), _wrapped(a.cast(_DECIMAL) - b.cast(_DECIMAL)))
+
+
+def wrapping_add(a: Column, b: Column) -> Column:
+    a, b = a.cast("bigint"), b.cast("bigint")
+    return F.coalesce(F.try_add(a, b), _wrapped(a.cast(_DECIMAL) + b.cast(_DECIMAL)))
+
+
+def uint_bits(x: Column) -> Column:
+    """The 64 bits of an unsigned integer, a decimal(20,0), as a bigint."""
+    return _wrapped(x.cast(_DECIMAL))
+
+
+def from_uint_bits(x: Column) -> Column:
+    return F.when(x < 0, x.cast(_DECIMAL) + F.lit(_TWO_64).cast(_DECIMAL)).otherwise(x.cast(_DECIMAL)).cast("decimal(20,0)")
+
+
 def bit_length(x: Column) -> Column:
-    """Bits of a non-negative integer; 0 for 0."""
-    return F.when(x > 0, F.length(F.ltrim(F.bin(x.cast("bigint"))))).otherwise(F.lit(0))
+    """Bits of a 64-bit integer read without sign; 0 for 0 and null."""
+    return F.when(x != 0, F.length(F.bin(x.cast("bigint")))).otherwise(F.lit(0))
 
 
 def index_width(distinct: Column) -> Column:
     """Bits that tell ``distinct`` codes apart; 0 for one."""
-    return bit_length(F.greatest(distinct - 1, F.lit(0)))
+    return bit_length(F.greatest(distinct - 1, F.lit(0).cast("bigint")))
 
 
 def next_power_of_two(x: Column) -> Column:
@@ -43,7 +73,7 @@ def next_power_of_two(x: Column) -> Column:
 
 
 def varint_length(x: Column) -> Column:
-    """Bytes of a non-negative integer in groups of seven bits."""
+    """Bytes of a 64-bit integer, read without sign, in groups of seven bits."""
     return F.greatest(F.ceil(bit_length(x) / 7).cast("int"), F.lit(1))
 
 

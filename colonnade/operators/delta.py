@@ -15,12 +15,13 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..errors import BaselineEvictedError, BaselineRequiredError, BaseMismatchError, InvalidPatchError, SchemaMismatchError, UnsupportedError
+from ..functions.scalar import wrapping_add, wrapping_sub
 from .canonical import canonical
+from .order import numbered
 
 INSERT, DELETE, UPDATE, REORDER = "insert", "delete", "update", "reorder"
 SPARSE, ARITHMETIC, DENSE = "sparse", "delta", "dense"
 LEAST_COLUMNAR = 16
-_WRAP = "18446744073709551616"
 
 
 def same(a: Column, b: Column, dtype: T.DataType) -> Column:
@@ -97,19 +98,136 @@ def apply_changes(base: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
     Raises InvalidPatchError if the set names a key twice, changes or deletes a key that
     ``base`` lacks, or inserts one that it has.
     """
+    _check_fit(base, changes, keys)
     c = changes.select(*keys, F.col("op").alias("_op"), F.col("new").alias("_new"))
-    if has_duplicate_keys(c, *keys):
-        raise InvalidPatchError("a key is changed more than once")
     b = base.select(*[F.col(f"`{k}`") for k in keys], F.struct(*[F.col(f"`{x}`") for x in base.columns]).alias("_old"))
     joined = b.join(c, list(keys), "full_outer")
-    bad = joined.where((F.col("_old").isNull() & (F.col("_op") != INSERT)) | (F.col("_old").isNotNull() & (F.col("_op") == INSERT)))
-    if bad.limit(1).count():
-        raise InvalidPatchError("the change set doesn't fit the base")
     kept = joined.where(F.col("_op").isNull() | (F.col("_op") != DELETE))
     row = F.when(F.col("_op").isNull(), F.col("_old")).otherwise(F.col("_new"))
     return kept.select(row.alias("_row")).select(*[F.col("_row")[x].alias(x) for x in base.columns])
 
 
+def _check_fit(base: DataFrame, changes: DataFrame, keys: tuple[str, ...] | list[str]) -> None:
+    """One pass over keys and ops; rows themselves aren't read."""
+    c = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("op").alias("_op"))
+    have = base.select(*[F.col(f"`{k}`") for k in keys], F.lit(True).alias("_has"))
+    r = c.join(have, list(keys), "left").agg(F.count_if(F.col("_n") > 1).alias("twice"), F.count_if(F.col("_has").isNull() != (F.col("_op") == INSERT)).alias("unfit")).first()
+    if r["twice"]:
+        raise InvalidPatchError("a key is changed more than once")
+    if r["unfit"]:
+        raise InvalidPatchError("the change set doesn't fit the base")
+
+
+def ordered(changes: DataFrame, *keys: str, out: str = "place") -> DataFrame:
+    """A change set in the order of its keys, with each change's ``place`` in it."""
+    return numbered(changes, *keys, out=out)
+
+
+def append_changes(first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:
+    """One change set that does what ``first`` and then ``second`` do.
+
+    An insert that is deleted again leaves nothing, a delete that is inserted again is an update of
+    all fields.  Raises InvalidPatchError if ``second`` inserts what ``first`` leaves there or changes
+    or deletes what it deletes.
+    """
+    fields = [f.name for f in first.schema["new"].dataType.fields if f.name not in keys]
+    a = first.select(*keys, *[F.col(c).alias(f"_a_{c}") for c in ("op", "changed", "new")])
+    b = second.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in ("op", "changed", "new")])
+    j = a.join(b, list(keys), "full_outer")
+    both = F.col("_a_op").isNotNull() & F.col("_b_op").isNotNull()
+    if j.where(both & ((F.col("_a_op") == DELETE) != (F.col("_b_op") == INSERT))).limit(1).count():
+        raise InvalidPatchError("the second change set doesn't follow the first")
+    gone = both & (F.col("_a_op") == INSERT) & (F.col("_b_op") == DELETE)
+    op = F.when(~both, F.coalesce("_a_op", "_b_op")).when(F.col("_a_op") == DELETE, UPDATE).when(F.col("_a_op") == INSERT, INSERT).otherwise(F.col("_b_op"))
+    every = F.array(*[F.lit(x) for x in fields])
+    some = F.array_sort(F.array_union(F.coalesce("_a_changed", F.array().cast("array<string>")), F.coalesce("_b_changed", F.array().cast("array<string>"))))
+    changed = F.when(op == UPDATE, F.when(both & (F.col("_a_op") == DELETE), every).otherwise(F.filter(every, lambda x: F.array_contains(some, x))))
+    new = F.when(F.col("_b_op").isNotNull(), F.col("_b_new")).otherwise(F.col("_a_new"))
+    return j.where(~gone).select(*keys, op.alias("op"), changed.alias("changed"), new.alias("new"))
+
+
+# Values within values
+
+SAME, REPLACE, MERGE = "same", "replace", "merge"
+
+
+def value_patch(old: Column, new: Column, dtype: T.DataType) -> Column:
+    """What turns ``old`` to ``new``: struct (op, value, and for containers merge).
+
+    Equal values are ``same``.  Structs merge field by field; maps by ``set`` (a patch for each key
+    that is new or changed) and ``drop`` (keys that go); arrays by ``at`` (idx and patch of the
+    places that differ), ``tail`` (elements past the old end) and ``size``.  Anything else, and a
+    value that becomes null or was null, is replaced whole.  Nothing is written twice: ``value`` is
+    null where ``merge`` tells the change.
+    """
+    equal = same(old, new, dtype)
+    merge = _merge(old, new, dtype)
+    if merge is None:
+        op = F.when(equal, SAME).otherwise(REPLACE)
+        return F.struct(op.alias("op"), F.when(~equal, new).alias("value"))
+    op = F.when(equal, SAME).when(old.isNull() | new.isNull(), REPLACE).otherwise(MERGE)
+    return F.struct(op.alias("op"), F.when(op == REPLACE, new).alias("value"), F.when(op == MERGE, merge).alias("merge"))
+
+
+def _merge(old: Column, new: Column, dtype: T.DataType) -> Column | None:
+    if isinstance(dtype, T.StructType) and dtype.fields:
+        return F.struct(*[value_patch(old[f.name], new[f.name], f.dataType).alias(f.name) for f in dtype.fields])
+    if isinstance(dtype, T.MapType):
+        v = dtype.valueType
+        get = lambda m, k: F.try_element_at(m, k)
+        put = F.map_filter(new, lambda k, x: ~F.map_contains_key(old, k) | ~same(get(old, k), x, v))
+        return F.struct(F.transform_values(put, lambda k, x: value_patch(get(old, k), x, v)).alias("set"), F.array_sort(F.array_except(F.map_keys(old), F.map_keys(new))).alias("drop"))
+    if isinstance(dtype, T.ArrayType):
+        e = dtype.elementType
+        size = F.least(F.size(old), F.size(new))
+        pairs = F.zip_with(F.slice(old, F.lit(1), size), F.slice(new, F.lit(1), size), lambda a, b: value_patch(a, b, e))
+        at = F.filter(F.transform(pairs, lambda p, i: F.struct(i.alias("idx"), p.alias("patch"))), lambda p: p["patch"]["op"] != SAME)
+        return F.struct(at.alias("at"), F.slice(new, size + 1, F.greatest(F.size(new) - size, F.lit(0))).alias("tail"), F.size(new).alias("size"))
+    return None
+
+
+def patched_value(old: Column, patch: Column, dtype: T.DataType) -> Column:
+    """``old`` after :func:`value_patch`."""
+    whole = F.when(patch["op"] == SAME, old).when(patch["op"] == REPLACE, patch["value"])
+    if isinstance(dtype, T.StructType) and dtype.fields:
+        return whole.otherwise(F.struct(*[patched_value(old[f.name], patch["merge"][f.name], f.dataType).alias(f.name) for f in dtype.fields]))
+    if isinstance(dtype, T.MapType):
+        m = patch["merge"]
+        kept = F.map_filter(old, lambda k, _: ~F.array_contains(m["drop"], k) & ~F.map_contains_key(m["set"], k))
+        # a key that wasn't there is new whatever its patch says: null is no value to start from
+        return whole.otherwise(F.map_concat(kept, F.transform_values(m["set"], lambda k, p: patched_value(F.try_element_at(old, k), p, dtype.valueType))))
+    if isinstance(dtype, T.ArrayType):
+        m = patch["merge"]
+        head = F.transform(F.slice(old, F.lit(1), F.least(F.size(old), m["size"])), lambda x, i: F.struct(x.alias("x"), F.get(F.filter(m["at"], lambda a: a["idx"] == i), F.lit(0))["patch"].alias("p")))
+        return whole.otherwise(F.concat(F.transform(head, lambda h: F.when(h["p"].isNull(), h["x"]).otherwise(patched_value(h["x"], h["p"], dtype.elementType))), m["tail"]))
+    return whole
+
+
+def diff_nested(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """As :func:`diff_keyed`, but an update carries a patch for each field in ``patch`` and no row:
+    what changes deep in a struct, map or array travels without what is around it."""
+    _check(old, new)
+    fields = [f for f in old.schema.fields if f.name not in keys]
+    joined = _sides(old, new, list(keys)).withColumn("op", F.when(F.col("old").isNull(), INSERT).when(F.col("new").isNull(), DELETE).otherwise(UPDATE))
+    patch = F.struct(*[value_patch(F.col("old")[f.name], F.col("new")[f.name], f.dataType).alias(f.name) for f in fields])
+    changes = joined.select(*keys, "op", F.when(F.col("op") == UPDATE, patch).alias("patch"), F.when(F.col("op") == INSERT, F.col("new")).alias("new"))
+    differs = F.lit(False)
+    for f in fields:
+        differs = differs | (F.col("patch")[f.name]["op"] != SAME)
+    return changes.where((F.col("op") != UPDATE) | differs)
+
+
+def apply_nested(base: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
+    """``base`` after a change set of :func:`diff_nested`; raises as :func:`apply_changes` does."""
+    _check_fit(base, changes, keys)
+    c = changes.select(*keys, F.col("op").alias("_op"), F.col("patch").alias("_patch"), F.col("new").alias("_new"))
+    b = base.select(*[F.col(f"`{k}`") for k in keys], F.struct(*[F.col(f"`{x}`") for x in base.columns]).alias("_old"))
+    kept = b.join(c, list(keys), "full_outer").where(F.col("_op").isNull() | (F.col("_op") != DELETE))
+    old, op = F.col("_old"), F.col("_op")
+    value = lambda f: old[f.name] if f.name in keys else patched_value(old[f.name], F.col("_patch")[f.name], f.dataType)
+    return kept.select(*[F.when(op.isNull(), old[f.name]).when(op == INSERT, F.col("_new")[f.name]).otherwise(value(f)).alias(f.name) for f in base.schema.fields])
+
+
 def column_changes(changes: DataFrame, old: DataFrame, *keys: str) -> DataFrame:
     """One row for each changed (key, column) of an update, with the new value as text."""
     out = changes.where(F.col("op") == UPDATE).select(*keys, "new", F.explode("changed").alias("column"))
@@ -160,13 +278,12 @@ def _arithmetic(dtype: T.DataType) -> bool:
 
 def wrapped_delta(old: Column, new: Column) -> Column:
     """new - old modulo 2^64, as a signed 64-bit integer."""
-    wide = F.pmod(new.cast("decimal(38,0)") - old.cast("decimal(38,0)"), F.lit(_WRAP).cast("decimal(38,0)"))
-    return F.when(wide >= F.lit("9223372036854775808").cast("decimal(38,0)"), wide - F.lit(_WRAP).cast("decimal(38,0)")).otherwise(wide).cast("bigint")
+    return wrapping_sub(new, old)
 
 
 def wrapped_add(base: Column, delta: Column) -> Column:
     """base + delta modulo 2^64, as a signed 64-bit integer."""
-    return wrapped_delta(F.lit(0), base.cast("decimal(38,0)") + delta.cast("decimal(38,0)"))
+    return wrapping_add(base, delta)
 
 
 def column_delta(old: DataFrame, new: DataFrame, column: str, rn: str = "rn") -> DataFrame:

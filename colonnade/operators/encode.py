@@ -10,17 +10,19 @@ import math
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import UnsupportedError
-from ..functions.scalar import bit_length, common_prefix, common_suffix, index_width, varint_length, zigzag
-from .order import numbered, with_previous, with_running_sum
+from ..errors import InvalidPatchError, UnsupportedError
+from ..functions.scalar import bit_length, common_prefix, common_suffix, from_uint_bits, index_width, uint_bits, varint_length, wrapping_add, wrapping_sub, zigzag
+from ..schema import UINT64
+from .order import numbered, with_previous, with_previous_of, with_running_sum
 
 BLOCK = 256
 ANCHOR = 64
@@ -28,27 +30,60 @@ MOST_CODES = 64
 
 
 # Integers
+#
+# Differences wrap at 2^64, so columns may hold any 64-bit integers; unsigned ones, as decimal(20,0),
+# are taken by their bits.  Offsets and widths are unsigned.
+
+
+def _bits(df: DataFrame, column: str, c: Column | None = None) -> Column:
+    """A column's integers (or ``c``, a value of it) as 64 bits."""
+    c = F.col(column) if c is None else c
+    return uint_bits(c) if df.schema[column].dataType == UINT64 else c.cast("bigint")
+
+
+def _value(bits: Column, unsigned: bool) -> Column:
+    return from_uint_bits(bits) if unsigned else bits
+
+
+def _range(df: DataFrame, column: str) -> tuple[Column, Column]:
+    """(base, width): aggregates over ``df``, the least value's bits and the bits of the range."""
+    base = _bits(df, column, F.min(column))
+    return base, bit_length(wrapping_sub(_bits(df, column, F.max(column)), base))
 
 
 def frame_of_reference(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
     """(rn, base, width, packed): packed = value - base, in ``width`` bits."""
-    c = F.col(column)
-    stats = df.agg(F.min(c).cast("bigint").alias("base"), bit_length(F.max(c) - F.min(c)).alias("width"))
-    return df.select(rn, c.cast("bigint").alias("_v")).crossJoin(F.broadcast(stats)).select(rn, "base", "width", (F.col("_v") - F.col("base")).alias("packed"))  # one row
+    base, width = _range(df, column)
+    stats = df.agg(base.alias("base"), width.alias("width"))
+    return df.select(rn, _bits(df, column).alias("_v")).crossJoin(F.broadcast(stats)).select(rn, "base", "width", wrapping_sub(F.col("_v"), F.col("base")).alias("packed"))  # one row
 
 
-def from_frame_of_reference(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    return encoded.select(rn, (F.col("base") + F.col("packed")).alias(column))
+def from_frame_of_reference(encoded: DataFrame, column: str, rn: str = "rn", unsigned: bool = False) -> DataFrame:
+    return encoded.select(rn, _value(wrapping_add(F.col("base"), F.col("packed")), unsigned).alias(column))
 
 
 def delta_encode(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
     """(rn, delta): the first value, then differences from the row before."""
-    c = df.select(rn, F.col(column).cast("bigint").alias("_v"))
-    return with_previous(c, {"_p": "_v"}, rn).select(rn, (F.col("_v") - F.coalesce("_p", F.lit(0))).alias("delta"))
+    c = df.select(rn, _bits(df, column).alias("_v"))
+    return with_previous(c, {"_p": "_v"}, rn).select(rn, wrapping_sub(F.col("_v"), F.coalesce("_p", F.lit(0).cast("bigint"))).alias("delta"))
+
+
+def delta_decode(encoded: DataFrame, column: str, rn: str = "rn", unsigned: bool = False) -> DataFrame:
+    total = with_running_sum(encoded, F.col("delta").cast("decimal(38,0)"), "_total", rn)  # fits 10^19 rows
+    return total.select(rn, _value(uint_bits(F.col("_total")), unsigned).alias(column))
+
 
+def delta_frame_encode(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
+    """(rn, first, base, width, packed): differences from the row before as offsets from the least of them."""
+    c = with_previous(df.select(rn, _bits(df, column).alias("_v")), {"_p": "_v"}, rn)
+    c = c.select(rn, "_v", F.when(F.col(rn) > 0, wrapping_sub(F.col("_v"), F.col("_p"))).alias("_d"))
+    stats = c.agg(F.min_by("_v", rn).alias("first"), F.min("_d").alias("base"), bit_length(wrapping_sub(F.max("_d"), F.min("_d"))).alias("width"))
+    return c.crossJoin(F.broadcast(stats)).select(rn, "first", "base", "width", wrapping_sub(F.col("_d"), F.col("base")).alias("packed"))  # one row
 
-def delta_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    return with_running_sum(encoded, "delta", column, rn).select(rn, F.col(column).cast("bigint").alias(column))
+
+def delta_frame_decode(encoded: DataFrame, column: str, rn: str = "rn", unsigned: bool = False) -> DataFrame:
+    step = F.when(F.col(rn) > 0, wrapping_add(F.col("base"), F.col("packed"))).otherwise(F.col("first"))
+    return delta_decode(encoded.select(rn, step.alias("delta")), column, rn, unsigned)
 
 
 def run_length_encode(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
@@ -84,15 +119,16 @@ def dictionary_decode(table: DataFrame, codes: DataFrame, column: str, rn: str =
 
 
 def patched_width(df: DataFrame, column: str) -> DataFrame:
-    """(base, full_width, width, exceptions) with the least cost.
+    """(base, full_width, width, exceptions, cost) with the least cost.
 
     Values' offsets are counted by bit width; a body width's cost is its bits for all rows
     and, for each offset that doesn't fit, its place (2 bytes) and its varint.
     """
-    c = F.col(column)
-    base = df.agg(F.min(c).cast("bigint").alias("base"), F.count(c).alias("n"), bit_length(F.max(c) - F.min(c)).alias("full_width"))
-    wide = df.where(c.isNotNull()).crossJoin(F.broadcast(base)).select("base", "n", "full_width", bit_length(c - F.col("base")).alias("w"), varint_length(c - F.col("base")).alias("b"))
-    hist = wide.groupBy("base", "n", "full_width", "w").agg(F.count(F.lit(1)).alias("k"), F.sum("b").alias("bytes"))  # 64 rows at most
+    least, full = _range(df, column)
+    base = df.agg(least.alias("base"), F.count(column).alias("n"), full.alias("full_width"))
+    off = wrapping_sub(F.col("_v"), F.col("base"))
+    wide = df.select(_bits(df, column).alias("_v")).where("_v IS NOT NULL").crossJoin(F.broadcast(base)).select("base", "n", "full_width", bit_length(off).alias("w"), varint_length(off).alias("b"))
+    hist = wide.groupBy("base", "n", "full_width", "w").agg(F.count(F.lit(1)).alias("k"), F.sum("b").alias("bytes"))  # 65 rows at most
     body = hist.select("base", "n", "full_width").distinct().withColumn("width", F.explode(F.sequence(F.lit(0), F.col("full_width"))))
     over = body.join(hist.select("w", "k", "bytes"), F.col("w") > F.col("width"), "left").groupBy("base", "n", "full_width", "width").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("exceptions"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("_b"))
     cost = F.ceil(F.col("n") * F.col("width") / 8) + 2 * F.col("exceptions") + F.col("_b")
@@ -100,22 +136,53 @@ def patched_width(df: DataFrame, column: str) -> DataFrame:
 
 
 def patched_encode(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    """(rn, body, patch): the offset's low bits, and what stands above them (0 for most rows)."""
+    """(rn, base, width, body, patch): the offset's low bits, and what stands above them (0 for most rows)."""
     plan = patched_width(df, column)
-    off = F.col(column).cast("bigint") - F.col("base")
-    power = F.pow(F.lit(2.0), F.col("width")).cast("bigint")
-    return df.crossJoin(F.broadcast(plan)).select(rn, "base", "width", F.pmod(off, power).alias("body"), F.floor(off / power).cast("bigint").alias("patch"))
+    c = df.select(rn, _bits(df, column).alias("_v")).crossJoin(F.broadcast(plan)).select(rn, "base", F.col("width").cast("int").alias("width"), wrapping_sub(F.col("_v"), F.col("base")).alias("_off"))
+    # a shift by 64 bits is one by none
+    low = F.when(F.col("width") < 64, F.expr("_off & ~shiftleft(-1L, width)")).otherwise(F.col("_off"))
+    return c.select(rn, "base", "width", low.alias("body"), F.when(F.col("width") < 64, F.expr("shiftrightunsigned(_off, width)")).otherwise(0).alias("patch"))
 
 
-def patched_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    power = F.pow(F.lit(2.0), F.col("width")).cast("bigint")
-    return encoded.select(rn, (F.col("base") + F.col("body") + F.col("patch") * power).alias(column))
+def patched_decode(encoded: DataFrame, column: str, rn: str = "rn", unsigned: bool = False) -> DataFrame:
+    off = F.when(F.col("width") < 64, F.expr("body | shiftleft(patch, width)")).otherwise(F.col("body"))
+    return encoded.select(rn, _value(wrapping_add(F.col("base"), off), unsigned).alias(column))
 
 
 def block_profile(df: DataFrame, column: str, rn: str = "rn", rows: int = BLOCK) -> DataFrame:
     """(block, n, lo, hi, width) for blocks of ``rows`` rows."""
-    c = F.col(column)
-    return df.groupBy(F.floor(F.col(rn) / rows).cast("bigint").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), bit_length(F.max(c) - F.min(c)).alias("width"))
+    return df.groupBy(F.floor(F.col(rn) / rows).cast("bigint").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"), _range(df, column)[1].alias("width"))
+
+
+#: Block sizes that may be chosen, besides a single block for the whole column.
+BLOCK_SIZES = (256, 1024)
+BLOCK_HEAD = 12  # a block's base, width and place
+
+
+def block_choice(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
+    """One row: rows of a block (0: the column is one block), blocks, bytes - the fewest bytes, the larger block among equals.
+
+    A block costs its values' offsets in its own width and ``BLOCK_HEAD`` bytes.  Columns shorter than two of the
+    smallest blocks are one block.
+    """
+    cost = (F.ceil(F.col("n") * F.col("width") / 8) + BLOCK_HEAD).cast("bigint")
+    whole = df.agg(F.count(column).alias("n"), _range(df, column)[1].alias("width")).select(F.lit(0).alias("rows"), F.lit(1).cast("bigint").alias("blocks"), cost.alias("bytes"))
+    for rows in BLOCK_SIZES:
+        one = block_profile(df, column, rn, rows).agg(F.count(F.lit(1)).alias("blocks"), F.sum(cost).alias("bytes"), F.sum("n").alias("n"))
+        whole = whole.unionByName(one.where(F.col("n") >= 2 * BLOCK_SIZES[0]).select(F.lit(rows).alias("rows"), "blocks", "bytes"))
+    return whole.orderBy("bytes", F.when(F.col("rows") > 0, -F.col("rows")).otherwise(F.lit(-(1 << 30)))).limit(1)
+
+
+def block_encode(df: DataFrame, column: str, rn: str = "rn", rows: int | None = None) -> DataFrame:
+    """(rn, base, width, packed): offsets within blocks of ``rows`` rows, those of :func:`block_choice` if not given."""
+    if rows is None:
+        rows = block_choice(df, column, rn).first()["rows"]
+    if not rows:
+        return frame_of_reference(df, column, rn)
+    block = F.floor(F.col(rn) / rows).cast("bigint")
+    base, width = _range(df, column)
+    heads = df.groupBy(block.alias("_block")).agg(base.alias("base"), width.alias("width"))
+    return df.select(rn, _bits(df, column).alias("_v"), block.alias("_block")).join(heads, "_block").select(rn, "base", "width", wrapping_sub(F.col("_v"), F.col("base")).alias("packed"))
 
 
 def bool_pack(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
@@ -155,12 +222,18 @@ def from_byte_planes(encoded: DataFrame, column: str, rn: str = "rn") -> DataFra
 # Floats
 
 
+def _no_decimal(df: DataFrame, column: str, d: int) -> Column:
+    """Whether a float differs from rint(v * 10^d) / 10^d in its own precision, or has no such form."""
+    kind, c = df.schema[column].dataType, F.col(column).cast("double")
+    odd = F.isnan(c) | (F.abs(c) == math.inf) | (c.cast("string") == "-0.0") | (F.abs(c * 10.0**d) > 9.0e15)
+    return odd | ((F.rint(c * 10.0**d) / F.lit(10.0**d)).cast(kind) != F.col(column))
+
+
 def decimal_exponent(df: DataFrame, column: str, most: int = 15) -> DataFrame:
-    """(exponent, exceptions, n): the least d in 0..most for which the fewest values differ from
-    rint(v * 10^d) / 10^d, over all rows.  NaN, infinities and -0.0 are always exceptions."""
+    """(exponent, exceptions, n): the least d in 0..most for which the fewest doubles or floats differ
+    from rint(v * 10^d) / 10^d, over all rows.  NaN, infinities and -0.0 are always exceptions."""
     c = F.col(column)
-    odd = F.isnan(c) | (F.abs(c) == math.inf) | (c.cast("string") == "-0.0") | (F.abs(c) > 9.0e15)
-    bad = [F.count_if(odd | (F.rint(c * 10.0**d) / 10.0**d != c)).alias(f"e{d}") for d in range(most + 1)]
+    bad = [F.count_if(_no_decimal(df, column, d)).alias(f"e{d}") for d in range(most + 1)]
     one = df.agg(F.count(c).alias("n"), *bad)
     each = one.select("n", F.explode(F.array(*[F.struct(F.col(f"e{d}").alias("exceptions"), F.lit(d).alias("exponent")) for d in range(most + 1)])).alias("x"))
     return each.orderBy("x.exceptions", "x.exponent").limit(1).select("x.exponent", "x.exceptions", "n")
@@ -168,13 +241,23 @@ def decimal_exponent(df: DataFrame, column: str, most: int = 15) -> DataFrame:
 
 def decimal_encode(df: DataFrame, column: str, exponent: int, rn: str = "rn") -> DataFrame:
     """(rn, mantissa, exception): mantissa / 10^exponent is the value, else it is the exception."""
-    c, p = F.col(column), 10.0**exponent
-    odd = F.isnan(c) | (F.abs(c) == math.inf) | (c.cast("string") == "-0.0") | (F.abs(c * p) > 9.0e15) | (F.rint(c * p) / p != c)
-    return df.select(rn, F.when(~odd, F.rint(c * p).cast("bigint")).alias("mantissa"), F.when(odd, c).alias("exception"))
+    c, odd = F.col(column), _no_decimal(df, column, exponent)
+    return df.select(rn, F.when(~odd, F.rint(c.cast("double") * 10.0**exponent).cast("bigint")).alias("mantissa"), F.when(odd, c).alias("exception"))
 
 
 def decimal_decode(encoded: DataFrame, column: str, exponent: int, rn: str = "rn") -> DataFrame:
-    return encoded.select(rn, F.coalesce("exception", F.col("mantissa") / F.lit(10.0**exponent)).alias(column))
+    kind = encoded.schema["exception"].dataType
+    return encoded.select(rn, F.coalesce("exception", (F.col("mantissa") / F.lit(10.0**exponent)).cast(kind)).alias(column))
+
+
+def _width(df: DataFrame, column: str) -> int:
+    """Bits of a column of floats."""
+    return 32 if isinstance(df.schema[column].dataType, T.FloatType) else 64
+
+
+def _pattern(values: pd.Series, width: int) -> np.ndarray:
+    """Floats' bits, in 64-bit integers."""
+    return values.to_numpy(np.float64).view(np.uint64) if width == 64 else values.to_numpy(np.float32).view(np.uint32).astype(np.uint64)
 
 
 def _grouped_codec(df: DataFrame, column: str, rn: str, rows: int, fn, schema: str) -> DataFrame:
@@ -187,13 +270,14 @@ def _grouped_codec(df: DataFrame, column: str, rn: str, rows: int, fn, schema: s
 
 
 def xor_encode(df: DataFrame, column: str, rn: str = "rn", rows: int = 4096) -> DataFrame:
-    """(block, rn, xor, leading, meaningful) of doubles: each with the one before it, by bits."""
+    """(block, rn, xor, leading, meaningful) of doubles or floats: each with the one before it, by bits."""
+    size = _width(df, column)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = pdf["value"].to_numpy(np.float64).view(np.uint64)
+        bits = _pattern(pdf["value"], size)
         x = bits ^ np.append(np.uint64(0), bits[:-1])
         lead, trail = _zeros(x)
-        return pd.DataFrame({"block": pdf["block"], rn: pdf[rn], "xor": x.view(np.int64), "leading": lead, "meaningful": np.where(x == 0, 0, 64 - lead - trail)})
+        return pd.DataFrame({"block": pdf["block"], rn: pdf[rn], "xor": x.view(np.int64), "leading": lead - (64 - size), "meaningful": np.where(x == 0, 0, 64 - lead - trail)})
 
     return _grouped_codec(df, column, rn, rows, fn, f"block bigint, {rn} bigint, xor bigint, leading int, meaningful int")
 
@@ -209,25 +293,31 @@ def _zeros(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(x == 0, 64, lead).astype(np.int32), np.where(x == 0, 64, trail).astype(np.int32)
 
 
-def _grouped_doubles(encoded: DataFrame, column: str, rn: str, fn) -> DataFrame:
-    """``fn`` turns each block, in order, to doubles' bits.  Arrow keeps a NaN apart from a null."""
+def _floats(bits: np.ndarray, width: int) -> pa.Array:
+    """Arrow keeps a NaN apart from a null."""
+    return pa.array(bits.view(np.float64) if width == 64 else bits.astype(np.uint32).view(np.float32))
+
+
+def _grouped_floats(encoded: DataFrame, column: str, rn: str, width: int, fn) -> DataFrame:
+    """``fn`` turns each block, in order, to the bits of floats of ``width`` bits."""
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by(rn)
-        return pa.table({rn: table.column(rn), column: pa.array(fn(table).view(np.float64))})
+        return pa.table({rn: table.column(rn), column: _floats(fn(table), width)})
 
-    return encoded.groupBy("block").applyInArrow(one, f"{rn} bigint, {column} double")
+    return encoded.groupBy("block").applyInArrow(one, f"{rn} bigint, {column} {'double' if width == 64 else 'float'}")
 
 
-def xor_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    return _grouped_doubles(encoded, column, rn, lambda t: np.bitwise_xor.accumulate(t.column("xor").to_numpy().view(np.uint64)))
+def xor_decode(encoded: DataFrame, column: str, rn: str = "rn", width: int = 64) -> DataFrame:
+    return _grouped_floats(encoded, column, rn, width, lambda t: np.bitwise_xor.accumulate(t.column("xor").to_numpy().view(np.uint64)))
 
 
 def xor_window_encode(df: DataFrame, column: str, rn: str = "rn", rows: int = 4096, back: int = 128) -> DataFrame:
-    """(block, rn, ref, xor): doubles with that of the ``back`` values before whose XOR ends in most zeros."""
+    """(block, rn, ref, xor): doubles or floats with that of the ``back`` values before whose XOR ends in most zeros."""
+    size = _width(df, column)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = pdf["value"].to_numpy(np.float64).view(np.uint64)
+        bits = _pattern(pdf["value"], size)
         n = len(bits)
         best, ref, out = np.full(n, -1), np.zeros(n, np.int64), bits.copy()
         for k in range(1, min(back, n - 1) + 1):
@@ -241,7 +331,7 @@ def xor_window_encode(df: DataFrame, column: str, rn: str = "rn", rows: int = 40
     return _grouped_codec(df, column, rn, rows, fn, f"block bigint, {rn} bigint, ref bigint, xor bigint")
 
 
-def xor_window_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
+def xor_window_decode(encoded: DataFrame, column: str, rn: str = "rn", width: int = 64) -> DataFrame:
     def fn(table: pa.Table) -> np.ndarray:
         bits = table.column("xor").to_numpy().view(np.uint64).copy()
         for i, k in enumerate(table.column("ref").to_pylist()):
@@ -249,24 +339,25 @@ def xor_window_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFr
                 bits[i] ^= bits[i - k]
         return bits
 
-    return _grouped_doubles(encoded, column, rn, fn)
+    return _grouped_floats(encoded, column, rn, width, fn)
 
 
 def real_double_encode(df: DataFrame, column: str, rn: str = "rn", rows: int = 4096, most: int = 8) -> DataFrame:
-    """(block, rn, cut, code, left, right): a double's upper bits as one of ``most`` frequent
-    values (code -1: an exception in ``left``), the lower ``cut`` bits as they are.
+    """(block, rn, cut, code, left, right): the upper bits of a double or float as one of ``most``
+    frequent values (code -1: an exception in ``left``), the lower ``cut`` bits as they are.
 
-    Each block's cut, from 48 to 63, is the one with the fewest bits altogether.
+    Each block's cut, which leaves 1 to 16 upper bits, is the one with the fewest bits altogether.
     """
+    size = _width(df, column)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = pdf["value"].to_numpy(np.float64).view(np.uint64)
+        bits = _pattern(pdf["value"], size)
         plans = []
-        for cut in range(48, 64):
+        for cut in range(size - 16, size):
             top = Counter((bits >> np.uint64(cut)).tolist()).most_common(most)
             hit = sum(k for _, k in top)
             width = max(1, (len(top) - 1).bit_length()) if len(top) > 1 else 0
-            plans.append((len(bits) * (cut + width) + (len(bits) - hit) * (64 - cut + 16), cut, sorted(v for v, _ in top)))
+            plans.append((len(bits) * (cut + width) + (len(bits) - hit) * (size - cut + 16), cut, sorted(v for v, _ in top)))
         _, cut, table = min(plans)
         left = bits >> np.uint64(cut)
         at = {v: i for i, v in enumerate(table)}
@@ -276,13 +367,13 @@ def real_double_encode(df: DataFrame, column: str, rn: str = "rn", rows: int = 4
     return _grouped_codec(df, column, rn, rows, fn, f"block bigint, {rn} bigint, cut int, code bigint, left bigint, right bigint")
 
 
-def real_double_decode(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
+def real_double_decode(encoded: DataFrame, column: str, rn: str = "rn", width: int = 64) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cut, left, right = (np.asarray(b.column(b.schema.get_field_index(x))).astype(np.int64).view(np.uint64) for x in ("cut", "left", "right"))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(rn)), pa.array(((left << cut) | right).view(np.float64))], names=[rn, column])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(rn)), _floats((left << cut) | right, width)], names=[rn, column])
 
-    return encoded.mapInArrow(run, f"{rn} bigint, {column} double")
+    return encoded.mapInArrow(run, f"{rn} bigint, {column} {'double' if width == 64 else 'float'}")
 
 
 # Strings
@@ -306,6 +397,31 @@ def front_delta(df: DataFrame, column: str, rn: str = "rn", anchor: int = ANCHOR
     return c.select(rn, "prefix", "suffix", F.expr("cast(substring(cast(value as binary), prefix + 1, octet_length(value) - prefix - suffix) as string)").alias("middle"))
 
 
+def field_delta(df: DataFrame, columns: list[str], rn: str = "rn") -> DataFrame:
+    """(rn, and for each text column a struct): same as the row before's, or prefix, suffix and middle
+    to it; rows that stand whole are those of :func:`front_delta`."""
+    c = with_previous(df.select(rn, *columns), {f"_p{i}": x for i, x in enumerate(columns)}, rn)
+
+    def one(x: str, p: str) -> Column:
+        v, last = F.col(x), F.col(p)
+        whole = (F.col(rn) % ANCHOR == 0) | last.isNull() | v.isNull()
+        pre = F.when(whole, 0).otherwise(common_prefix(v, last))
+        suf = F.when(whole, 0).otherwise(F.least(common_suffix(v, last), F.least(F.octet_length(v), F.octet_length(last)) - pre))
+        middle = F.call_function("substring", v.cast("binary"), (pre + 1).cast("int"), (F.octet_length(v) - pre - suf).cast("int")).cast("string")
+        return F.struct((~whole & (v == last)).alias("same"), pre.alias("prefix"), suf.alias("suffix"), middle.alias("middle")).alias(x)
+
+    return c.select(rn, *[one(x, f"_p{i}") for i, x in enumerate(columns)])
+
+
+def field_delta_decode(encoded: DataFrame, columns: list[str], rn: str = "rn") -> DataFrame:
+    """Rows again; a column at a time, blocks from anchor to anchor on their own."""
+    out = None
+    for x in columns:
+        one = front_delta_decode(encoded.select(rn, f"{x}.prefix", f"{x}.suffix", f"{x}.middle"), x, rn)
+        out = one if out is None else out.join(one, rn)
+    return out
+
+
 def front_delta_decode(encoded: DataFrame, column: str, rn: str = "rn", anchor: int = ANCHOR) -> DataFrame:
     """Blocks from anchor to anchor are decoded on their own."""
 
@@ -393,9 +509,9 @@ def state_references(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
     """(rn, form): the shortest way to tell each value: repeat (of the row before), pair (what last
     followed the value before it), known (seen before), new."""
     c = with_previous(df.select(rn, F.col(column).alias("v")), {"p": "v"}, rn)
-    pair = F.lag("v").over(Window.partitionBy("p").orderBy(rn))
-    first = F.min(rn).over(Window.partitionBy("v"))
-    form = F.when(F.col("v") == F.col("p"), "repeat").when(F.col("p").isNotNull() & (pair == F.col("v")), "pair").when(first < F.col(rn), "known").otherwise("new")
+    c = with_previous_of(c, "p", "v", "pair", rn)
+    c = c.join(df.groupBy(F.col(column).alias("_v")).agg(F.min(rn).alias("first")), F.col("v").eqNullSafe(F.col("_v")))
+    form = F.when(F.col("v") == F.col("p"), "repeat").when(F.col("p").isNotNull() & (F.col("pair") == F.col("v")), "pair").when(F.col("first") < F.col(rn), "known").otherwise("new")
     return c.select(rn, form.alias("form"))
 
 
@@ -411,9 +527,9 @@ def high_cardinality(df: DataFrame, column: str, share: float = 0.7) -> DataFram
 
 def delta_statistics(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
     """One row: first, least and greatest difference to the row before, and the bits of their range."""
-    c = with_previous(df.select(rn, F.col(column).cast("bigint").alias("v")), {"p": "v"}, rn)
-    d = F.col("v") - F.col("p")
-    return c.agg(F.min_by("v", rn).alias("first"), F.min(d).alias("least"), F.max(d).alias("greatest"), bit_length(F.max(d) - F.min(d)).alias("bits"))
+    c = with_previous(df.select(rn, _bits(df, column).alias("v")), {"p": "v"}, rn)
+    d = wrapping_sub(F.col("v"), F.col("p"))
+    return c.agg(F.min_by("v", rn).alias("first"), F.min(d).alias("least"), F.max(d).alias("greatest"), bit_length(wrapping_sub(F.max(d), F.min(d))).alias("bits"))
 
 
 def byte_histogram(df: DataFrame, column: str) -> DataFrame:
@@ -439,8 +555,8 @@ def markov_repeat(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
 def markov_pair(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
     """(rn, value, prev, hit): whether the value is what last followed the value before it."""
     c = with_previous(df.select(rn, F.col(column).alias("value")), {"prev": "value"}, rn)
-    w = Window.partitionBy("prev").orderBy(rn)
-    guess = F.when(F.col("prev").isNotNull(), F.lag("value").over(w))
+    c = with_previous_of(c, "prev", "value", "_last", rn)
+    guess = F.when(F.col("prev").isNotNull(), F.col("_last"))
     return c.select(rn, "value", "prev", F.coalesce(guess == F.col("value"), F.lit(False)).alias("hit"))
 
 
@@ -523,21 +639,31 @@ def move_to_front_decode(encoded: DataFrame, firsts: DataFrame, column: str, rn:
 # Symbol tables
 
 
+def _count_symbols(texts: Iterator[bytes], table: list[bytes], longest: int) -> Counter[bytes]:
+    """Occurrences of what ``table`` cuts the texts to, and of neighbours put together."""
+    counts: Counter[bytes] = Counter()
+    by = _by_first(table)
+    for t in texts:
+        last = b""
+        for s in _cut_symbols(t, by):
+            counts[s] += 1
+            if last and len(last) + len(s) <= longest:
+                counts[last + s] += 1
+            last = s
+    return counts
+
+
+def _best_symbols(counts: Counter[bytes], most: int) -> list[bytes]:
+    """The ``most`` with the largest count * length; longer, then smaller, ones first among equals."""
+    return [s for s, _ in sorted(counts.items(), key=lambda x: (-x[1] * len(x[0]), -len(x[0]), x[0]))[:most]]
+
+
 def train_symbols(texts: list[bytes], rounds: int = 5, most: int = 255, longest: int = 8) -> list[bytes]:
-    """Symbols of up to ``longest`` bytes that save most: in each round the sample is cut
-    greedily, tokens and neighbouring pairs are counted, and the best by count * length
-    stay (longer, then smaller, first among equals)."""
+    """Symbols of up to ``longest`` bytes that save most: in each round the texts are cut
+    greedily, tokens and neighbouring pairs are counted, and the best stay."""
     table: list[bytes] = []
     for _ in range(rounds):
-        counts: Counter[bytes] = Counter()
-        for t in texts:
-            last = b""
-            for s in _cut_symbols(t, _by_first(table)):
-                counts[s] += 1
-                if last and len(last) + len(s) <= longest:
-                    counts[last + s] += 1
-                last = s
-        table = [s for s, _ in sorted(counts.items(), key=lambda x: (-x[1] * len(x[0]), -len(x[0]), x[0]))[:most]]
+        table = _best_symbols(_count_symbols(iter(texts), table, longest), most)
     return table
 
 
@@ -556,10 +682,61 @@ def _cut_symbols(text: bytes, by: dict[int, list[bytes]]) -> Iterator[bytes]:
         at += len(s)
 
 
-def train_symbol_table(df: DataFrame, column: str, sample: int = 2000) -> list[bytes]:
-    """A table from at most ``sample`` values, those with the smallest hashes."""
-    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).orderBy(F.xxhash64("v"), "v").limit(sample).collect()  # bounded
-    return train_symbols([r["v"].encode() for r in rows])
+def train_symbol_table(df: DataFrame, column: str, rounds: int = 5, most: int = 255, longest: int = 8) -> list[bytes]:
+    """As :func:`train_symbols` over the whole column: a round's table is broadcast, counted with
+    in the executors, and the counts' best are the next.
+
+    A round has at most 256 + 255 tokens, so at most 2^18 counts a task; only the best of
+    their sums reach the driver.
+    """
+    table: list[bytes] = []
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("binary").alias("v"))
+    for _ in range(rounds):
+
+        def count(batches: Iterator[pa.RecordBatch], table: list[bytes] = table) -> Iterator[pa.RecordBatch]:
+            counts: Counter[bytes] = Counter()
+            for b in batches:
+                counts.update(_count_symbols(iter(b.column(0).to_pylist()), table, longest))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["s", "n"])
+
+        summed = values.mapInArrow(count, "s binary, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+        best = summed.orderBy(F.desc(F.col("n") * F.octet_length("s")), F.desc(F.octet_length("s")), "s").limit(most).collect()  # bounded
+        table = _best_symbols(Counter({bytes(r["s"]): r["n"] for r in best}), most)
+    return table
+
+
+@dataclass(frozen=True)
+class SymbolTable:
+    """A trained table that can be kept and used for columns to come."""
+
+    symbols: tuple[bytes, ...]
+
+    @classmethod
+    def train(cls, df: DataFrame, column: str) -> SymbolTable:
+        return cls(tuple(train_symbol_table(df, column)))
+
+    def to_bytes(self) -> bytes:
+        """The number of symbols, then each one's length and bytes."""
+        return bytes([len(self.symbols)]) + b"".join(bytes([len(s)]) + s for s in self.symbols)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> SymbolTable:
+        symbols, at = [], 1
+        for _ in range(raw[0]):
+            end = at + 1 + raw[at]
+            if raw[at] == 0 or end > len(raw):
+                raise InvalidPatchError("a symbol table is cut short")
+            symbols.append(raw[at + 1 : end])
+            at = end
+        if at != len(raw):
+            raise InvalidPatchError("bytes after a symbol table")
+        return cls(tuple(symbols))
+
+    def encode(self, df: DataFrame, column: str, out: str = "packed") -> DataFrame:
+        return symbol_encode(df, column, list(self.symbols), out)
+
+    def decode(self, df: DataFrame, packed: str, out: str) -> DataFrame:
+        return symbol_decode(df, packed, list(self.symbols), out)
 
 
 def symbol_encode(df: DataFrame, column: str, table: list[bytes], out: str = "packed") -> DataFrame:
@@ -608,69 +785,71 @@ def profile(df: DataFrame, *columns: str) -> DataFrame:
         text = isinstance(df.schema[name].dataType, T.StringType)
         size = F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) if text else F.lit(None).cast("bigint")
         parts.append(df.agg(F.count(F.lit(1)).alias("n"), F.count(c).alias("present"), F.count_distinct(c).alias("distinct"), F.min(c).cast("string").alias("lo"), F.max(c).cast("string").alias("hi"), size.cast("bigint").alias("bytes")).select(F.lit(name).alias("column"), "*", (F.col("distinct") == 1).alias("constant")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _union(parts)
+
+
+INTEGER_CODECS = ("raw", "frame_of_reference", "delta", "run_length", "dictionary", "patched")
+FLOAT_CODECS = ("raw", "decimal", "xor", "xor_window", "real_double")
 
 
 def integer_costs(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    """One row of predicted bytes: raw, frame_of_reference, delta, run_length, dictionary."""
-    c = df.select(rn, F.col(column).cast("bigint").alias("v"))
+    """One row: n, runs, kinds, and the predicted bytes of each of ``INTEGER_CODECS``."""
+    c = df.select(rn, _bits(df, column).alias("v"), F.col(column).alias("given"))
     c = with_previous(c, {"p": "v"}, rn)
-    d = F.col("v") - F.col("p")
+    d = wrapping_sub(F.col("v"), F.col("p"))
     s = c.agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.min(d).alias("dlo"), F.max(d).alias("dhi"),
+        F.count(F.lit(1)).alias("n"), bit_length(wrapping_sub(_bits(df, column, F.max("given")), _bits(df, column, F.min("given")))).alias("bits"), F.min(d).alias("dlo"), F.max(d).alias("dhi"),
         F.count_if(F.col("p").isNull() | (F.col("p") != F.col("v"))).alias("runs"), F.count_distinct("v").alias("kinds"),
         F.sum(F.when(F.col("p").isNull() | (F.col("p") != F.col("v")), varint_length(zigzag(F.col("v"))) + 1)).alias("run_bytes"),
     )
     bits = lambda w: F.ceil(F.col("n") * w / 8).cast("bigint")
     big = F.lit(1 << 60)
-    return s.select(
+    return s.crossJoin(patched_width(df, column).select(F.col("cost").alias("_patched"))).select(  # a row each
         "n", "runs", "kinds", (F.col("n") * 8).alias("raw"),
-        (bits(bit_length(F.col("hi") - F.col("lo"))) + 10).alias("frame_of_reference"),
-        F.when(F.col("n") >= 4, bits(bit_length(F.col("dhi") - F.col("dlo"))) + 20).otherwise(big).alias("delta"),
+        (bits(F.col("bits")) + 10).alias("frame_of_reference"),
+        F.when(F.col("n") >= 4, bits(bit_length(wrapping_sub(F.col("dhi"), F.col("dlo")))) + 20).otherwise(big).alias("delta"),
         F.when(F.col("n") >= 8, F.col("run_bytes")).otherwise(big).cast("bigint").alias("run_length"),
         F.when((F.col("n") >= 8) & (F.col("kinds") <= MOST_CODES), F.col("kinds") * 8 + bits(index_width(F.col("kinds")))).otherwise(big).alias("dictionary"),
+        (F.col("_patched") + 12).alias("patched"),
     )
 
 
-def recommend(df: DataFrame, *columns: str, rn: str = "rn") -> DataFrame:
-    """(column, encoding, bytes): the cheapest encoding of each integer column; the first of equals."""
-    names = ["raw", "frame_of_reference", "delta", "run_length", "dictionary"]
-    parts = []
-    for name in columns:
-        cost = integer_costs(df, name, rn)
-        least = F.least(*names)
-        which = F.coalesce(*[F.when(F.col(x) == least, F.lit(x)) for x in names])
-        parts.append(cost.select(F.lit(name).alias("column"), which.alias("encoding"), least.alias("bytes")))
+def _cheapest(costs: DataFrame, name: str, codecs: tuple[str, ...]) -> DataFrame:
+    least = F.least(*codecs)
+    return costs.select(F.lit(name).alias("column"), F.coalesce(*[F.when(F.col(x) == least, F.lit(x)) for x in codecs]).alias("encoding"), least.alias("bytes"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def recommend(df: DataFrame, *columns: str, rn: str = "rn") -> DataFrame:
+    """(column, encoding, bytes): the cheapest encoding of each integer column; the first of equals."""
+    return _union([_cheapest(integer_costs(df, name, rn), name, INTEGER_CODECS) for name in columns])
+
+
 def float_costs(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    """One row of predicted bytes: raw, decimal, xor (of a column of doubles without nulls)."""
-    d = decimal_exponent(df, column).first()
-    n = d["n"]
+    """One row: n and the predicted bytes of each of ``FLOAT_CODECS``, of doubles or floats without nulls."""
+    size, d = _width(df, column), decimal_exponent(df, column).first()
+    n, ref = d["n"], (128).bit_length() - 1
     m = decimal_encode(df, column, d["exponent"], rn)
-    width = m.agg(F.min("mantissa").alias("a"), F.max("mantissa").alias("b")).select(bit_length(F.col("b") - F.col("a")).alias("w"))
-    x = xor_encode(df, column, rn).agg(F.sum(F.when(F.col("meaningful") == 0, 1).otherwise(F.col("meaningful") + 13)).alias("x"))
-    decimal = F.ceil(F.lit(n) * F.col("w") / 8) + F.lit(d["exceptions"] * 10 + 10)
-    return width.crossJoin(x).select(F.lit(n).alias("n"), F.lit(n * 8).alias("raw"), decimal.cast("bigint").alias("decimal"), F.ceil(F.col("x") / 8).cast("bigint").alias("xor"))
+    width = m.agg(bit_length(wrapping_sub(F.max("mantissa"), F.min("mantissa"))).alias("w"))
+    one = lambda meaningful: F.sum(F.when(meaningful == 0, 1).otherwise(meaningful + 13))
+    x = xor_encode(df, column, rn).agg(one(F.col("meaningful")).alias("x"))
+    trailing = F.length(F.regexp_extract(F.bin("xor"), "0*$", 0))
+    y = xor_window_encode(df, column, rn).agg((one(F.when(F.col("xor") != 0, bit_length(F.col("xor")) - trailing).otherwise(0)) + F.lit(ref * n)).alias("y"))
+    z = real_double_encode(df, column, rn).agg(F.sum(F.col("cut") + 3 + F.when(F.col("code") < 0, size - F.col("cut") + 16).otherwise(0)).alias("z"))
+    decimal = F.ceil(F.lit(n) * F.col("w") / 8) + F.lit(d["exceptions"] * (2 + size // 8) + 10)
+    octets = lambda c: F.ceil(F.col(c) / 8).cast("bigint")
+    return width.crossJoin(x).crossJoin(y).crossJoin(z).select(F.lit(n).alias("n"), F.lit(n * size // 8).alias("raw"), decimal.cast("bigint").alias("decimal"), octets("x").alias("xor"), octets("y").alias("xor_window"), octets("z").alias("real_double"))  # a row each
 
 
 def recommend_floats(df: DataFrame, *columns: str, rn: str = "rn") -> DataFrame:
-    """(column, encoding): the cheapest encoding of each column of doubles."""
-    parts = []
-    for name in columns:
-        names = ["raw", "decimal", "xor"]
-        parts.append(float_costs(df, name, rn).select(F.lit(name).alias("column"), F.coalesce(*[F.when(F.col(x) == F.least(*names), F.lit(x)) for x in names]).alias("encoding")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(column, encoding, bytes): the cheapest encoding of each column of doubles or floats."""
+    return _union([_cheapest(float_costs(df, name, rn), name, FLOAT_CODECS) for name in columns])
 
 
 def layout_probe(df: DataFrame, *columns: str, rn: str = "rn") -> DataFrame:
@@ -681,7 +860,7 @@ def layout_probe(df: DataFrame, *columns: str, rn: str = "rn") -> DataFrame:
         if isinstance(df.schema[name].dataType, T.StringType):
             c = df.agg((F.sum(F.octet_length(name) + 1)).alias("r"), F.count_distinct(name).alias("k"), F.count(name).alias("n"), F.sum(F.octet_length(name)).alias("b")).select("r", F.least(F.col("b") + F.col("n"), F.ceil(F.col("n") * index_width(F.col("k")) / 8) + F.col("k") * F.ceil(F.col("b") / F.col("n"))).cast("bigint").alias("c"))
         else:
-            least = F.least("raw", "frame_of_reference", "delta", "run_length", "dictionary")
+            least = F.least(*INTEGER_CODECS)
             c = integer_costs(df, name, rn).crossJoin(df.agg(F.sum(varint_length(zigzag(F.col(name))) + 1).alias("r"))).select("r", least.alias("c"))
         r = c.first()  # one row
         row, col = (row or 0) + r["r"], (col or 0) + r["c"]

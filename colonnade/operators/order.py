@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 CHUNK = 65_536
 
 
@@ -12,10 +14,10 @@ def numbered(df: DataFrame, *order_by: str, out: str = "rn") -> DataFrame:
     """Add ``out``: each row's place, from 0, in the order of ``order_by``.
 
     Rows are dealt to ranges of the order and sorted there; a table with one row for each
-    partition holds how many rows come before it.  The dealt rows are kept, since another
+    partition holds how many rows come before it.  The dealt rows are written, since another
     run might cut the ranges elsewhere.
     """
-    dealt = df.repartitionByRange(*[F.col(c) for c in order_by]).sortWithinPartitions(*order_by).withColumn("_id", F.monotonically_increasing_id()).persist()
+    dealt = written(df.repartitionByRange(*[F.col(c) for c in order_by]).sortWithinPartitions(*order_by).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     per = dealt.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = per.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     joined = dealt.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before), "_part")  # a row per partition
@@ -45,3 +47,19 @@ def with_running_sum(df: DataFrame, value: Column | str, out: str, rn: str = "rn
     before = totals.select("_chunk", F.coalesce(F.sum("_t").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     w = Window.partitionBy("_chunk").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
     return c.join(before, "_chunk").withColumn(out, F.sum("_v").over(w) + F.col("_b")).drop("_chunk", "_v", "_b")
+
+
+def with_previous_of(df: DataFrame, group: str, value: str, out: str, rn: str = "rn") -> DataFrame:
+    """Add ``out``: ``value`` in the last row before this one with the same ``group`` (nulls are a group).
+
+    Chunks are looked through apart, so that a frequent group is spread over many tasks; a table
+    with one row for each chunk and group carries what came last before a chunk.
+    """
+    c = _chunked(df, rn)
+    w = Window.partitionBy("_chunk", group).orderBy(rn)
+    last = c.groupBy("_chunk", F.col(group).alias("_g")).agg(F.max_by(F.struct(F.col(value).alias("v")), rn).alias("_last"))
+    before = last.select("_chunk", "_g", F.lag("_last").over(Window.partitionBy("_g").orderBy("_chunk")).alias("_before"))
+    c = c.withColumn("_own", F.lag(F.struct(F.col(value).alias("v"))).over(w)).alias("c")
+    b = before.alias("b")
+    joined = c.join(b, (F.col("c._chunk") == F.col("b._chunk")) & F.col(f"c.{group}").eqNullSafe(F.col("b._g")), "left")
+    return joined.select(*[F.col(f"c.`{x}`") for x in df.columns], F.coalesce("_own", "_before")["v"].alias(out))

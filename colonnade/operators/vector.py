@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import meet, pack_blocks
+
 LEAST_DIMS = 32
 _INT32 = 2**31 - 1
 #: Second moment of the unit interval, and of the E8 lattice's cell by dimension (fixed values).
@@ -244,23 +246,53 @@ def rotated_scalar(df: DataFrame, column: str, step: float, out: str = "back", s
     return _vector_map(df, column, out, lambda x: hadamard(np.rint(hadamard(padded(x), seed) / step) * step, seed, inverse=True)[:, : x.shape[1]])
 
 
-def product_quantize(df: DataFrame, column: str, parts: int = 8, codes: int = 16, sample: int = 20_000, seed: int = 1, out: str = "back") -> DataFrame:
-    """Add ``out``: each of ``parts`` pieces of a vector replaced by its nearest centroid.
+def _books(x: np.ndarray, parts: int) -> list[np.ndarray]:
+    return np.array_split(x, parts, axis=1)
+
+
+def _nearest_code(piece: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return ((piece[:, None, :] - book[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+
 
-    Centroids are learned by k-means over at most ``sample`` vectors.
+def train_codebooks(df: DataFrame, column: str, parts: int = 8, codes: int = 16, rounds: int = 12) -> list[np.ndarray]:
+    """``parts`` tables of ``codes`` centroids by k-means over all vectors.
+
+    It begins with the ``codes`` vectors of the smallest hashes; in each round tasks sum the vectors
+    nearest to each centroid, and only the sums' totals reach the driver.
     """
-    rows = df.select(column).orderBy(F.xxhash64(column)).limit(sample).toArrow().column(0).to_pylist()  # bounded
-    x = np.array(rows, np.float64)
-    rng, books = np.random.default_rng(seed), []
-    for piece in np.array_split(x, parts, axis=1):
-        c = piece[rng.choice(len(piece), min(codes, len(piece)), replace=False)]
-        for _ in range(12):
-            near = ((piece[:, None, :] - c[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-            c = np.stack([piece[near == k].mean(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
-        books.append(c)
+    given = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    first = given.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h", "v").limit(codes).toArrow().column(0).to_pylist()  # bounded
+    books = _books(np.array(first, np.float64), parts)
+    for _ in range(rounds):
+
+        def sums(batches: Iterator[pa.RecordBatch], books: list[np.ndarray] = books) -> Iterator[pa.RecordBatch]:
+            total, n = [np.zeros_like(b) for b in books], [np.zeros(len(b), np.int64) for b in books]
+            for b in batches:
+                lists = b.column(0)
+                for i in range(0, len(lists), 2048):
+                    rows = lists.slice(i, 2048)
+                    x = np.asarray(rows.flatten(), dtype=np.float64).reshape(len(rows), -1)
+                    for p, piece in enumerate(_books(x, parts)):
+                        code = _nearest_code(piece, books[p])
+                        np.add.at(total[p], code, piece)
+                        n[p] += np.bincount(code, minlength=len(n[p]))
+            cells = [(p, c, d, int(n[p][c]), float(total[p][c, d])) for p in range(len(books)) for c in range(len(books[p])) if n[p][c] for d in range(books[p].shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in cells], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64()))], names=["p", "c", "d", "n", "s"])
+
+        got = given.mapInArrow(sums, "p int, c int, d int, n bigint, s double").groupBy("p", "c", "d").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()  # a number per component of a centroid
+        books = [b.copy() for b in books]
+        for r in got:
+            books[r["p"]][r["c"], r["d"]] = r["s"] / r["n"]
+    return books
+
+
+def product_quantize(df: DataFrame, column: str, parts: int = 8, codes: int = 16, out: str = "back", books: list[np.ndarray] | None = None) -> DataFrame:
+    """Add ``out``: each of ``parts`` pieces of a vector replaced by its nearest centroid (of ``books``,
+    or trained on the column)."""
+    books = train_codebooks(df, column, parts, codes) if books is None else books
 
     def fn(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([c[((p[:, None, :] - c[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)] for p, c in zip(np.array_split(x, parts, axis=1), books)], axis=1)
+        return np.concatenate([b[_nearest_code(p, b)] for p, b in zip(_books(x, len(books)), books)], axis=1)
 
     return _vector_map(df, column, out, fn)
 
@@ -268,32 +300,33 @@ def product_quantize(df: DataFrame, column: str, parts: int = 8, codes: int = 16
 # Neighbours
 
 
-def exact_knn(df: DataFrame, key: str, column: str, k: int = 10, most_queries: int = 500, block: int = 4096) -> DataFrame:
-    """(query, rank, neighbor, dist2): the ``k`` nearest by squared distance of the first
-    ``most_queries`` rows by key; ties to the smaller key, the row itself left out.
+def exact_knn(df: DataFrame, key: str, column: str, k: int = 10, queries: DataFrame | None = None, shard_rows: int = 8192, block_rows: int = 128) -> DataFrame:
+    """(query, rank, neighbor, dist2): the ``k`` nearest of all rows by squared distance to each of
+    ``queries`` (rows of the same columns; all of ``df`` if not given); ties to the smaller key, the row
+    itself left out.
 
-    The queries are bounded, so every batch of rows meets all of them, keeps ``k`` for each,
-    and the batches' bests are ranked once more.
+    Blocks of queries pass by shards of rows; each keeps ``k`` for a query, and these are ranked
+    once more.
     """
-    ask = df.orderBy(key).limit(most_queries).select(key, column).toArrow().to_pandas()
-    ids, qs = ask[key].to_numpy(np.int64), np.array(ask[column].tolist(), np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, block):
-                part = b.slice(i, block)
-                own, x = np.asarray(part.column(0)), np.array(part.column(1).to_pylist(), np.float64)
-                out = [[], [], []]
-                for q, v in zip(ids.tolist(), qs):
-                    d = ((x - v) ** 2).sum(axis=1)
-                    order = np.lexsort((own, d))[: k + 1]
-                    order = order[own[order] != q][:k]
-                    out[0] += [q] * len(order)
-                    out[1] += own[order].tolist()
-                    out[2] += d[order].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query", "neighbor", "dist2"])
-
-    found = df.select(F.col(key).cast("bigint"), column).mapInArrow(run, "query bigint, neighbor bigint, dist2 double")
+    def near(held: tuple, asked: tuple) -> pa.RecordBatch:
+        (own, x), (ids, qs) = held, asked
+        out: list[list] = [[], [], []]
+        squares = (x**2).sum(axis=1)
+        rough = squares[None, :] + (qs**2).sum(axis=1)[:, None] - 2 * qs @ x.T
+        slack = 1e-9 * (1 + squares.max() + float((qs**2).sum(axis=1).max()))
+        for q, v, r in zip(ids.tolist(), qs, rough):
+            # the product only picks what is measured
+            at = np.flatnonzero(r <= np.partition(r, k)[k] + slack) if len(r) > k + 1 else np.arange(len(r))
+            at = at[own[at] != q]
+            d = ((x[at] - v) ** 2).sum(axis=1)
+            order = np.lexsort((own[at], d))[:k]
+            out[0] += [q] * len(order)
+            out[1] += own[at[order]].tolist()
+            out[2] += d[order].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query", "neighbor", "dist2"])
+
+    found = meet(pack_blocks(df, key, column, shard_rows), pack_blocks(df if queries is None else queries, key, column, block_rows)[0], near, "query bigint, neighbor bigint, dist2 double")
     w = Window.partitionBy("query").orderBy("dist2", "neighbor")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbor", "dist2")
 
@@ -304,9 +337,12 @@ def recall(truth: DataFrame, found: DataFrame, k: int = 10) -> DataFrame:
     return truth.select("query").distinct().join(hits, "query", "left").agg((F.avg(F.coalesce("count", F.lit(0))) / k).alias("recall"))
 
 
-def grouped_encode(df: DataFrame, group: str, column: str, budget: Budget = min_cosine(), tries: int = 4, least_rows: int = 16) -> DataFrame:
+def grouped_encode(df: DataFrame, group: str, column: str, budget: Budget = min_cosine(), tries: int = 4, least_rows: int = 16, part_rows: int = 16_384) -> DataFrame:
     """Add ``back`` and ``lattice``: each group of equally long vectors encoded by itself.
 
+    A group of over ``part_rows`` rows is encoded in parts of about that many, by a hash of the vector,
+    each with a step and lattice of its own.
+
     Norms are kept apart and directions are rotated; from 16 padded dimensions on and for a tight
     budget the E8 lattice is tried against the scalar grid, and the one with the fewer bits by
     its entropy taken.  Groups that are too small, or whose budget isn't met, stay as they are.
@@ -345,4 +381,6 @@ def grouped_encode(df: DataFrame, group: str, column: str, budget: Budget = min_
         return out
 
     schema = T.StructType([*df.schema.fields, T.StructField("back", T.ArrayType(T.DoubleType())), T.StructField("lattice", T.StringType())])
-    return df.groupBy(group).applyInPandas(one, schema)
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("_parts"))
+    part, names = F.pmod(F.xxhash64(column), F.col("_parts")).cast("int"), df.columns
+    return df.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_part", part).groupBy(group, "_part").applyInPandas(lambda pdf: one(pdf[names]), schema)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TypeMismatchError
-from ..functions.predicate import EQ, GE, GT, LE, LT, NE, WhereCmp, WhereRange
+from ..functions.predicate import GT, LT, WhereCmp, WhereRange
+from ..functions.scalar import uint_bits, varint_length, zigzag
 from ..schema import kind_of
 from .order import with_previous
 
@@ -29,6 +30,18 @@ def eligible(df: DataFrame, column: str) -> None:
         raise TypeMismatchError("zones", column, "int, uint or float64", kind)
 
 
+def worth_zones(df: DataFrame, column: str) -> bool:
+    """Whether the column is eligible and has the rows of two zones at least, and no null."""
+    eligible(df, column)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("present")).first()
+    return r["n"] >= LEAST_ROWS and r["present"] == r["n"]
+
+
+def build_if_worth(df: DataFrame, column: str, rn: str = "rn") -> DataFrame | None:
+    """Zones, or None for a column that has none: its queries read all of it."""
+    return build(df, column, rn) if worth_zones(df, column) else None
+
+
 def build(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
     """(zone, n, zmin, zmax) of a numbered table.
 
@@ -44,16 +57,33 @@ def build(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
     return df.groupBy(zone_of(rn).alias("zone")).agg(F.count(F.lit(1)).alias("n"), lo.alias("zmin"), hi.alias("zmax"))
 
 
-def bounds(test: WhereCmp | WhereRange) -> tuple[object, object]:
-    """(lo, hi) outside which the test can't hold; None is open."""
+def bounds(test: WhereCmp | WhereRange) -> tuple[object, object] | None:
+    """(lo, hi) outside which the test can't hold, None being open; None if it never holds."""
     if isinstance(test, WhereRange):
-        return test.lo, test.hi
-    return {EQ: (test.value, test.value), LT: (None, test.value), LE: (None, test.value), GT: (test.value, None), GE: (test.value, None), NE: (None, None)}[test.op]
+        lo, hi = test.lo, test.hi
+    else:
+        mask, v = test.op & 7, test.value
+        if not mask:
+            return None
+        # a side is open if values on it pass; NE and ALWAYS are open on both
+        lo, hi = None if mask & LT else v, None if mask & GT else v
+        if mask == 7:
+            return lo, hi
+        if _is_nan(v):
+            return None
+    return None if _is_nan(lo) or _is_nan(hi) else (lo, hi)
+
+
+def _is_nan(v: object) -> bool:
+    return v is not None and v != v
 
 
 def may_hold(test: WhereCmp | WhereRange, zmin: str = "zmin", zmax: str = "zmax") -> Column:
     """Whether a zone can have a row that passes the test."""
-    lo, hi = bounds(test)
+    at = bounds(test)
+    if at is None:
+        return F.lit(False)
+    lo, hi = at
     out = F.lit(True)
     if lo is not None:
         out = out & (F.col(zmax) >= F.lit(lo))
@@ -62,10 +92,12 @@ def may_hold(test: WhereCmp | WhereRange, zmin: str = "zmin", zmax: str = "zmax"
     return out
 
 
-def prune(df: DataFrame, zones: DataFrame, test: WhereCmp | WhereRange, rn: str = "rn") -> DataFrame:
-    """Rows that pass ``test``, looked for in zones that may hold them only."""
-    keep = zones.where(may_hold(test)).select("zone")
-    return df.withColumn("zone", zone_of(rn)).join(keep, "zone", "left_semi").where(test.lower(df.schema)).drop("zone")
+def prune(df: DataFrame, zones: DataFrame | None, test: WhereCmp | WhereRange, rn: str = "rn") -> DataFrame:
+    """Rows that pass ``test``, looked for in zones that may hold them only; in all rows without ``zones``."""
+    if zones is None:
+        return df.where(test.lower(df.schema))
+    kept = zones.where(may_hold(test)).select("zone")
+    return df.withColumn("zone", zone_of(rn)).join(kept, "zone", "left_semi").where(test.lower(df.schema)).drop("zone")
 
 
 def matched_zones(df: DataFrame, zones: DataFrame, test: WhereCmp | WhereRange, rn: str = "rn") -> DataFrame:
@@ -90,7 +122,7 @@ class LinearZones:
     def places(self, lo: float, hi: float) -> tuple[int, int] | None:
         """First and last row that a value from lo to hi can have; None if none can."""
         first, last = self.slope * lo + self.offset - self.error, self.slope * hi + self.offset + self.error
-        if last < 0 or first > self.rows - 1:
+        if not (last >= 0 and first <= self.rows - 1):  # so that a NaN has none
             return None
         # cut to the table before turning to integers
         return int(math.floor(min(max(first, 0.0), self.rows - 1.0))), int(math.floor(min(max(last, 0.0), self.rows - 1.0)))
@@ -100,10 +132,22 @@ class LinearZones:
         return None if at is None else (at[0] // ZONE, at[1] // ZONE)
 
 
+#: Bytes of a model: two doubles and the error's varint (2 at most, as it is 256 at most).
+MODEL_BYTES = 18
+
+
+def index_bytes(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
+    """One row ``bytes``: of the zones' minima and maxima, as varints of zigzags (unsigned: as they are)."""
+    unsigned = kind_of(df.schema[column].dataType) == "uint"
+    size = lambda c: varint_length(uint_bits(F.col(c)) if unsigned else zigzag(F.col(c)))
+    return build(df, column, rn).agg(F.sum(size("zmin") + size("zmax")).cast("bigint").alias("bytes"))
+
+
 def linear_model(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    """One row: n, sorted, slope, offset, error, accepted.
+    """One row: n, sorted, slope, offset, error, index_bytes, accepted.
 
-    Accepted are ascending columns with a finite positive slope and an error of 256 at most.
+    Accepted are ascending integer columns with a finite positive slope, an error of 256 at most,
+    and an index of minima and maxima that takes more bytes than the model.
     """
     eligible(df, column)
     x, y = F.col(f"`{column}`").cast("double"), F.col(rn).cast("double")
@@ -115,9 +159,12 @@ def linear_model(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
     fit = fit.withColumn("offset", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
     model = fit.select("n", "slope", "offset")
     off = df.crossJoin(F.broadcast(model)).agg(F.max(F.abs(y - (F.col("slope") * x + F.col("offset")))).alias("off"))  # one row
-    out = model.crossJoin(ordered).crossJoin(off).withColumn("error", (F.ceil("off") + 1).cast("bigint"))
-    ok = F.col("sorted") & (F.col("slope") > 0) & (F.col("slope") < math.inf) & (F.col("error") <= ZONE)
-    return out.select(F.col("n").cast("bigint").alias("n"), "sorted", "slope", "offset", "error", F.coalesce(ok, F.lit(False)).alias("accepted"))
+    whole = kind_of(df.schema[column].dataType) in ("int", "uint")
+    size = index_bytes(df, column, rn) if whole else df.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("bytes"))
+    finite = F.when(~F.isnan("off") & (F.col("off") < 2.0**53), F.col("off"))  # else there is no error to speak of
+    out = model.crossJoin(ordered).crossJoin(off).crossJoin(size).withColumn("error", (F.ceil(finite) + 1).cast("bigint"))
+    ok = F.lit(whole) & F.col("sorted") & (F.col("slope") > 0) & (F.col("slope") < math.inf) & (F.col("error") <= ZONE) & (F.col("bytes") > MODEL_BYTES)
+    return out.select(F.col("n").cast("bigint").alias("n"), "sorted", "slope", "offset", "error", F.col("bytes").alias("index_bytes"), F.coalesce(ok, F.lit(False)).alias("accepted"))
 
 
 def learn_linear(df: DataFrame, column: str, rn: str = "rn") -> LinearZones | None:

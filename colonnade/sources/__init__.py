@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +13,7 @@ from pyspark.sql import types as T
 from ..functions.predicate import Option
 from ..operators.encode import PRESETS
 from ..operators.query import evolve, query, typed_subset
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, in local tests a folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jdir.isDefined():
-        return jdir.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    base = tempfile.mkdtemp(prefix="colonnade-")
-    atexit.register(shutil.rmtree, base, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+from ..storage import shared_folder  # noqa: F401  part of this module's interface
 
 
 def write(df: DataFrame, path: str, preset: str = "balanced", mode: str = "errorifexists", zone_rows: int | None = None) -> None:
@@ -87,14 +69,40 @@ def read_float32(spark: SparkSession, path: str, dims: int) -> DataFrame:
     return files.mapInArrow(run, "path string, idx bigint, vec array<float>")
 
 
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+    """``fn`` over a table's Arrow batches, in the executors: no row becomes a Python object."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(fn, parts)
+
+    return df.mapInArrow(run, schema)
+
+
 def batches(df: DataFrame, most_rows: int = 65_536) -> Iterator[pa.RecordBatch]:
-    """A table's rows as Arrow batches, one partition after the other, never all at once."""
-    part: list = []
-    schema = df.limit(0).toArrow().schema
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        part.append(row.asDict(recursive=True))
-        if len(part) == most_rows:
-            yield pa.RecordBatch.from_pylist(part, schema=schema)
-            part = []
-    if part:
-        yield pa.RecordBatch.from_pylist(part, schema=schema)
+    """A table's rows as Arrow batches of ``most_rows`` rows, one partition after the other, never all at once.
+
+    Batches are made and serialised in the executors; the driver opens their buffers as they are
+    and puts small ones together.
+    """
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for i in range(0, b.num_rows, most_rows):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as out:
+                    out.write_batch(b.slice(i, most_rows))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+    waiting: list[pa.RecordBatch] = []
+    rows = 0
+    for row in df.mapInArrow(pack, "batch binary").toLocalIterator(prefetchPartitions=True):
+        for b in pa.ipc.open_stream(row["batch"]):
+            waiting.append(b)
+            rows += b.num_rows
+            while rows >= most_rows:
+                whole = pa.concat_batches(waiting)
+                yield whole.slice(0, most_rows)
+                rows -= most_rows
+                waiting = [whole.slice(most_rows)] if rows else []
+    if rows:
+        yield pa.concat_batches(waiting)

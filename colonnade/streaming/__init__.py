@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..errors import BaselineRequiredError, InvalidPatchError
 from ..operators.delta import DELETE
+from ..operators.order import numbered, with_running_sum
 
 MESSAGES = "stream_id bigint, seq bigint, value string, reset boolean"
 
@@ -34,7 +35,9 @@ def encode_dictionary(stream: DataFrame) -> DataFrame:
     """(stream_id, seq, id, value): the id of each message's value in its stream's dictionary.
 
     The value itself comes with the message that brings it in, as later ones refer to it.
-    Ids count from 0 in the order of ``seq``; a reset message starts a new dictionary before it.
+    Ids count from 0 in the order of ``seq``; a reset message starts a new dictionary before it.  A
+    task holds a stream's messages of one micro-batch, which the source's rate bounds, and its
+    dictionary.  Values aren't null.
     """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,16 +59,22 @@ def encode_dictionary(stream: DataFrame) -> DataFrame:
     return stream.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, seq bigint, id bigint, value string", "vals array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def decode_dictionary(encoded: DataFrame, resets: DataFrame | None = None) -> DataFrame:
-    """(stream_id, seq, value) from a table of encoded messages: an id means the value that
-    last came in under it."""
-    given = encoded.where("value IS NOT NULL").select("stream_id", "id", F.col("seq").alias("_from"), F.col("value").alias("_value"))
-    joined = encoded.select("stream_id", "seq", "id").join(given, ["stream_id", "id"]).where("_from <= seq")
-    return joined.groupBy("stream_id", "seq").agg(F.max_by("_value", "_from").alias("value"))
+def decode_dictionary(encoded: DataFrame) -> DataFrame:
+    """(stream_id, seq, value) from a table of encoded messages.
+
+    A dictionary begins with the message that brings in id 0, and each of its ids is brought in once,
+    so a message is joined with one definition.  Dictionaries are numbered by a running count over
+    the whole table in order, which many tasks share.
+    """
+    rows = numbered(encoded, "stream_id", "seq")
+    rows = with_running_sum(rows, F.when((F.col("id") == 0) & F.col("value").isNotNull(), 1).otherwise(0), "_dictionary")
+    given = rows.where("value IS NOT NULL").select("_dictionary", "id", F.col("value").alias("_value"))
+    return rows.select("stream_id", "seq", "id", "_dictionary").join(given, ["_dictionary", "id"], "left").select("stream_id", "seq", F.col("_value").alias("value"))
 
 
 def apply_patch_stream(stream: DataFrame) -> DataFrame:
-    """(entity, seq, version, value): state of each entity after each patch of a stream.
+    """(entity, seq, version, value): state of each entity after each patch of a stream; a task holds an
+    entity's patches of one micro-batch.
 
     Patches: entity, seq, op (insert, update, delete), base (the version it is for; null for an
     insert), value.  A patch for a version other than the entity's is an error, one without

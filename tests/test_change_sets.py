@@ -80,3 +80,53 @@ def test_null_and_empty_differ(spark):
     df = spark.createDataFrame([(1, None), (2, {})], "id int, m map<string,int>")
     h = [r["h"] for r in canonical.content_hash(df.drop("id"), "h").collect()]
     assert h[0] != h[1]
+
+
+NESTED = "id bigint, s struct<a:bigint,b:struct<c:string,d:double>>, m map<string,struct<x:int,y:array<int>>>, a array<struct<p:int,q:map<string,int>>>, n array<array<int>>"
+
+
+def nested_records(seed, n):
+    r = random.Random(seed)
+    maybe = lambda f: None if r.random() < 0.15 else f()
+    ints = lambda: maybe(lambda: [maybe(lambda: r.randrange(3)) for _ in range(r.randrange(4))])
+    few = lambda: maybe(lambda: {r.choice("uv"): maybe(lambda: r.randrange(2)) for _ in range(r.randrange(3))})
+    out = []
+    for i in r.sample(range(40), n):
+        s = maybe(lambda: (maybe(lambda: r.randrange(3)), maybe(lambda: (r.choice("kl"), r.choice([0.0, -0.0, float("nan"), None])))))
+        m = maybe(lambda: {r.choice("xyz"): maybe(lambda: (r.randrange(2), ints())) for _ in range(r.randrange(4))})
+        a = maybe(lambda: [maybe(lambda: (r.randrange(2), few())) for _ in range(r.randrange(4))])
+        out.append((i, s, m, a, maybe(lambda: [ints() for _ in range(r.randrange(3))])))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_nested_round_trip(spark, seed):
+    old, new = (spark.createDataFrame(nested_records(s, 30), NESTED) for s in (seed, seed + 50))
+    changes = delta.diff_nested(old, new, "id")
+    flat = lambda df: sorted(str(r) for r in canonical.canonicalize(df).collect())
+    assert flat(delta.apply_nested(old, changes, "id")) == flat(new)
+    assert delta.diff_nested(old, old, "id").count() == 0
+    # a deep change carries nothing of what is beside it
+    one = spark.createDataFrame([(1, (1, ("k", 1.5)), {"x": (1, [1, 2])}, [(1, {"u": 1}), (2, None)], [[1], [2]])], NESTED)
+    two = spark.createDataFrame([(1, (1, ("k", 2.5)), {"x": (1, [1, 3])}, [(1, {"u": 2}), (2, None)], [[1], [2, 3]])], NESTED)
+    patch = delta.diff_nested(one, two, "id").first()["patch"]
+    assert patch["s"]["merge"]["a"]["op"] == "same" and patch["s"]["merge"]["b"]["merge"]["d"]["value"] == 2.5
+    assert patch["m"]["merge"]["set"]["x"]["merge"]["y"]["merge"]["at"][0]["patch"]["value"] == 3
+    assert patch["a"]["merge"]["at"][0]["patch"]["merge"]["q"]["merge"]["set"]["u"]["value"] == 2 and len(patch["a"]["merge"]["at"]) == 1
+    assert patch["n"]["merge"]["at"][0]["patch"]["merge"]["tail"] == [3]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_change_sets_one_after_the_other(spark, seed):
+    old, mid, new = (spark.createDataFrame(records(s, 20), SCHEMA) for s in (seed, seed + 10, seed + 20))
+    first, second = delta.diff_keyed(old, mid, "id"), delta.diff_keyed(mid, new, "id")
+    both = delta.append_changes(first, second, "id")
+    assert plain(delta.apply_changes(old, both, "id")) == plain(new)
+    with pytest.raises(InvalidPatchError):
+        delta.append_changes(first, first.where("op <> 'update'"), "id")
+
+
+def test_changes_in_key_order(spark):
+    old, new = (spark.createDataFrame(records(s, 20), SCHEMA) for s in (3, 4))
+    rows = delta.ordered(delta.diff_keyed(old, new, "id"), "id").orderBy("place").collect()
+    assert [r["id"] for r in rows] == sorted(r["id"] for r in rows) and [r["place"] for r in rows] == list(range(len(rows)))

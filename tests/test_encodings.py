@@ -1,13 +1,16 @@
 import math
 import random
 import struct
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from colonnade.errors import InvalidPatchError
 from colonnade.functions import scalar
 from colonnade.operators import encode as E
 from colonnade.operators import zonemap as Z
+from colonnade.operators import order
 from colonnade.operators.order import numbered
 from colonnade.functions import predicate as P
 from colonnade.operators import query as Q
@@ -28,6 +31,8 @@ INTS = {
     "spikes": [10**9 if i % 31 == 0 else i % 5 for i in range(124)],
     "negative": [(-1) ** i * i * i for i in range(70)],
     "single": [42],
+    "extremes": [-(2**63), 2**63 - 1, 0, -1, 1, 2**63 - 1, -(2**63), 2**62, -(2**62)] * 3,
+    "far_apart": [-(2**63)] * 20 + [2**63 - 1],
 }
 
 
@@ -39,6 +44,85 @@ def test_integer_round_trips(spark, name):
     assert back(E.run_length_decode(E.run_length_encode(df, "v"), "v")) == INTS[name]
     assert back(E.dictionary_decode(*E.dictionary_encode(df, "v"), "v")) == INTS[name]
     assert back(E.patched_decode(E.patched_encode(df, "v"), "v")) == INTS[name]
+    assert back(E.delta_frame_decode(E.delta_frame_encode(df, "v"), "v")) == INTS[name]
+    assert back(E.from_frame_of_reference(E.block_encode(df, "v", rows=8), "v")) == INTS[name]
+    costs = E.integer_costs(df, "v").first()
+    assert costs["raw"] == 8 * len(INTS[name]) and all(costs[c] > 0 for c in E.INTEGER_CODECS)
+
+
+def test_unsigned_round_trips(spark):
+    values = [0, 1, 2**64 - 1, 2**63, 2**63 - 1, 5, 2**64 - 1]
+    df = column(spark, [Decimal(v) for v in values], "decimal(20,0)")
+    for encode, decode in ((E.frame_of_reference, E.from_frame_of_reference), (E.delta_encode, E.delta_decode), (E.delta_frame_encode, E.delta_frame_decode), (E.patched_encode, E.patched_decode)):
+        assert [int(v) for v in back(decode(encode(df, "v"), "v", unsigned=True))] == values
+    assert E.frame_of_reference(df, "v").first()["width"] == 64
+
+
+def test_varints_and_widths(spark):
+    numbers = [0, 1, 127, 128, 2**62, 2**63 - 1, -(2**63), -1]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x bigint").select(scalar.varint_length(F.col("x")), scalar.bit_length(F.col("x")), scalar.varint_length(scalar.zigzag(F.col("x")))).collect()
+    zigzags = [(2 * x if x >= 0 else -2 * x - 1) for x in numbers]
+    size = lambda u: max(1, -(-u.bit_length() // 7))
+    assert [tuple(r) for r in rows] == [(size(x % 2**64), (x % 2**64).bit_length(), size(z)) for x, z in zip(numbers, zigzags)]
+
+
+def test_block_choice(spark):
+    r = random.Random(4)
+    flat = [r.randrange(1000) for _ in range(1024)]
+    mixed = [r.randrange(4) if i // 256 % 2 else r.randrange(2**40) for i in range(1536)]
+    for values, rows in ((flat, 0), (mixed, 256), (mixed[:300], 0)):
+        got = E.block_choice(column(spark, values, "bigint"), "v").first()
+        assert got["rows"] == rows
+        cost = lambda part: math.ceil(len(part) * (max(part) - min(part)).bit_length() / 8) + E.BLOCK_HEAD
+        size = rows or len(values)
+        assert got["bytes"] == sum(cost(values[i : i + size]) for i in range(0, len(values), size))
+
+
+def test_symbol_tables_are_kept(spark):
+    table = E.SymbolTable.train(column(spark, STRINGS, "string"), "v")
+    assert E.SymbolTable.from_bytes(table.to_bytes()) == table
+    assert list(table.symbols) == E.train_symbols([s.encode() for s in STRINGS if s is not None])
+    for bad in (table.to_bytes()[:-1], table.to_bytes() + b"x"):
+        with pytest.raises(InvalidPatchError):
+            E.SymbolTable.from_bytes(bad)
+
+
+FLOATS = [struct.unpack("<f", struct.pack("<I", i))[0] for i in (0, 1 << 31, 0x7F800000, 0xFF800000, 0x7FC00000, 1, 0x7F7FFFFF, 0x3DCCCCCD, 0x3E4CCCCD, 0x414570A4)] * 7
+
+
+@pytest.mark.parametrize("way", [(E.xor_encode, E.xor_decode), (E.xor_window_encode, E.xor_window_decode), (E.real_double_encode, E.real_double_decode)])
+def test_float_round_trips(spark, way):
+    df = column(spark, FLOATS, "float")
+    got = way[1](way[0](df, "v"), "v", width=32)
+    assert got.schema["v"].dataType.simpleString() == "float"
+    assert [struct.pack("<f", x) for x in back(got)] == [struct.pack("<f", x) for x in FLOATS]
+    decimal = E.decimal_decode(E.decimal_encode(df, "v", 2), "v", 2)
+    assert [struct.pack("<f", x) for x in back(decimal)] == [struct.pack("<f", x) for x in FLOATS]
+
+
+def test_field_delta(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice(STRINGS), f"user-{i // 7}-x") for i in range(200)]
+    df = spark.createDataFrame(rows, "rn bigint, a string, b string")
+    got = E.field_delta_decode(E.field_delta(df, ["a", "b"]), ["a", "b"]).orderBy("rn").collect()
+    assert [tuple(x) for x in got] == rows
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 65_536])
+def test_previous_of_a_group_over_chunks(spark, chunk, monkeypatch):
+    monkeypatch.setattr(order, "CHUNK", chunk)
+    r = random.Random(chunk)
+    values = [r.choice(["a", "a", "a", "b", "c", None]) for _ in range(300)]
+    df = column(spark, values, "string")
+    last, pair, forms, seen = {}, [], [], set()
+    for i, v in enumerate(values):
+        prev = values[i - 1] if i else None
+        pair.append(prev is not None and v is not None and last.get(prev) == v)
+        forms.append("repeat" if i and v is not None and v == prev else "pair" if pair[-1] else "known" if v in seen else "new")
+        last[prev] = v
+        seen.add(v)
+    assert [r["hit"] for r in E.markov_pair(df, "v").orderBy("rn").collect()] == pair
+    assert [r["form"] for r in E.state_references(df, "v").orderBy("rn").collect()] == forms
 
 
 DOUBLES = [0.0, -0.0, 1.5, math.inf, -math.inf, 5e-324, 1e308, 0.1, 0.2, 0.30000000000000004, 12.34, math.nan] * 9
@@ -104,6 +188,28 @@ def test_skipping_never_changes_a_result(spark, seed):
         assert sorted(x["k"] for x in Z.prune(df, zones, t).collect()) == sorted(x["k"] for x in Q.query(df, t).collect())
 
 
+def test_masks_and_odd_bounds(spark):
+    values = [float("nan") if i % 97 == 0 else i / 3 for i in range(1200)]
+    df = numbered(column(spark, values, "double").withColumnRenamed("rn", "k"), "k").cache()
+    zones = Z.build(df, "v")
+    tests = [P.where_cmp("v", op, x) for op in range(8) for x in (100.0, float("nan"), float("inf"))] + [P.where_range("v", float("nan"), 7.0), P.where_range("v", 5.0, float("nan"))]
+    for t in tests:
+        assert Z.prune(df, zones, t).count() == Q.query(df, t).count()
+    model = Z.LinearZones(1.0, 0.0, 1, 1000)
+    assert model.zones(float("nan"), 5.0) is None and model.zones(0.0, float("nan")) is None and model.zones(0.0, float("inf")) == (0, 3)
+
+
+def test_zones_of_unsigned_and_short_columns(spark):
+    df = column(spark, [Decimal(2**64 - 1 - i) for i in range(600)], "decimal(20,0)")
+    top = Z.build(df, "v").orderBy("zone").collect()
+    assert [(int(z["zmin"]), int(z["zmax"])) for z in top] == [(2**64 - 1 - min(i + 255, 599), 2**64 - 1 - i) for i in (0, 256, 512)]
+    t = P.where_cmp("v", P.GE, Decimal(2**64 - 10))
+    assert Z.prune(df, Z.build_if_worth(df, "v"), t).count() == 10
+    short = df.where(F.col("rn") < 511)
+    assert Z.build_if_worth(short, "v") is None and Z.prune(short, None, t).count() == 10
+    assert Z.linear_model(column(spark, list(range(200)), "bigint"), "v").first()["accepted"] is False  # the index is smaller
+
+
 def test_linear_zones_have_no_false_skip(spark):
     values = [3 * i + (i * 7919) % 5 for i in range(2000)]
     df = numbered(column(spark, sorted(values), "bigint").withColumnRenamed("rn", "k"), "k").cache()

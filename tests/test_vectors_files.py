@@ -76,3 +76,53 @@ def test_typed_read_checks_kinds(spark, sf_dir):
     target = T.StructType([T.StructField("n_nationkey", T.StringType())])
     with pytest.raises(TypeMismatchError):
         sources.read(spark, f"{sf_dir}/nation.parquet", target=target)
+
+
+def test_neighbours_of_all_rows(spark, vectors):
+    x = {r["id"]: np.array(r["v"]) for r in vectors.collect()}
+    want = {q: sorted((float(((x[i] - x[q]) ** 2).sum()), i) for i in x if i != q)[:3] for q in x}
+    for shard, block in ((8192, 128), (13, 7)):
+        got = {}
+        for r in V.exact_knn(vectors, "id", "v", k=3, shard_rows=shard, block_rows=block).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append(r["neighbor"])
+        assert got == {q: [i for _, i in w] for q, w in want.items()}
+    some = V.exact_knn(vectors, "id", "v", k=200, queries=vectors.where("id % 40 = 0"))
+    assert some.count() == 2 * 79
+
+
+def test_codebooks_are_of_all_rows(spark, vectors):
+    x = np.array([r["v"] for r in vectors.orderBy("id").collect()])
+    books = V.train_codebooks(vectors, "v", parts=4, codes=5, rounds=3)
+    again = V.train_codebooks(vectors.repartition(5), "v", parts=4, codes=5, rounds=3)
+    assert all(np.allclose(a, b) for a, b in zip(books, again))
+    more = V.train_codebooks(vectors, "v", parts=4, codes=5, rounds=4)
+    for piece, a, b in zip(np.array_split(x, 4, axis=1), books, more):
+        near = ((piece[:, None] - a[None]) ** 2).sum(axis=2).argmin(axis=1)  # the next round's centroids are the means of what is nearest now
+        assert np.allclose(b, np.stack([piece[near == k].mean(axis=0) if (near == k).any() else a[k] for k in range(5)]))
+    back = {r["id"]: np.array(r["back"]) for r in V.product_quantize(vectors, "v", books=books).collect()}
+    for i, v in enumerate(x):
+        assert np.allclose(back[i], np.concatenate([a[((p - a) ** 2).sum(axis=1).argmin()] for p, a in zip(np.array_split(v, 4), books)]))
+
+
+def test_rotated_grids(vectors):
+    """Against matrices written out: the transform's own, and a search over nearby lattice points."""
+    n = 64
+    h = np.array([[(-1) ** bin(i & j).count("1") for j in range(n)] for i in range(n)]) / 8.0
+    signs = np.random.default_rng([1, n]).integers(0, 2, n) * 2.0 - 1.0
+    for r in V.rotated_scalar(V.rotate(vectors, "v"), "v", 0.3).collect():
+        y = h @ (np.pad(np.array(r["v"]), (0, 24)) * signs)
+        assert np.allclose(r["rotated"], y)
+        assert np.allclose(r["back"], (signs * (h.T @ (np.rint(y / 0.3) * 0.3)))[:40])
+    for r in V.e8_quantize(vectors, "v", 0.3).limit(5).collect():
+        turned = h @ (np.pad(np.array(r["v"]), (0, 24)) * signs)
+        got = V.nearest_e8(turned.reshape(-1, 8) / 0.3).reshape(-1) * 0.3
+        assert np.allclose(r["e8"], (signs * (h.T @ got))[:40])
+
+
+def test_large_groups_are_encoded_in_parts(spark):
+    x = np.random.default_rng(9).standard_normal((200, 32))
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "id bigint, g int, v array<double>")
+    got = V.grouped_encode(df, "g", "v", V.max_rel_error(0.05), part_rows=30).collect()
+    assert sorted(r["id"] for r in got) == list(range(200))
+    assert all(np.linalg.norm(np.array(r["back"]) - np.array(r["v"])) <= 0.05 * np.linalg.norm(r["v"]) + 1e-9 for r in got)
+    assert {r["lattice"] for r in got} - {"lossless"}
