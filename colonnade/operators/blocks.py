@@ -26,24 +26,28 @@ def pack_blocks(df: DataFrame, key: str, column: str, rows: int, dtype: str = "f
     return dealt.groupBy("block").applyInArrow(pack, "block int, payload binary"), blocks
 
 
-def meet(held: tuple[DataFrame, int], asked: DataFrame, fn: Callable[[object, object], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn(held, asked)`` of every pair of blocks (see :func:`pack_blocks`).
+def copied(asked: DataFrame, blocks: int) -> DataFrame:
+    """Blocks of queries once for each of ``blocks`` held ones."""
+    return asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "payload")
 
-    Held blocks go to one task each and stay there; blocks of queries, which are stated and fewer, are
-    copied to all of them and pass by one at a time.  What is shuffled is the held blocks once and
-    the queries as often as there are held blocks.
+
+def meet(held: DataFrame, asked: DataFrame, on: list[str], tasks: int, fn: Callable[[object, object], pa.RecordBatch], schema: str) -> DataFrame:
+    """``fn(held, asked)`` of the payloads of every two rows with the same ``on``.
+
+    ``held`` has one row for each ``on``: it goes to one task and stays there, while the queries' blocks,
+    copied to each (see :func:`copied`), pass by one at a time.  What is shuffled is the held blocks
+    once and the queries, which are stated and fewer, as often as there are held blocks.
     """
-    there, n = held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, now = None, None
         for b in batches:
-            for block, query, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(len(on)))))
+            for key, query, raw in zip(keys, b.column(len(on)).to_pylist(), b.column(len(on) + 1)):
                 if not query:
-                    at, now = block, pickle.loads(raw.as_py())
-                elif at == block:  # else the hash left the block empty
+                    at, now = key, pickle.loads(raw.as_py())
+                elif at == key:  # else nothing is held there
                     yield fn(now, pickle.loads(raw.as_py()))
 
-    here = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(True).alias("query"), "payload")
-    rows = there.select("block", F.lit(False).alias("query"), "payload").unionByName(here)
-    return rows.repartition(n, "block").sortWithinPartitions("block", "query").mapInArrow(run, schema)
+    rows = held.select(*on, F.lit(False).alias("query"), "payload").unionByName(asked.select(*on, F.lit(True).alias("query"), "payload"))
+    return rows.repartition(tasks, *on).sortWithinPartitions(*on, "query").mapInArrow(run, schema)

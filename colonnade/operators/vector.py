@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import meet, pack_blocks
+from .blocks import copied, meet, pack_blocks
 
 LEAST_DIMS = 32
 _INT32 = 2**31 - 1
@@ -326,7 +326,9 @@ def exact_knn(df: DataFrame, key: str, column: str, k: int = 10, queries: DataFr
             out[2] += d[order].tolist()
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query", "neighbor", "dist2"])
 
-    found = meet(pack_blocks(df, key, column, shard_rows), pack_blocks(df if queries is None else queries, key, column, block_rows)[0], near, "query bigint, neighbor bigint, dist2 double")
+    held, shards = pack_blocks(df, key, column, shard_rows)
+    asked, _ = pack_blocks(df if queries is None else queries, key, column, block_rows)
+    found = meet(held, copied(asked, shards), ["block"], shards, near, "query bigint, neighbor bigint, dist2 double")
     w = Window.partitionBy("query").orderBy("dist2", "neighbor")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "neighbor", "dist2")
 
