@@ -189,6 +189,32 @@ def test_tree_prunes_and_keeps_ties():
     assert [i for _, i in same.search(np.ones(3, np.int64), 5, 2)] == [0, 1, 3, 4, 5]
 
 
+def test_blocks_of_queries_agree_with_single_ones():
+    r = np.random.default_rng(8)
+    for scale in (200, 2**40):  # doubles, and integers beyond them
+        x = np.concatenate([r.integers(-scale, scale, (700, 5)), np.repeat(r.integers(-scale, scale, (20, 5)), 15, axis=0)])
+        tree = mtree.MTree(np.arange(1000) * 3, x if scale == 200 else x // 2**10, page=16)
+        x = tree.vectors
+        row, ids, scores = tree.search_block(x[:90], 7, np.arange(90) * 3)
+        for q in range(90):
+            s = [sum(int(a) * int(b) for a, b in zip(x[q], v)) for v in x]
+            want = sorted((-v, 3 * i) for i, v in enumerate(s) if i != q)[:7]
+            assert list(zip((-scores[row == q]).tolist(), ids[row == q].tolist())) == want
+    few = mtree.MTree(np.array([4, 9]), np.array([[1, 2], [3, 4]]))
+    assert [a.tolist() for a in few.search_block(np.array([[1, 1], [0, 1]]), 5, np.array([4, 100]))] == [[0, 1, 1], [9, 9, 4], [7, 4, 2]]
+
+
+def test_top_k_of_lengths_and_repeated_rows(spark):
+    rows = [(i, [float(i % 7), 1.0], 0, 0, "", 0) for i in range(40)] + [(100 + i, [1.0, float(i), 2.0], 0, 0, "", 0) for i in range(30)] + [(0, [0.5, 0.5], 0, 0, "", 0), (None, [9.0, 9.0], 0, 0, "", 0)]
+    df = mtree.integer_vectors(vectors(spark, rows), "vec_id", "embedding")
+    got = mtree.top_k(df, df.where("id IN (5, 110)"), k=4, shard_rows=9, block_rows=1).collect()
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v, *_ in rows if i is not None]
+    for q in (5, 110):
+        own = next(v for i, v in ints if i == q)
+        want = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in ints if i != q and len(v) == len(own))[:4]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 def test_top_k_of_nothing(spark):
     df = mtree.integer_vectors(vectors(spark, []), "vec_id", "embedding")
     assert mtree.top_k(df, df).count() == 0

@@ -58,9 +58,9 @@ def test_null_and_shared_ids_stay(spark, sf_dir):
 
 
 def test_run_leaves_its_result_only(spark, sf_dir, tmp_path, monkeypatch):
-    from colonnade.llm import shared
+    from colonnade import storage
 
-    monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(storage, "shared_folder", lambda _: str(tmp_path))
     packed = corpus_pipeline.run(spark, sf_dir)
     assert [p.name.rsplit("-", 1)[0] for p in tmp_path.glob("colonnade/*/*")] == ["stage-packing"] and packed.count() > 0
 
