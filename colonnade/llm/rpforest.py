@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,20 +128,20 @@ def compare(ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, members:
     return links, np.array([find(i) for i in range(n)], np.int64)
 
 
-def link_near(df: DataFrame, id_col: str, vec_col: str, limit: float = 0.95, trees: int = 8, leaf_rows: int = 256, spill: float = 0.03, sample_rows: int = 16_384, task_rows: int = 4096, seed: int = 11) -> DataFrame:
+def link_near(df: DataFrame, id_col: str, vec_col: str, limit: float = 0.95, trees: int = 10, leaf_rows: int = 256, spill: float = 0.01, sample_rows: tuple[int, int] = (16_384, 262_144), task_rows: int = 4096, seed: int = 11) -> DataFrame:
     """One row per row of ``df``: id, n_links, component_id, kept.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing;
     so do vectors of different lengths.  Rows with a null id take no part.  Vectors that
     are equal stand for each other and are linked without being compared; a repeated id
-    is a row of its own.  The trees are grown on at most ``sample_rows`` vectors, taken by a hash
-    of the id; every vector is put through them.  A leaf larger than ``task_rows`` is compared
+    is a row of its own.  The trees are grown on a sample, taken by a hash of the id: one vector in
+    64, ``sample_rows`` of them at least (or all) and at most; every vector is put through them.  A leaf larger than ``task_rows`` is compared
     block by block, all of it.  An empty table gives no rows.
     """
     spark = df.sparkSession
     fit = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vec_col, lambda x: x != F.lit(0.0))
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.when(fit, F.col(vec_col)).alias("v"))
-    classes = written(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")), "classes")
+    classes = written(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     d = F.size("v")
     # lengths whose trees would have a root only are compared whole; the others are at most one per leaf_rows rows
     lengths = classes.groupBy(d.alias("d")).count().agg(F.sort_array(F.collect_list(F.when(F.col("count") > leaf_rows, F.col("d")))).alias("many"), F.count(F.lit(1)).alias("n")).first()
@@ -150,47 +149,55 @@ def link_near(df: DataFrame, id_col: str, vec_col: str, limit: float = 0.95, tre
     if lengths["n"] > len(parts):
         zero = F.lit(0)
         few = classes.where(~d.isin(lengths["many"])).select(zero.alias("leaf"), zero.alias("i"), zero.alias("j"), zero.alias("b"), "rep", "w", "v", F.array(zero).alias("leaves"), d.alias("d"))
-        parts.append(few.groupBy("d").applyInPandas(_leaf(limit), "id bigint, root bigint, n bigint"))
+        parts.append(few.groupBy("d").applyInArrow(_leaf(limit), "id bigint, root bigint, n bigint"))
     found = parts[0] if parts else spark.createDataFrame([], "id bigint, root bigint, n bigint")
     for p in parts[1:]:
         found = found.unionByName(p)
     found = written(found, "links")
     comp = connected_components(found.where("root <> id").select(F.col("id").alias("u"), F.col("root").alias("v")))
     n_of = found.groupBy("id").agg(F.sum("n").alias("n"))
+    ends = comp.join(classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("c"))
+    comp = comp.join(ends, "component").select("node", "c")
     per_class = (
         classes.join(n_of.withColumnRenamed("id", "rep"), "rep", "left")
         .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(F.col("v").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+        .select(F.col("v").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("c", "least").alias("c"))
     )
     out = rows.join(per_class, F.col("v") == F.col("_v"), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("c", "id").alias("component_id"), (F.coalesce("c", "id") == F.col("id")).alias("kept"))
 
 
-def _leaf(limit: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame({"id": [], "root": [], "n": []})
-        v = np.stack([np.asarray(x, np.float64) for x in pdf["v"]])
-        wide = max(map(len, pdf["leaves"]))
-        members = np.full((len(pdf), wide), -1, np.int64)
-        for k, x in enumerate(pdf["leaves"]):
-            members[k, : len(x)] = x
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        side = None if i == j else (pdf["b"].to_numpy() == j).astype(int)
-        ids = pdf["rep"].to_numpy(np.int64)
-        links, root = compare(ids, v, pdf["w"].to_numpy(np.int64), members, side, int(pdf["leaf"].iloc[0]), limit)
-        linked = (links > 0) | (root != np.arange(len(ids))) | np.isin(np.arange(len(ids)), root[root != np.arange(len(ids))])
-        return pd.DataFrame({"id": ids[linked], "root": ids[root[linked]], "n": links[linked]})
+def _padded(lists: pa.ListArray) -> np.ndarray:
+    """A table of the lists' numbers, -1 where a list is shorter."""
+    n = np.asarray(lists.value_lengths(), np.int64)
+    out = np.full((len(n), int(n.max(initial=0))), -1, np.int64)
+    out[np.arange(out.shape[1])[None, :] < n[:, None]] = np.asarray(lists.flatten())
+    return out
+
+
+def _leaf(limit: float) -> Callable[[pa.Table], pa.Table]:
+    def leaf(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        links, root = np.zeros(n, np.int64), np.arange(n)
+        ids = table.column("rep").to_numpy()
+        if n > 1:
+            v = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(n, -1)
+            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+            side = None if i == j else (table.column("b").to_numpy() == j).astype(int)
+            links, root = compare(ids, v, table.column("w").to_numpy(), _padded(table.column("leaves").combine_chunks()), side, table.column("leaf")[0].as_py(), limit)
+        linked = (links > 0) | (root != np.arange(n)) | np.isin(np.arange(n), root[root != np.arange(n)])
+        return pa.table({"id": ids[linked], "root": ids[root[linked]], "n": links[linked]})
 
     return leaf
 
 
-def _links(classes: DataFrame, limit: float, trees: int, leaf_rows: int, spill: float, sample_rows: int, task_rows: int, seed: int) -> DataFrame:
+def _links(classes: DataFrame, limit: float, trees: int, leaf_rows: int, spill: float, sample_rows: tuple[int, int], task_rows: int, seed: int) -> DataFrame:
     """(id, root, n) of each leaf's rows with links: a root that they reach, links that the leaf counts."""
     spark = classes.sparkSession
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).toArrow().to_pandas()  # bounded
-    s = np.stack([np.asarray(v, np.float64) for v in sample["v"]])
+    size = min(max(sample_rows[0], n // 64), sample_rows[1])
+    sample = classes.select("v", "least", F.xxhash64("least").alias("h")).orderBy("h", "least", "v").limit(size).select("v").toArrow().column(0).combine_chunks()  # bounded
+    s = np.asarray(sample.flatten(), dtype=np.float64).reshape(len(sample), -1)
     s /= np.linalg.norm(s, axis=1, keepdims=True)
     forest = []
     for t in range(trees):
@@ -203,7 +210,7 @@ def _links(classes: DataFrame, limit: float, trees: int, leaf_rows: int, spill:
         for b in batches:
             if not b.num_rows:
                 continue
-            v = np.stack([np.asarray(x, np.float64) for x in b.column(0).to_pylist()])
+            v = np.asarray(b.column(0).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
             got = [leaves_of(t, v, spill) for t in forest]
             r, leaf = np.concatenate([g[0] for g in got]), np.concatenate([g[1] + o for g, o in zip(got, first)])
@@ -212,7 +219,7 @@ def _links(classes: DataFrame, limit: float, trees: int, leaf_rows: int, spill:
             ends = np.searchsorted(r, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(leaf.astype(np.int32)))], names=["v", "rep", "w", "leaves"])
 
-    routed = written(classes.mapInArrow(route, T.StructType([*classes.select("v", "rep", "w").schema.fields, T.StructField("leaves", T.ArrayType(T.IntegerType()))])), "routed")
+    routed = written(classes.select("v", "rep", "w").mapInArrow(route, T.StructType([*classes.select("v", "rep", "w").schema.fields, T.StructField("leaves", T.ArrayType(T.IntegerType()))])), "routed")
     # one number per leaf: bounded by trees x sample
     sizes = {r["leaf"]: r["count"] for r in routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().where(f"count > {task_rows}").collect()}
     large = spark.createDataFrame([(k, -(-c // task_rows)) for k, c in sizes.items()], "leaf int, blocks int")
@@ -220,4 +227,4 @@ def _links(classes: DataFrame, limit: float, trees: int, leaf_rows: int, spill:
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = rows.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
 
-    return rows.select("leaf", "i", "j", "b", "rep", "w", "v", "leaves").groupBy("leaf", "i", "j").applyInPandas(_leaf(limit), "id bigint, root bigint, n bigint")
+    return rows.select("leaf", "i", "j", "b", "rep", "w", "v", "leaves").groupBy("leaf", "i", "j").applyInArrow(_leaf(limit), "id bigint, root bigint, n bigint")

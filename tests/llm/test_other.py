@@ -236,6 +236,42 @@ def test_forest_recall(spark, task_rows):
     assert len(got) == len(rows)
 
 
+def test_forest_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.where("embedding IS NOT NULL").toPandas()
+    x = np.stack([np.asarray(v, np.float64) for v in rows["embedding"]])
+    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in rpforest.link_near(df, "vec_id", "embedding").collect()}
+    found = np.array([got[i] for i in rows["vec_id"]])
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.99 * near.sum()
+
+
+def test_forest_finds_pairs_at_the_limit():
+    """Pairs with a cosine just above 0.95 among many others, through trees of many levels."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, z = x[:1000], r.standard_normal((1000, 64))
+    z -= (z * a).sum(axis=1, keepdims=True) * a
+    x[1000:2000] = 0.951 * a + math.sqrt(1 - 0.951**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    met = np.zeros(1000, bool)
+    for t in range(10):
+        tree = rpforest.grow(x[::2], 0.5, 64, 0.01, np.random.default_rng([11, t]))
+        row, leaf = rpforest.leaves_of(tree, x, 0.01)
+        own = {}
+        for i, k in zip(row[row < 2000].tolist(), leaf[row < 2000].tolist()):
+            own.setdefault(i, set()).add(k)
+        met |= np.array([bool(own[i] & own[i + 1000]) for i in range(1000)])
+    assert met.mean() >= 0.97
+
+
+def test_forest_of_repeated_ids(spark):
+    rows = [(7, [1.0, 2.0], 0, 0, "", 0), (7, [1.0, 2.0], 0, 0, "", 0), (7, [-2.0, 1.0], 0, 0, "", 0), (3, [1.0, 2.01], 0, 0, "", 0), (None, [1.0, 2.0], 0, 0, "", 0)]
+    got = sorted(tuple(r) for r in rpforest.link_near(vectors(spark, rows), "vec_id", "embedding").collect())
+    assert got == [(3, 2, 3, True), (7, 0, 7, True), (7, 2, 3, False), (7, 2, 3, False)]
+
+
 def test_forest_of_copies(spark):
     rows = [(i, [1.0, 2.0, 3.0], 0, 0, "", 0) for i in range(50)] + [(99, [3.0, -2.0, 1.0], 0, 0, "", 0)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rpforest.link_near(vectors(spark, rows), "vec_id", "embedding").collect()}
