@@ -23,9 +23,8 @@ from . import textops
 from .shared import lean
 
 UNDETERMINED = "und"
-_BITS = 7
-LETTERS = 1 << _BITS  # the end mark 0, a to z, and a hashed class for any other letter
-CODES = 1 << (3 * _BITS)
+_BITS = 11
+LETTERS = 1 << _BITS  # the end mark 0, a to z, and one of 2021 classes by hash for any other letter
 _CHUNK = 4096
 _tables: dict[str, np.ndarray] = {}
 
@@ -33,14 +32,14 @@ _tables: dict[str, np.ndarray] = {}
 def letter_table() -> np.ndarray:
     """Letter class of every code point, upper case as lower; 0 for what isn't a letter."""
     if "letters" not in _tables:
-        table = np.zeros(0x110000, np.uint8)
+        lower = np.zeros(0x110000, np.uint64)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
                 low = c.lower()
-                v = ord(low) if len(low) == 1 else cp
-                table[cp] = v - 96 if 97 <= v <= 122 else 27 + int(textops.mix(np.array([v], np.uint64))[0] % np.uint64(LETTERS - 27))
-        _tables["letters"] = table
+                lower[cp] = ord(low) if len(low) == 1 else cp
+        other = 27 + (textops.mix(lower) % np.uint64(LETTERS - 27)).astype(np.int64)
+        _tables["letters"] = np.where(lower == 0, 0, np.where((lower >= 97) & (lower <= 122), lower.astype(np.int64) - 96, other)).astype(np.uint16)
     return _tables["letters"]
 
 
@@ -51,7 +50,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ids = letter_table()[cps]
     rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])  # of places 1 and on
     mid = np.flatnonzero(ids[1:-1]) + 1
-    codes = (ids[mid - 1].astype(np.int32) << (2 * _BITS)) | (ids[mid].astype(np.int32) << _BITS) | ids[mid + 1]
+    ids = ids.astype(np.int64)
+    codes = (ids[mid - 1] << (2 * _BITS)) | (ids[mid] << _BITS) | ids[mid + 1]
     return rows[mid - 1], codes
 
 
@@ -76,7 +76,7 @@ def letter_vectors(dims: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def bundle(counts: np.ndarray, codes: np.ndarray, letters: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Rows of ``counts`` (row x code) times the codes' vectors, a chunk of codes at a time."""
     mask = LETTERS - 1
-    out = np.zeros((len(counts), letters[0].shape[1]), np.float32)
+    out = np.zeros((len(counts), letters[0].shape[1]), counts.dtype)
     for i in range(0, len(codes), _CHUNK):
         c = codes[i : i + _CHUNK]
         v = letters[0][c >> (2 * _BITS)]
@@ -86,44 +86,53 @@ def bundle(counts: np.ndarray, codes: np.ndarray, letters: tuple[np.ndarray, np.
     return out
 
 
+def _added(codes: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with the sums of their counts."""
+    every, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
+    return every, np.bincount(at, np.concatenate([counts, n]), len(every)).astype(np.int64)
+
+
 def learn(labelled: DataFrame, dims: int = 1024, seed: int = 5) -> Profiles:
     """Prototypes from every row of ``labelled`` (``text``, ``lang``) with text and lang.
 
-    Trigram counts are summed by language across the cluster; what reaches the driver is
-    at most one number for each language and possible trigram of letter classes.
+    Bundling is a sum, so each task bundles what it has of a language, and these vectors of whole
+    numbers are summed; ``dims`` numbers for each language reach the driver.  An empty table
+    gives no profiles.
     """
+    most = 1 << 20  # distinct trigrams of a task's languages before they are bundled
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        letters = letter_vectors(dims, seed)
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for lang, total in sums.items():
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "code", "n"])
+            for lang, (codes, n) in sums.items():
+                total = np.zeros(dims, np.int64)
+                for i in range(0, len(codes), _CHUNK):  # whole numbers as doubles are exact
+                    total += np.rint(bundle(n[None, i : i + _CHUNK].astype(np.float64), codes[i : i + _CHUNK], letters)[0]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * dims, pa.string()), pa.array(np.arange(dims, dtype=np.int32)), pa.array(total)], names=["lang", "dim", "n"])
             sums.clear()
 
+        none = np.zeros(0, np.int64)
         for b in batches:
             _, offs = textops.text_buffer(b.column(0))
             for i, j in textops.slices(offs):
                 texts, langs = b.column(0).slice(i, j - i).to_pylist(), np.array(b.column(1).slice(i, j - i).to_pylist(), object)
                 row, code = trigrams(texts)
-                for lang in set(langs.tolist()):
-                    if lang not in sums and len(sums) >= 8:
-                        yield from rows()
-                    own = np.bincount(code[(langs == lang)[row]], minlength=CODES)
-                    sums[lang] = sums[lang] + own if lang in sums else own
+                for lang in sorted(set(langs.tolist())):
+                    got, n = np.unique(code[(langs == lang)[row]], return_counts=True)
+                    sums[lang] = _added(*sums.get(lang, (none, none)), got, n)
+                if sum(len(c) for c, _ in sums.values()) > most:
+                    yield from rows()
         yield from rows()
 
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(count, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values(["lang", "code"])
-    letters, langs = letter_vectors(dims, seed), tuple(sorted(rows["lang"].unique()))
-    vectors = np.zeros((len(langs), dims), np.float32)
-    for k, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang]
-        n = own["n"].to_numpy(np.float64)
-        vectors[k] = bundle((n / np.linalg.norm(n))[None, :].astype(np.float32), own["code"].to_numpy(np.int64), letters)[0]
+    sent = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(count, "lang string, dim int, n bigint")
+    rows = sent.groupBy("lang", "dim").agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values(["lang", "dim"])
+    langs = tuple(sorted(rows["lang"].unique()))
+    vectors = rows["n"].to_numpy(np.float64).reshape(len(langs), dims)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return Profiles(langs, vectors, seed)
+    return Profiles(langs, vectors.astype(np.float32), seed)
 
 
 def cosines(texts: list[str], profiles: Profiles, letters: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +158,8 @@ def cosines(texts: list[str], profiles: Profiles, letters: tuple[np.ndarray, np.
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (the cosine, cut to 0..1) to every row of ``docs`` (``text``).
 
-    A null text, one without a letter, or an empty set of profiles gives ``und`` and 0.
+    A null text, one without a letter, or an empty set of profiles gives ``und`` and 0; an empty
+    table gives no rows.
     Only the text is looked at; ties go to the first language in code point order.  All
     columns of ``docs`` stay but ``lang_pred`` and ``score``, which are replaced.
     """

@@ -97,7 +97,8 @@ def pack(pieces: DataFrame, size: int, shard_items: int = 16_384) -> DataFrame:
     df = written(pieces, "pieces")
     n = df.count()
     shards = max(1, -(-n // shard_items))
-    item = F.pmod(F.xxhash64(*pieces.columns), F.lit(shards)).cast("bigint")
+    # by a number of the row in the written table, so that equal rows are dealt to many shards
+    item = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("bigint")
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", *[c for c in pdf.columns if c not in ("length", "shard")]], ascending=[False] + [True] * (len(pdf.columns) - 2), kind="stable")

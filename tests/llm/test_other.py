@@ -140,6 +140,55 @@ def test_bundles_are_sums_of_bound_vectors():
     assert np.array_equal(got, want)
 
 
+def test_scripts_are_told_apart(spark):
+    r = np.random.default_rng(6)
+    ranges = {"el": (0x3B1, 0x3C9), "uk": (0x430, 0x44F), "he": (0x5D0, 0x5EA), "ar": (0x627, 0x64A), "hi": (0x905, 0x939), "th": (0xE01, 0xE2E), "ja": (0x3041, 0x3096), "ko": (0xAC00, 0xAC40), "zh": (0x4E00, 0x4E60), "ka": (0x10D0, 0x10F0)}
+    # languages of one script differ by the letters' pairs only
+    chain = {lang: r.dirichlet(np.full(hi - lo, 0.05), hi - lo) for lang, (lo, hi) in ranges.items()}
+    chain["bg"], ranges["bg"] = r.dirichlet(np.full(31, 0.05), 31), ranges["uk"]
+
+    def text(lang):
+        lo, p = ranges[lang][0], chain[lang]
+        words_, at = [], 0
+        for _ in range(30):
+            w = ""
+            for _ in range(5):
+                at = r.choice(len(p), p=p[at])
+                w += chr(lo + at)
+            words_.append(w)
+        return " ".join(words_)
+
+    rows = [(k, text(lang), lang) for k, lang in enumerate(list(chain) * 12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    profiles = langid.learn(df.where("doc_id < 88"))
+    assert profiles.langs == tuple(sorted(chain))
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(df.where("doc_id >= 88"), profiles).collect()}
+    wrong = [(lang, got[k]) for k, _, lang in rows if k >= 88 and got[k] != lang]
+    assert len(wrong) <= 2, wrong
+
+
+def test_prototypes_are_sums_of_texts(spark):
+    """Against text vectors made letter by letter."""
+    rows = [("ab ba", "x"), ("abc", "x"), ("cab", "y"), (None, "y"), ("zz", None), ("12", "y")]
+    got = langid.learn(spark.createDataFrame(rows * 3, "text string, lang string").repartition(4), dims=64, seed=3)
+    v = np.random.default_rng(3).integers(0, 2, (langid.LETTERS, 64)) * 2.0 - 1
+
+    def total(texts):
+        out = np.zeros(64)
+        for w in " ".join(texts).split():
+            ids = [0, *[ord(c) - 96 for c in w], 0]
+            for a, b, c in zip(ids, ids[1:], ids[2:]):
+                out += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+        return out / np.linalg.norm(out)
+
+    assert got.langs == ("x", "y")
+    assert np.allclose(got.vectors, [total(["ab ba", "abc"]), total(["cab"])], atol=1e-6)
+    judged = langid.identify(spark.createDataFrame([("ab",), ("cab",)], "text string"), got).collect()
+    for r, want in zip(judged, (total(["ab"]), total(["cab"]))):
+        cos = got.vectors @ want
+        assert r["lang_pred"] == got.langs[int(cos.argmax())] and abs(r["score"] - max(cos.max(), 0)) < 1e-5
+
+
 # Vectors
 
 
