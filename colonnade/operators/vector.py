@@ -340,7 +340,8 @@ def recall(truth: DataFrame, found: DataFrame, k: int = 10) -> DataFrame:
 
 
 def grouped_encode(df: DataFrame, group: str, column: str, budget: Budget = min_cosine(), tries: int = 4, least_rows: int = 16, part_rows: int = 16_384) -> DataFrame:
-    """Add ``back`` and ``lattice``: each group of equally long vectors encoded by itself.
+    """Add ``back``, ``lattice`` and ``bits`` (of a vector's codes by their entropy, without its norm):
+    each group of equally long vectors encoded by itself.
 
     A group of over ``part_rows`` rows is encoded in parts of about that many, by a hash of the vector,
     each with a step and lattice of its own.
@@ -355,6 +356,7 @@ def grouped_encode(df: DataFrame, group: str, column: str, budget: Budget = min_
         out = pdf.copy()
         lens = {None if r is None else len(r) for r in rows}
         out["back"], out["lattice"] = [None if r is None else [float(v) for v in r] for r in rows], "lossless"
+        out["bits"] = [None if r is None else 64.0 * len(r) for r in rows]
         if len(rows) < least_rows or len(lens) != 1 or None in lens or next(iter(lens)) < LEAST_DIMS:
             return out
         x = np.array(rows, np.float64)
@@ -379,10 +381,10 @@ def grouped_encode(df: DataFrame, group: str, column: str, budget: Budget = min_
                     break
                 step *= 0.6
         if best is not None:
-            out["back"], out["lattice"] = best[2].tolist(), best[1]
+            out["back"], out["lattice"], out["bits"] = best[2].tolist(), best[1], best[0] / len(rows)
         return out
 
-    schema = T.StructType([*df.schema.fields, T.StructField("back", T.ArrayType(T.DoubleType())), T.StructField("lattice", T.StringType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("back", T.ArrayType(T.DoubleType())), T.StructField("lattice", T.StringType()), T.StructField("bits", T.DoubleType())])
     sizes = df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("_parts"))
     part, names = F.pmod(F.xxhash64(column), F.col("_parts")).cast("int"), df.columns
     return df.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_part", part).groupBy(group, "_part").applyInPandas(lambda pdf: one(pdf[names]), schema)
