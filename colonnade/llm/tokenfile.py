@@ -30,8 +30,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced
 
     ``end_id`` is appended to each document.  A null or empty text has the end id
     alone.  Rows with a null ``doc_id`` come first; rows that share one follow each
-    other in the order of their texts (nulls first), so exact copies are written as
-    often as they stand.  Other columns are ignored.  An empty table gives no rows.
+    other in the order of a hash of their texts, over several files if they are many; exact
+    copies are written as often as they stand.  Other columns are ignored.  An empty table gives no rows.
     """
 
     @lean
@@ -51,9 +51,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(before), pa.array(np.diff(np.append(0, ends))), rows], names=["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
 
     # The text goes through the shuffle, not its ids, which are larger.
-    dealt = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    # by a row's hash and number too, so that one id, or one row, that is most of the table is split
+    dealt = rows.repartitionByRange("doc_id", "_h", "_n").sortWithinPartitions("doc_id", "_h", "_n")
     (
-        dealt.mapInArrow(encode, FILE_SCHEMA)
+        dealt.select("doc_id", "text").mapInArrow(encode, FILE_SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(bloom_fpp))
         .option("orc.create.index", "true")

@@ -374,12 +374,59 @@ def test_url_models_tell_classes_apart(spark):
     assert urlfilter.learn(spark.createDataFrame(rows[:5], "url string, verdict string")) is None
 
 
+def witten_bell(texts, order, context, c):
+    """The probability of ``c`` after ``context``, by counting substrings."""
+    marked = ["\x02" * order + t + "\x03" for t in texts]
+    p = 1 / 0x110000
+    for k in range(order + 1):
+        own = context[len(context) - k :]
+        after = [t[i + k] for t in marked for i in range(order - k, len(t) - k) if t[i : i + k] == own]
+        if not after:
+            break
+        p = (after.count(c) + len(set(after)) * p) / (len(after) + len(set(after)))
+    return p
+
+
 def test_markov_probabilities_sum_to_one():
+    texts = ["abab", "abc", "http://a.b/", ""]
     m = urlfilter.MarkovModel(3)
-    for t in ("abab", "abc"):
+    for t in texts:
         m.learn(t)
-    p = [math.exp(m.log_likelihood(x) - m.log_likelihood("")) for x in ("a", "b")]
-    assert all(math.isfinite(x) for x in p) and m.log_likelihood("abab") > m.log_likelihood("zzzz")
+    for t in ("", "a", "abc", "zabz", "http://a.c/"):
+        marked = "\x02" * 3 + t + "\x03"
+        want = sum(math.log(witten_bell(texts, 3, marked[:i], marked[i])) for i in range(3, len(marked)))
+        assert math.isclose(m.log_likelihood(t), want, rel_tol=1e-12)
+    seen = set("".join(texts)) | {"\x03"}
+    for context in ("\x02\x02\x02", "bab", "xab", "zzz"):
+        total = sum(witten_bell(texts, 3, context, c) for c in seen) + (0x110000 - len(seen)) * witten_bell(texts, 3, context, "\u4e00")
+        assert math.isclose(total, 1.0, rel_tol=1e-9)
+
+
+def test_verdicts_are_the_models(spark):
+    """Against models and a threshold made here, from the same held-out fifth."""
+    rows = [(i, f"http://{'good' if i % 2 else 'bad'}{i}.{'com' if i % 2 else 'net'}/{'news' if i % 2 else 'es'}/{i * 7919 % 1000}") for i in range(200)]
+    rows += [(1000 + i, f"http://other{i}.org/{'news' if i % 2 else 'es'}/{i}") for i in range(20)] + [(1000, "http://other0.org/es/0"), (2000, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = urlfilter.judge(df, [urlfilter.parse(r) for r in URL_RULES], order=3).collect()
+    assert len(got) == len(rows)
+    hashes = {r["url"]: r["h"] for r in df.selectExpr("url", "xxhash64(url) AS h").distinct().collect()}
+    labelled = {u: brute_rule(u)[2][0] for _, u in rows if brute_rule(u)[2]}
+    kept = {v: [u for u, x in labelled.items() if x == v and hashes[u] % 5] for v in ("allow", "block")}
+    held = [(u, v) for u, v in labelled.items() if hashes[u] % 5 == 0]
+
+    def ratio(u):
+        if not u:
+            return 0.0
+        marked = "\x02" * 3 + u + "\x03"
+        return sum(math.log(witten_bell(kept["allow"], 3, marked[:i], marked[i]) / witten_bell(kept["block"], 3, marked[:i], marked[i])) for i in range(3, len(marked))) / (len(u) + 1)
+
+    ratios = {u: ratio(u) for u, _ in held}
+    errors = lambda cut: sum(ratios[u] < cut for u, v in held if v == "allow") / sum(v == "allow" for _, v in held) + sum(ratios[u] >= cut for u, v in held if v == "block") / sum(v == "block" for _, v in held)
+    cut = urlfilter.learn(spark.createDataFrame(list(labelled.items()), "url string, verdict string"), order=3).threshold
+    assert errors(cut) == min(errors(x) for x in [*ratios.values(), math.inf])
+    for r in got:
+        if r["rule"] is None:
+            assert math.isclose(r["ratio"], ratio(r["url"]), rel_tol=1e-9, abs_tol=1e-12) and r["verdict"] == ("allow" if r["ratio"] >= cut else "block")
 
 
 def test_no_pages(spark):

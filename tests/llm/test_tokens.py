@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -75,6 +76,41 @@ def test_files_have_indexes_and_bloom_filters(spark, corpus):
     assert "EqualTo(doc_id,7)" in plan
 
 
+def rows_scanned(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_a_search_reads_what_may_hold_the_document(spark):
+    path = scratch(spark, "test")
+    docs = spark.range(0, 120_000, 2).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    tokenfile.write_tokens(docs.coalesce(1), path, BYTE, end_id=2)
+    files = tokenfile.read_tokens(spark, path)
+    there = files.where("doc_id = 60000").select("doc_id")
+    assert there.count() == 1 and 0 < rows_scanned(there) <= 10_000  # a row group of the index
+    # odd ids lie within the bounds of every index: only the Bloom filters can tell
+    missing = [files.where(f"doc_id = {i}").select("doc_id") for i in (30_001, 50_001, 70_001, 90_001)]
+    assert sum(rows_scanned(m) for m in missing) <= 10_000
+    outside = files.where("doc_id = 10000000").select("doc_id")
+    assert rows_scanned(outside) == 0
+
+
+def test_a_hot_id_is_split(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).cast("bigint").alias("doc_id"), F.when(F.col("id") % 4 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    path = scratch(spark, "test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if they were large
+    tokenfile.write_tokens(docs.repartition(8), path, BYTE, end_id=2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = tokenfile.read_tokens(spark, path)
+    assert files.where("doc_id = 7").select("part").distinct().count() > 2
+    got = tokenfile.digest(files).orderBy("start", "n_tokens").collect()
+    assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got)
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def test_repeated_and_null_ids(spark):
     df = documents(spark, [(1, "b"), (1, "a"), (None, "z"), (1, "a")])
     path = scratch(spark, "test")
