@@ -556,6 +556,9 @@ class Visible(html.parser.HTMLParser):
         self.hidden += 1 if self.hidden or hides else 0
         self.parts.append(" " if tag in BREAKS else "")
 
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)  # only void elements are written so
+
     def handle_endtag(self, tag):
         self.hidden -= 1 if self.hidden else 0
         self.parts.append(" " if tag in BREAKS else "")
