@@ -549,25 +549,23 @@ class Visible(html.parser.HTMLParser):
         self.hidden, self.parts = 0, []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("br", "hr", "img", "meta", "link"):
-            self.parts.append(" ")
-            return
-        hides = tag in ("head", "script", "style", "template", "title", "noscript", "svg") or "hidden" in dict(attrs) or "none" in dict(attrs).get("style", "")
-        self.hidden += 1 if self.hidden or hides else 0
-        self.parts.append(" " if tag in BREAKS else "")
+        if tag not in ("br", "hr", "img", "meta", "link"):
+            hides = tag in ("head", "script", "style", "template", "title", "noscript", "svg") or "hidden" in dict(attrs) or "none" in dict(attrs).get("style", "")
+            self.hidden += 1 if self.hidden or hides else 0
+        self.parts.append(" " if not self.hidden and tag in BREAKS else "")  # what is hidden parts nothing
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # only void elements are written so
 
     def handle_endtag(self, tag):
+        self.parts.append(" " if not self.hidden and tag in BREAKS else "")
         self.hidden -= 1 if self.hidden else 0
-        self.parts.append(" " if tag in BREAKS else "")
 
     def handle_data(self, data):
         self.parts.append("" if self.hidden else data)
 
 
-BREAKS = {"p", "div", "td", "th", "tr", "table", "h1", "h2", "section", "blockquote", "dl", "dt", "dd", "pre", "html", "body", "article", "nav", "footer"}
+BREAKS = {"br", "hr", "img", "p", "div", "td", "th", "tr", "table", "h1", "h2", "section", "blockquote", "dl", "dt", "dd", "pre", "html", "body", "article", "nav", "footer"}
 PLAIN, BLOCKS = ["b", "i", "span", "a"], ["div", "h1", "h2", "section", "blockquote", "pre"]
 
 
