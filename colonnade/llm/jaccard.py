@@ -4,7 +4,7 @@ Jaccard distance (1 - similarity) is a metric.  A group of sets is joined by piv
 set goes to the Voronoi region of its nearest pivot, and also to every region whose pivot is
 at most 2r farther than that, r being the largest distance of a link; by the triangle
 inequality every linked pair meets in a region, and regions are joined in the same way until
-they are small.  Only components are wanted, so pairs already connected aren't compared.
+they are small, over the cluster first and then within a task.  Only components are wanted, so pairs already connected aren't compared.
 
 Sets of unrelated texts are nearly all at distance 1 from any pivot, so pivots alone would
 put the whole corpus into every region.  The groups therefore come from a filter that loses
@@ -149,11 +149,11 @@ class Region:
         has[mine] = False
         return out
 
-    def run(self) -> np.ndarray:
-        """Component root of each row."""
+    def run(self, inner: np.ndarray | None = None) -> np.ndarray:
+        """Component root of each row, by the links that ``inner`` rows (all if not given) have."""
         self._flag = np.zeros(int(self.tokens.max(initial=-1)) + 1, bool)
         rows = np.flatnonzero(self.sizes)
-        self._join(rows, np.ones(len(rows), bool), np.random.default_rng(len(rows)))
+        self._join(rows, np.ones(len(rows), bool) if inner is None else inner[rows], np.random.default_rng(len(rows)))
         return self.union.roots()
 
     def _link(self, pivot: int, rows: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -358,15 +358,12 @@ def candidates(docs: DataFrame, k: int, key: int, like: Likeness, count_bytes: i
     return sent.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, group boolean").groupBy("a", "b").agg(F.bool_or("group").alias("group"))
 
 
-def _by_pivots(rows: DataFrame, members: DataFrame, words: int, key: int, like: Likeness, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(sets still to be joined, links to pivots) of regions too large for a task.
+def _measured(rows: DataFrame, members: DataFrame, words: int, key: int, like: Likeness, pivots: int, turn: int = 0) -> DataFrame:
+    """(region, rep, d, linked): each set's distances to a few pivots of its region, and those it is linked with.
 
-    ``members``: region, rep, n.  Every set meets a few pivots of its region; those linked with
-    them, directly or through each other, are one component.  What is left to join are the sets
-    outside a region's largest component, and of that the ones that the triangle inequality leaves
-    within a link's distance of them, by the distances to all pivots.
+    ``members``: region, rep.
     """
-    picks = members.groupBy("region").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(pivots)])
+    picks = members.groupBy("region").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(turn * pivots + i))).alias(f"p{i}") for i in range(pivots)])
     picks = picks.select("region", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))).alias("rep"))
     given = rows.join(picks.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rep", "text"))).alias("pivots"))  # a few
     met = rows.join(members.select("region", "rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).join(given.hint("merge"), "region").select("region", "rep", "text", "pivots")
@@ -392,7 +389,18 @@ def _by_pivots(rows: DataFrame, members: DataFrame, words: int, key: int, like:
                     linked.append([p for p, ok in zip(ids, like.linked(common, len(own), sizes).tolist()) if ok and p != rep])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(distances, pa.list_(pa.float64())), pa.array(linked, pa.list_(pa.int64()))], names=["region", "rep", "d", "linked"])
 
-    dist = written(met.mapInArrow(measure, "region bigint, rep bigint, d array<double>, linked array<bigint>"), "distances")
+    return written(met.mapInArrow(measure, "region bigint, rep bigint, d array<double>, linked array<bigint>"), "distances")
+
+
+def _by_pivots(rows: DataFrame, members: DataFrame, words: int, key: int, like: Likeness, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(sets still to be joined, links to pivots) of regions too large for a task.
+
+    ``members``: region, rep, n.  Every set meets a few pivots of its region; those linked with
+    them, directly or through each other, are one component.  What is left to join are the sets
+    outside a region's largest component, and of that the ones that the triangle inequality leaves
+    within a link's distance of them, by the distances to all pivots.
+    """
+    dist = _measured(rows, members, words, key, like, pivots)
     tied = dist.select(F.col("rep").alias("u"), F.explode("linked").alias("v"))
     comp = connected_components(tied)
     label = dist.join(comp, F.col("rep") == F.col("node"), "left").select("region", "rep", "d", F.coalesce("component", "rep").alias("c"))
@@ -409,6 +417,56 @@ def _by_pivots(rows: DataFrame, members: DataFrame, words: int, key: int, like:
     return near.join(members.select("rep", "n"), "rep").select("region", "rep", "n"), tied
 
 
+def _by_size(members: DataFrame, like: Likeness) -> DataFrame:
+    """``members`` (region, rep, n, inner) dealt to classes of sizes so wide that linked sets are in one
+    or in two that adjoin; a set is also, not as an inner one, in the class above its own."""
+    width = -np.log(like.num / like.den) * (1 + 1e-9) + 1e-12
+    own = F.floor(F.log("n") / width)
+    there = F.explode(F.array(F.struct(own.alias("c"), F.col("inner")), F.struct((own + 1).alias("c"), F.lit(False).alias("inner")))).alias("x")
+    dealt = members.select("region", "rep", "n", there).select(F.xxhash64("region", "x.c").alias("region"), "rep", "n", "x.inner")
+    return dealt.join(dealt.where("inner").select("region").distinct(), "region", "left_semi")
+
+
+def _by_regions(rows: DataFrame, members: DataFrame, words: int, key: int, like: Likeness, most: int, turns: int = 6, pivots: int = 8) -> DataFrame:
+    """(region, rep, n, inner): regions of ``members`` (region, rep, n) cut until a task can hold them.
+
+    Regions of over ``most`` members of sets are cut by the sets' sizes, then turn by turn by pivots.  A set is
+    an inner one of its nearest pivot's region if that is at most 1 - 2r away, else of the region of what is far from all.
+    It stands also in each region that may hold an inner set it is linked with: where the
+    pivot is at most 2r farther than its nearest and 1 - r away, and, if its nearest is over 1 - 3r
+    away, in the far one.  So each link has an inner set in a region that holds both.  A region
+    stays whole where that saves too few comparisons for the sets it copies.
+    """
+    state = written(members.withColumn("inner", F.lit(True)).withColumn("whole", F.lit(False)), "regions")
+    r, slack = like.radius, 1e-9
+    for turn in range(turns + 1):
+        each = state.where("NOT whole").groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"), F.count_if("inner").alias("inners"))
+        large = written(each.where(F.col("total") > most).drop("total"), "large")
+        if not large.limit(1).count():
+            break
+        some = state.join(large, "region", "left_semi").drop("whole")
+        if turn == 0:
+            state = written(state.join(large, "region", "left_anti").unionByName(_by_size(some, like).withColumn("whole", F.lit(False))), "regions")
+            continue
+        dist = _measured(rows, some, words, key, like, pivots, turn).select("region", "rep", "d", F.array_min("d").alias("least")).join(some, ["region", "rep"])
+        far = F.col("least") > 1 - 2 * r
+        reach = F.least(F.col("least") + 2 * r, F.lit(1 - r)) + slack
+        near = F.transform("d", lambda x, i: F.struct(i.alias("at"), (F.col("inner") & ~far & (i + 1 == F.array_position("d", F.col("least")))).alias("inner"), (x <= reach).alias("there")))
+        apart = F.array(F.struct(F.lit(-1).alias("at"), (F.col("inner") & far).alias("inner"), (F.col("least") > 1 - 3 * r - slack).alias("there")))
+        parts = dist.select("region", "rep", "n", F.explode(F.filter(F.concat(near, apart), lambda x: x["there"])).alias("x"))
+        parts = parts.select("region", F.xxhash64("region", "x.at", F.lit(turn)).alias("part"), "rep", "n", "x.inner")
+        parts = written(parts, "parts")
+        of_part = parts.groupBy("region", "part").agg(F.count(F.lit(1)).alias("s"), F.count_if("inner").alias("i")).where("i > 0")
+        cut = of_part.groupBy("region").agg(F.sum("s").alias("s"), F.sum(F.col("s").cast("double") * F.col("i")).alias("work")).join(large, "region")
+        copies, work = F.col("s") / F.col("sets"), F.col("work") / F.col("sets") / F.col("inners")
+        cut = written(cut.where((copies * work <= 0.9) & (copies <= 1.5)).select("region"), "cut")
+        new = parts.join(cut, "region", "left_semi").join(of_part.select("part"), "part", "left_semi").select(F.col("part").alias("region"), "rep", "n", "inner")
+        old = state.join(cut, "region", "left_anti").join(large.select("region", F.lit(True).alias("stuck")), "region", "left")
+        old = old.select("region", "rep", "n", "inner", (F.col("whole") | F.col("stuck").isNotNull()).alias("whole"))
+        state = written(old.unionByName(new.withColumn("whole", F.lit(False))), "regions")
+    return state.drop("whole")
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, region_members: int = 1 << 20) -> DataFrame:
     """One row per document of ``docs`` (``doc_id``, ``text``): n_shingles, component_id.
 
@@ -436,15 +494,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     reps = members.groupBy("region", "n", "f0", "f1").agg(F.min("doc_id").alias("rep"))
     size = reps.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     large = size.where(F.col("total") > region_members).select("region")
-    joined, tied = reps.join(size.where(F.col("total") <= region_members), "region", "left_semi").select("region", "rep", "n"), None
+    joined, tied = reps.join(size.where(F.col("total") <= region_members), "region", "left_semi").select("region", "rep", "n", F.lit(True).alias("inner")), None
     if large.limit(1).count():
         near, tied = _by_pivots(rows, reps.join(large, "region", "left_semi"), words, key, like)
-        joined = joined.unionByName(near)
+        joined = joined.unionByName(_by_regions(rows, near, words, key, like, region_members))
     # what is still larger than a task should hold is joined block by block, in every pair of blocks
     blocks = joined.groupBy("region").agg(F.ceil(F.sum("n") / region_members).cast("int").alias("blocks"))
     todo = joined.join(blocks, "region").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    todo = todo.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("region", "rep", "blocks", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    texts = rows.join(todo.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("region", "i", "j", "own", "rep", "text")
+    todo = todo.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("region", "rep", "inner", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    texts = rows.join(todo.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("region", "i", "j", "own", "rep", "inner", "text")
 
     def region(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_numpy()
@@ -456,7 +514,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             sets += textops.shingle_sets(textops.Words(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x], lower=True), words, key)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         side = None if i == j else (table.column("own").to_numpy() == j).astype(np.int8)
-        root = Region(sets, like, side).run()
+        root = Region(sets, like, side).run(table.column("inner").to_numpy())
         moved = np.flatnonzero(root != np.arange(len(ids)))
         tidy()
         return pa.table({"u": pa.array(ids[moved]), "v": pa.array(ids[root[moved]])})

@@ -247,8 +247,8 @@ def test_chains(spark, seed, n, num, den):
     df = documents(spark, rows)
     want = brute_components(rows, n, num, den)
     assert components(df, n, num, den) == want
-    # regions that don't fit a task are joined block by block
-    assert components(df, n, num, den, region_members=300) == want
+    if seed == 0:  # regions that don't fit a task are cut, and joined block by block where they can't be
+        assert components(df, n, num, den, region_members=300) == want
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -275,6 +275,44 @@ def test_region_by_pivots(seed, monkeypatch):
     assert got.tolist() == up
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_regions_on_the_cluster_hold_every_link(spark, seed):
+    r = random.Random(seed)
+    texts = []
+    for g in range(16):
+        core = [f"g{g}w{i}" for i in range(r.choice([40, 40, 60]))]
+        for _ in range(20):
+            texts.append(" ".join(core[r.randrange(4) :] + [f"x{r.randrange(10**9)}" for _ in range(r.randrange(5))]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    like, sets = jaccard.Likeness(85, 100), [set(t.split()) for t in texts]
+    members = spark.createDataFrame([(7, i, len(s)) for i, s in enumerate(sets)], "region long, rep long, n long")
+    got = jaccard._by_regions(rows, members, 1, textops.fresh_key(), like, 2000).collect()
+    held, inner = {}, {}
+    for x in got:
+        held.setdefault(x["region"], set()).add(x["rep"])
+        if x["inner"]:
+            assert inner.setdefault(x["rep"], x["region"]) == x["region"]
+    assert len(inner) == len(texts)  # each is an inner set once
+    linked = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            c = len(sets[a] & sets[b])
+            if 100 * c >= 85 * (len(sets[a]) + len(sets[b]) - c):
+                linked += 1
+                assert b in held[inner[a]] or a in held[inner[b]]
+    compared = sum(len(held[inner[a]]) for a in range(len(texts)))
+    assert linked > 500 and compared < len(texts) ** 2 / 3 and len(got) < 3 * len(texts)
+
+
+@pytest.mark.parametrize(("n", "num"), [(1, 80), (2, 50)])
+def test_sets_that_pivots_cannot_part_stay_whole(spark, n, num):
+    r = random.Random(num)
+    rows = [(i, " ".join(r.sample([f"w{k}" for k in range(400)], 12)) if i % 3 else "one two three four five six") for i in range(90)]
+    rows += [(100 + i, " ".join(f"a{k} b{k}" for k in range(i % 5 + 20))) for i in range(60)]
+    df = documents(spark, rows)
+    assert components(df, n, num, 100, region_members=100) == brute_components(rows, n, num, 100)
+
+
 def test_small_table_loses_no_pair(spark):
     rows = near_copies(7, groups=6)
     df = documents(spark, rows).select("doc_id", "text")
