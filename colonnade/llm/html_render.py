@@ -5,8 +5,8 @@ may be left out, skips what isn't shown, and a renderer that sets blocks on line
 own, marks list items, and aligns the cells of tables in columns.
 
 Time and memory grow with a page's length, whatever is in it: elements that are open are
-found by their name, nothing recurses, indents end at ``MOST_INDENTS`` levels, and blanks that
-align tables are at most a few times the page (:class:`Room`).
+found by their name, nothing recurses, indents end at ``MOST_INDENTS`` levels, and cells are aligned as
+far as column ``MOST_COLUMNS``.  A table's layout depends on its cells alone, not on how long it or its page is.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ UNSCOPED = SECTIONS | {"table", "tr", "html", "body"}
 
 MOST_INDENTS = 32
 MOST_GRIDS = 16
+MOST_COLUMNS = 250
 
 #: Where markup begins; any other "<" is text.
 _MARK = re.compile(r"<(?:/?[a-zA-Z]|[!?]|/(?!\Z))")
@@ -275,18 +277,6 @@ class Renderer:
         return "\n".join(self.lines).strip("\n")
 
 
-class Room:
-    """Blanks that may still be spent on aligning a page's tables."""
-
-    def __init__(self, page: int):
-        self.blanks = 20_000 + 4 * page
-
-    def take(self, blanks: int) -> bool:
-        ok = blanks <= self.blanks
-        self.blanks -= blanks if ok else 0
-        return ok
-
-
 @dataclass(slots=True)
 class Cell:
     lines: list[str]
@@ -302,21 +292,23 @@ class Grid:
         self.rows: list[list[Cell]] = [[] for _ in range(rows)]
 
     def _place(self) -> None:
-        """Give each cell its first column.  Rows that cells span are counted unless that takes
-        millions of steps, as only a table made to does."""
-        spanned = sum(c.columns for row in self.rows for c in row if c.rows > 1)
-        spans = spanned * len(self.rows) <= 1 << 22
-        held: dict[int, int] = {}  # column -> the row before which it is taken
+        """Give each cell its first column: the next one that no cell of a row above reaches down to."""
+        held = np.empty((3, 0), np.int64)  # first column, column after the last, row before which they are taken
         for r, row in enumerate(self.rows):
-            at = 0
+            held = held[:, held[2] > r]
+            taken = _runs(held)
+            at = k = 0
             for c in row:
-                while held.get(at, 0) > r:
-                    at += 1
+                while k < len(taken) and taken[k][1] <= at:
+                    k += 1
+                if k < len(taken) and taken[k][0] <= at:
+                    at = taken[k][1]
                 c.start = at
-                if spans and c.rows > 1:
-                    for k in range(at, at + c.columns):
-                        held[k] = r + c.rows
                 at += c.columns
+            new = [(c.start, c.start + c.columns, r + c.rows) for c in row if c.rows > 1]
+            if new:
+                held = np.concatenate([held, np.array(new, np.int64).T], axis=1)
+                held = held[:, held[0].argsort(kind="stable")]
 
     def _offsets(self) -> dict[int, int]:
         """Where each column begins: two blanks after the widest of what ends before it."""
@@ -332,29 +324,24 @@ class Grid:
                 i += 1
         return offset
 
-    def render(self, out: Renderer, room: Room) -> None:
+    def render(self, out: Renderer) -> None:
+        """A line of a cell whose text would begin beyond ``MOST_COLUMNS`` stands two blanks after what is before it."""
         self._place()
         self.rows = [row for row in self.rows if any(any(c.lines) for c in row)]
         offset = self._offsets()
-        aligned = room.take(sum(offset[row[-1].start] * max(len(c.lines) for c in row) for row in self.rows))
         for row in self.rows:
-            if not aligned:
-                for c in row:
-                    for k, line in enumerate(c.lines):
-                        if k:
-                            out.line()
-                        if line:
-                            out.apart()
-                            out.now.append(line)
-                out.line()
-                continue
             k = 0
             while row:
                 parts, have = [], 0
                 for c in row:
-                    blanks = max(offset[c.start] - have, 2 if have else 0)
-                    parts.append(" " * blanks + c.lines[k])
-                    have += blanks + width(c.lines[k])
+                    text = c.lines[k]
+                    blanks = 2 if have else 0
+                    if offset[c.start] + len(text) - len(text.lstrip(" ")) <= MOST_COLUMNS:
+                        blanks = max(offset[c.start] - have, blanks)
+                    elif not text:
+                        continue
+                    parts.append(" " * blanks + text)
+                    have += blanks + width(text)
                 line = "".join(parts).rstrip()
                 if line:
                     out.now = [line]
@@ -363,6 +350,15 @@ class Grid:
                 row = [c for c in row if len(c.lines) > k]
 
 
+def _runs(held: np.ndarray) -> list[tuple[int, int]]:
+    """The columns that intervals, in the order of their beginnings, cover: runs with others between them."""
+    if not held.shape[1]:
+        return []
+    ends = np.maximum.accumulate(held[1])
+    first = np.append(True, held[0, 1:] > ends[:-1])
+    return list(zip(held[0, first].tolist(), ends[np.append(first[1:], True)].tolist()))
+
+
 def _span(node: Node, name: str) -> int:
     raw = node.attrs.get(name, "")
     return min(max(int(raw), 1), 1000) if re.fullmatch(r"\d{1,4}", raw) else 1
@@ -398,8 +394,7 @@ def _cells(row: Node) -> list[Node]:
 class Walk:
     """Renders a tree; ``todo`` holds the steps still to be done, so depth costs no recursion."""
 
-    def __init__(self, page: int):
-        self.room = Room(page)
+    def __init__(self) -> None:
         self.outs = [Renderer()]  # the page's, and one for each cell of a grid around this place
         self.todo: list[tuple[object, bool]] = []
 
@@ -501,7 +496,7 @@ class Walk:
             for into, row in zip(grid.rows, cells):
                 for c in row:
                     steps += [self._enter, *c.children, self._leave(into, c)]
-            steps.append(lambda: grid.render(out, self.room))
+            steps.append(lambda: grid.render(out))
         self._then([*steps, out.gap], False)
 
     def _enter(self) -> None:
@@ -520,7 +515,7 @@ def visible_text(page: str | None) -> str:
     """The text a reader sees; empty for a page that is null or shows none."""
     if not page:
         return ""
-    return Walk(len(page)).run(parse(page.replace("\x00", "�")))
+    return Walk().run(parse(page.replace("\x00", "�")))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

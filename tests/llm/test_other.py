@@ -541,6 +541,38 @@ def test_blanks_of_tables_are_bounded():
     assert html_render.visible_text("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f<tr><td colspan=2>long one<td>g</table>") == "ab        c\nd  e      f\nlong one  g"
 
 
+def test_layout_does_not_depend_on_the_length_of_a_page_or_table():
+    wide = "<table><tr><td>" + "w" * 100 + "<td>z" + "<tr><td>a<td>b" * 3000 + "</table>"
+    want = "\n".join(["w" * 100 + "  z", *["a" + " " * 101 + "b"] * 3000])
+    assert html_render.visible_text(wide) == html_render.visible_text(wide + "<!--" + "x" * 500_000 + "-->") == want
+    assert html_render.visible_text(wide * 3) == "\n\n".join([want] * 3)
+    assert html_render.visible_text("<table>" + "<tr><td rowspan=2>r<td>1<tr><td>2" * 1500) == "\n".join(["r  1\n   2"] * 1500)
+
+
+def test_cells_are_aligned_as_far_as_a_column():
+    last = html_render.MOST_COLUMNS
+    for w, blanks in ((last - 2, last - 1), (last - 1, 2)):  # the second column begins at w + 2
+        assert html_render.visible_text(f"<table><tr><td>{'w' * w}<td>z<tr><td>a<td>b") == "w" * w + "  z\na" + " " * blanks + "b"
+
+
+@given(st.lists(st.lists(st.tuples(st.integers(1, 4), st.integers(1, 4)), max_size=4), max_size=7))
+@settings(max_examples=300, deadline=None)
+def test_cells_have_the_columns_that_slots_give(spans):
+    grid = html_render.Grid(len(spans))
+    for row, own in zip(grid.rows, spans):
+        row += [html_render.Cell(["x"], columns, rows) for columns, rows in own]
+    grid._place()
+    slots = set()
+    for r, row in enumerate(grid.rows):
+        at = 0
+        for c in row:
+            while (r, at) in slots:
+                at += 1
+            assert c.start == at
+            slots |= {(r + i, at + k) for i in range(c.rows) for k in range(c.columns)}
+            at += c.columns
+
+
 class Visible(html.parser.HTMLParser):
     """Visible words of well-formed pages, by the standard library's parser."""
 
