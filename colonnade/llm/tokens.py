@@ -4,7 +4,7 @@ The ids are the ``tokenizers`` library's own: a text is cut only at single space
 line breaks between two non-white characters, where neither of the supported pre-tokenizers
 (byte-level with its usual pattern; word patterns that drop white space) can have a
 piece that crosses, so the pieces' ids joined are the text's ids.  A word of Latin-1
-letters, with full stops, commas or exclamation marks after it, is the two pieces the
+letters, with punctuation marks (``_MARKS``) after it, is the two pieces the
 patterns make of it, which the library's model encodes without the steps before it.
 """
 
@@ -18,7 +18,10 @@ import struct
 _WHITE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _WIDE_WHITE = "\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_MARKS = ".,!"
+#: No apostrophe, which may begin a piece with letters, and no "_", which word patterns count among letters.
+_MARKS = ".,!?;:$%&#*"
+#: Packs so many ids, of the usual words.
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,6 +42,7 @@ class _Words(dict):
         self.tok, self.model, self.before, self.lower, self.most = tok, tok.model, before, lower, most
         self.letters = _byte_letters()
         self.space = self.letters[32] if before else ""
+        self.tokenize, self.half = tok.model.tokenize, most // 2
         self.marks: dict[str, bytes] = {}
         self.seen = bytearray(1 << 21)
 
@@ -54,21 +58,24 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         base = word.rstrip(_MARKS)
         if base.isalpha() and (base.isascii() or max(base) <= "\xff"):
-            out = self.get(base) if len(base) < len(word) else None
+            marked = len(base) < len(word)
+            out = self.get(base) if marked else None
             if out is None:
                 piece = base.lower() if self.lower else base
                 if not piece.isascii():
                     piece = piece.encode().decode("latin-1").translate(self.letters)
-                ids = [t.id for t in self.model.tokenize(self.space + piece)]
-                out = struct.pack(f"<{len(ids)}I", *ids)
-            if len(base) < len(word):
+                ids = [t.id for t in self.tokenize(self.space + piece)]
+                out = _PACKS[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
+            if marked:
                 tail = word[len(base) :]
                 if tail not in self.marks:
+                    if len(self.marks) >= self.half:
+                        self.marks.clear()
                     self.marks[tail] = self.encode(tail)
                 out += self.marks[tail]
         else:
             out = self.encode(self.before + word)
-        if len(self) < self.most // 2:
+        if len(self) < self.half:
             self[word] = out
             return out
         h = hash(word) & 0xFFFFFF

@@ -65,6 +65,20 @@ def test_files_round_trip(spark, corpus):
         assert own == sorted(own)
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORD, False)])
+def test_marks_after_a_word_are_a_piece_of_their_own(path, spaced):
+    """Such words don't take the library's long way, and have its ids."""
+    cache, long_way = WordCache(path, spaced, lower=not spaced), []
+    encode = cache.inner.encode
+    cache.inner.encode = lambda text: long_way.append(text) or encode(text)
+    text = "a Word%%% é;!? one. two.$$$ and: more***, C# x&"
+    want = plain(path)(text)
+    assert cache.ids(text) == np.array(want, "<u4").tobytes()
+    assert not any(c.isalpha() for x in long_way for c in x)
+    for word in ("don't!", "it's;", "a_b_;", "'s#", "x'$", "9;:", "_.", "é\u0301;", "<|endoftext|>;"):
+        assert cache.ids("q " + word) == np.array(plain(path)("q " + word), "<u4").tobytes(), word
+
+
 def test_files_have_indexes_and_bloom_filters(spark, corpus):
     from pyarrow import orc
 
