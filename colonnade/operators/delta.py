@@ -63,10 +63,24 @@ def has_duplicate_keys(df: DataFrame, *keys: str) -> bool:
     return df.groupBy(*keys).count().where("count > 1").limit(1).count() > 0
 
 
+def with_nth(df: DataFrame, *keys: str, out: str = "nth") -> DataFrame:
+    """Add ``out``: each row's place, from 0, among the rows with its keys, in the order of its other values (maps aside).
+
+    Keys that repeat are distinct with it, so a change set by ``(*keys, out)`` tells such rows apart.
+    """
+    if not has_duplicate_keys(df, *keys):
+        return df.withColumn(out, F.lit(0).cast("bigint"))
+    rest = [f.name for f in df.schema.fields if f.name not in keys and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    rows = numbered(df, *keys, *rest, out="_rn")
+    first = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_rn").alias("_first"))
+    joined = rows.join(first, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_rn") - F.col("_first")).alias(out))
+
+
 def diff_keyed(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Change set by key: keys, op, changed (names of changed fields), new (the new row).
 
-    Keys must be distinct on both sides (see :func:`diff`).
+    Keys must be distinct on both sides (see :func:`diff` and :func:`with_nth`).
     """
     _check(old, new)
     joined = _sides(old, new, list(keys))

@@ -130,3 +130,47 @@ def test_changes_in_key_order(spark):
     old, new = (spark.createDataFrame(records(s, 20), SCHEMA) for s in (3, 4))
     rows = delta.ordered(delta.diff_keyed(old, new, "id"), "id").orderBy("place").collect()
     assert [r["id"] for r in rows] == sorted(r["id"] for r in rows) and [r["place"] for r in rows] == list(range(len(rows)))
+
+
+def bag(seed, n):
+    """Rows whose keys repeat, some of them whole."""
+    r = random.Random(seed)
+    return [(r.choice([None, *range(6)]), r.choice(["a", "b", None]), r.choice([0.0, -0.0, float("nan"), 1.5, None]), None, None) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_keys_that_repeat_are_told_apart(spark, seed):
+    rows = [spark.createDataFrame(bag(seed + s, n), SCHEMA) for s, n in ((0, 20), (10, 26), (20, 12))]
+    old, mid, new = (delta.with_nth(x.where("id IS NOT NULL"), "id") for x in rows)
+    keys = ("id", "nth")
+    assert not delta.has_duplicate_keys(mid, *keys)
+    first, second = delta.diff_keyed(old, mid, *keys), delta.diff_keyed(mid, new, *keys)
+    assert plain(delta.apply_changes(old, first, *keys).drop("nth")) == plain(rows[1].where("id IS NOT NULL"))
+    both = delta.append_changes(first, second, *keys)
+    assert plain(delta.apply_changes(old, both, *keys).drop("nth")) == plain(rows[2].where("id IS NOT NULL"))
+    assert plain(delta.with_nth(rows[0], "id").drop("nth")) == plain(rows[0])  # null keys stay
+    registry = delta.BaselineRegistry()
+    registry.register(old)
+    assert plain(registry.apply(delta.make_patch(old, mid, *keys)).drop("nth")) == plain(rows[1].where("id IS NOT NULL"))
+
+
+@pytest.fixture(scope="session")
+def million(spark, tmp_path_factory):
+    """Orders some of whose keys are those that the edited table adds."""
+    folder = tmp_path_factory.mktemp("million")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.unionByName(orders.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000)).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["d01_diff_keyed_changes", "d04_apply_roundtrip", "d15_baseline_registry", "d23_append_changes"])
+def test_added_keys_that_are_there(spark, million, name):
+    import duckdb
+
+    from colonnade.plans import catalogue
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{million}/orders.parquet/*.parquet'")
+    cursor = con.execute(catalogue.ORACLE[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(map(str, cursor.fetchall())) == sorted(str(tuple(r)) for r in catalogue.QUERIES[name](spark, million).select(*[f"`{c}`" for c in names]).collect())
