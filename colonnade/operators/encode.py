@@ -209,14 +209,18 @@ def nullable_join(mask: DataFrame, dense: DataFrame, column: str, rn: str = "rn"
 
 
 def byte_planes(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    """(rn, hi, lo): the two bytes of a 16-bit integer."""
-    v = F.col(column).cast("bigint").bitwiseAND(F.lit(0xFFFF))
-    return df.select(rn, F.shiftright(v, 8).alias("hi"), v.bitwiseAND(F.lit(0xFF)).alias("lo"))
-
-
-def from_byte_planes(encoded: DataFrame, column: str, rn: str = "rn") -> DataFrame:
-    v = F.col("hi") * 256 + F.col("lo")
-    return encoded.select(rn, F.when(v >= 32768, v - 65536).otherwise(v).alias(column))
+    """(rn, planes): as many bytes of an integer as its type has, the highest first; null for null."""
+    width = {"tinyint": 1, "smallint": 2, "int": 4}.get(df.schema[column].dataType.simpleString(), 8)
+    v = _bits(df, column)
+    planes = F.array(*[F.shiftright(v, 8 * i).bitwiseAND(F.lit(0xFF)).cast("smallint") for i in reversed(range(width))])
+    return df.select(rn, F.when(v.isNotNull(), planes).alias("planes"))
+
+
+def from_byte_planes(encoded: DataFrame, column: str, rn: str = "rn", unsigned: bool = False) -> DataFrame:
+    # the highest byte has the sign
+    sign = F.when(F.col("planes")[0] >= 128, F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+    v = F.aggregate("planes", sign, lambda a, x: F.shiftleft(a, 8).bitwiseOR(x.cast("bigint")))
+    return encoded.select(rn, _value(v, unsigned).alias(column))
 
 
 # Floats

@@ -241,3 +241,13 @@ def test_move_to_front_over_blocks(spark, rows, kinds):
     assert back(e, "rank") == want
     firsts = e.where("rank IS NULL").join(df, "rn").select("rn", F.col("v").alias("value"))
     assert back(E.move_to_front_decode(e, firsts, "v", rows=rows)) == values
+
+
+def test_byte_planes_of_any_width(spark):
+    for kind, bits in (("smallint", 16), ("int", 32), ("bigint", 64)):
+        values = [0, -1, None, 1, 300, -300, 2 ** (bits - 1) - 1, -(2 ** (bits - 1)), 2 ** (bits - 2) + 77]
+        planes = E.byte_planes(column(spark, values, kind), "v")
+        assert planes.first()["planes"] == [0] * (bits // 8) and back(E.from_byte_planes(planes, "v")) == values
+    values = [0, 2**64 - 1, 2**63]
+    df = column(spark, [Decimal(v) for v in values], "decimal(20,0)")
+    assert [int(v) for v in back(E.from_byte_planes(E.byte_planes(df, "v"), "v", unsigned=True))] == values
