@@ -38,15 +38,24 @@ def _wrapped(x: Column) -> Column:
     return F.when(low >= F.lit("9223372036854775808").cast(_DECIMAL), low - F.lit(_TWO_64).cast(_DECIMAL)).otherwise(low).cast("bigint")
 
 
+def low_half(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def from_halves(lo: Column, hi: Column) -> Column:
+    """hi * 2^32 + lo modulo 2^64, of sums and differences of halves."""
+    return F.shiftleft(hi + F.shiftright(lo, 32), 32).bitwiseOR(low_half(lo))
+
+
 def wrapping_sub(a: Column, b: Column) -> Column:
-    """a - b of 64-bit integers modulo 2^64; only a difference that overflows goes through decimals."""
+    """a - b of 64-bit integers modulo 2^64, by halves: an overflow that is caught costs an exception for each row."""
     a, b = a.cast("bigint"), b.cast("bigint")
-    return F.coalesce(F.try_subtract(a, b), _wrapped(a.cast(_DECIMAL) - b.cast(_DECIMAL)))
+    return from_halves(low_half(a) - low_half(b), F.shiftrightunsigned(a, 32) - F.shiftrightunsigned(b, 32))
 
 
 def wrapping_add(a: Column, b: Column) -> Column:
     a, b = a.cast("bigint"), b.cast("bigint")
-    return F.coalesce(F.try_add(a, b), _wrapped(a.cast(_DECIMAL) + b.cast(_DECIMAL)))
+    return from_halves(low_half(a) + low_half(b), F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32))
 
 
 def uint_bits(x: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..errors import InvalidPatchError, UnsupportedError
 from ..functions.scalar import bit_length, common_prefix, common_suffix, from_uint_bits, index_width, uint_bits, varint_length, wrapping_add, wrapping_sub, zigzag
 from ..schema import UINT64
-from .order import numbered, with_previous, with_previous_of, with_running_sum
+from .order import numbered, with_previous, with_previous_of, with_running_sum, with_wrapping_sum
 
 BLOCK = 256
 ANCHOR = 64
@@ -69,8 +69,7 @@ def delta_encode(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:
 
 
 def delta_decode(encoded: DataFrame, column: str, rn: str = "rn", unsigned: bool = False) -> DataFrame:
-    total = with_running_sum(encoded, F.col("delta").cast("decimal(38,0)"), "_total", rn)  # fits 10^19 rows
-    return total.select(rn, _value(uint_bits(F.col("_total")), unsigned).alias(column))
+    return with_wrapping_sum(encoded, "delta", "_total", rn).select(rn, _value(F.col("_total"), unsigned).alias(column))
 
 
 def delta_frame_encode(df: DataFrame, column: str, rn: str = "rn") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import from_halves, low_half, wrapping_add
 from ..storage import written
 
 CHUNK = 65_536
@@ -49,6 +50,18 @@ def with_running_sum(df: DataFrame, value: Column | str, out: str, rn: str = "rn
     return c.join(before, "_chunk").withColumn(out, F.sum("_v").over(w) + F.col("_b")).drop("_chunk", "_v", "_b")
 
 
+def with_wrapping_sum(df: DataFrame, value: str, out: str, rn: str = "rn") -> DataFrame:
+    """As :func:`with_running_sum`, of 64-bit integers modulo 2^64: their halves are summed apart, a chunk's sums of them have 48 bits."""
+    c = _chunked(df, rn).withColumn("_lo", low_half(F.col(value))).withColumn("_hi", F.shiftrightunsigned(value, 32))
+    totals = c.groupBy("_chunk").agg(from_halves(F.sum("_lo"), F.sum("_hi")).alias("_t"))
+    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    before = totals.select("_chunk", from_halves(F.coalesce(F.sum(low_half(F.col("_t"))).over(earlier), zero), F.coalesce(F.sum(F.shiftrightunsigned("_t", 32)).over(earlier), zero)).alias("_b"))
+    w = Window.partitionBy("_chunk").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.join(before, "_chunk").withColumn("_lo", F.sum("_lo").over(w)).withColumn("_hi", F.sum("_hi").over(w))
+    return c.withColumn(out, wrapping_add(from_halves(F.col("_lo"), F.col("_hi")), F.col("_b"))).drop("_chunk", "_lo", "_hi", "_b")
+
+
 def with_previous_of(df: DataFrame, group: str, value: str, out: str, rn: str = "rn") -> DataFrame:
     """Add ``out``: ``value`` in the last row before this one with the same ``group`` (nulls are a group).
 

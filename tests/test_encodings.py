@@ -251,3 +251,19 @@ def test_byte_planes_of_any_width(spark):
     values = [0, 2**64 - 1, 2**63]
     df = column(spark, [Decimal(v) for v in values], "decimal(20,0)")
     assert [int(v) for v in back(E.from_byte_planes(E.byte_planes(df, "v"), "v", unsigned=True))] == values
+
+
+def test_wrapping_raises_nothing(spark, monkeypatch):
+    r = random.Random(3)
+    edge = [0, 1, -1, 2**31, 2**32, -(2**32), 2**63 - 1, -(2**63)]
+    pairs = [(a, b) for a in edge for b in edge] + [(r.randrange(-(2**63), 2**63), r.randrange(-(2**63), 2**63)) for _ in range(100)] + [(None, 1), (1, None)]
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(pairs, "a bigint, b bigint").select("a", "b", scalar.wrapping_sub(a, b).alias("sub"), scalar.wrapping_add(a, b).alias("add"))
+    for x, y, sub, add in got.collect():
+        assert (sub, add) == ((None, None) if x is None or y is None else (wrap(x - y), wrap(x + y)))
+    assert "try_" not in got._jdf.queryExecution().toString()  # each overflow that is caught would cost an exception
+    monkeypatch.setattr(order, "CHUNK", 8)
+    values = [x for x, _ in pairs[:-2]]
+    sums = back(order.with_wrapping_sum(column(spark, values, "bigint"), "v", "total"), "total")
+    assert sums == [wrap(sum(values[: i + 1])) for i in range(len(values))]
