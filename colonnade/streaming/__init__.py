@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,6 +19,9 @@ from ..errors import BaselineRequiredError, InvalidPatchError
 from ..operators.delta import DELETE
 from ..operators.order import numbered, with_running_sum
 
+BUCKETS = 256
+_SLICE = 16_384
+_MESSAGE = pa.schema([("seq", pa.int64()), ("value", pa.string()), ("reset", pa.bool_())])
 MESSAGES = "stream_id bigint, seq bigint, value string, reset boolean"
 
 
@@ -43,18 +48,20 @@ def encode_dictionary(stream: DataFrame) -> DataFrame:
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         values = list(state.get[0]) if state.exists else []
         ids = {v: i for i, v in enumerate(values)}
-        rows = pd.concat(pdfs).sort_values("seq")
-        out = []
-        for seq, value, reset in zip(rows["seq"], rows["value"], rows["reset"]):
-            if reset is True or reset == True:  # noqa: E712  a numpy truth value
-                values, ids = [], {}
-            new = value not in ids
-            if new:
-                ids[value] = len(values)
-                values.append(value)
-            out.append((key[0], int(seq), ids[value], value if new else None))
+        # texts as Arrow has them, not an object for each message
+        rows = pa.concat_tables([pa.Table.from_pandas(p[["seq", "value", "reset"]], _MESSAGE, preserve_index=False) for p in pdfs]).sort_by("seq")
+        for b in rows.to_batches(_SLICE):
+            out = []
+            for seq, value, reset in zip(*(c.to_pylist() for c in b.columns)):
+                if reset:
+                    values, ids = [], {}
+                new = value not in ids
+                if new:
+                    ids[value] = len(values)
+                    values.append(value)
+                out.append((key[0], seq, ids[value], value if new else None))
+            yield pd.DataFrame(out, columns=["stream_id", "seq", "id", "value"])
         state.update((values,))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "id", "value"])
 
     return stream.groupBy("stream_id").applyInPandasWithState(step, "stream_id bigint, seq bigint, id bigint, value string", "vals array<string>", "append", GroupStateTimeout.NoTimeout)
 
@@ -73,8 +80,10 @@ def decode_dictionary(encoded: DataFrame) -> DataFrame:
 
 
 def apply_patch_stream(stream: DataFrame) -> DataFrame:
-    """(entity, seq, version, value): state of each entity after each patch of a stream; a task holds an
-    entity's patches of one micro-batch.
+    """(entity, seq, version, value): state of each entity after each patch of a stream.
+
+    Entities are dealt to ``BUCKETS``, as each call and each state has its price; a task holds a bucket's
+    patches of one micro-batch, and its entities' versions.
 
     Patches: entity, seq, op (insert, update, delete), base (the version it is for; null for an
     insert), value.  A patch for a version other than the entity's is an error, one without
@@ -82,17 +91,29 @@ def apply_patch_stream(stream: DataFrame) -> DataFrame:
     """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, value = state.get if state.exists else (0, None)
-        out = []
-        rows = pd.concat(pdfs).sort_values("seq")
-        for seq, op, base, new in zip(rows["seq"], rows["op"], rows["base"], rows["value"]):
-            if version and pd.isna(base):
-                raise BaselineRequiredError(f"entity {key[0]}, message {seq}")
-            if (0 if pd.isna(base) else int(base)) != version:
-                raise InvalidPatchError(f"entity {key[0]}, message {seq}: for version {base}, not {version}")
-            version, value = version + 1, None if op == DELETE else new
-            out.append((key[0], int(seq), version, value))
-        state.update((version, value))
-        yield pd.DataFrame(out, columns=["entity", "seq", "version", "value"])
-
-    return stream.groupBy("entity").applyInPandasWithState(step, "entity bigint, seq bigint, version bigint, value string", "version bigint, value string", "append", GroupStateTimeout.NoTimeout)
+        versions = dict(zip(*state.get)) if state.exists else {}
+        null = pd.isna(key[0])
+        rows = pd.concat(pdfs)
+        rows = rows.sort_values("seq") if null else rows.sort_values(["entity", "seq"])
+        code, entities = (np.zeros(len(rows), np.int64), [None]) if null else pd.factorize(rows["entity"])
+        seq, base = rows["seq"].to_numpy(), rows["base"].to_numpy(np.float64)
+        entities = [None if e is None else int(e) for e in entities]
+        first = np.searchsorted(code, np.arange(len(entities)))  # codes ascend
+        before = np.array([versions.get(e, 0) for e in entities], np.int64)[code] + np.arange(len(code)) - first[code]
+        absent = np.isnan(base)
+        bad = np.where(absent, before > 0, base != before)
+        if bad.any():
+            i = int(bad.argmax())
+            at = f"entity {entities[code[i]]}, message {seq[i]}"
+            if absent[i]:
+                raise BaselineRequiredError(at)
+            raise InvalidPatchError(f"{at}: for version {base[i]:.0f}, not {before[i]}")
+        last = np.append(first[1:], len(code)) - 1
+        versions.update(zip(entities, (before[last] + 1).tolist()))
+        state.update((list(versions), list(versions.values())))
+        # an integer column with a null would be one of floats
+        entity = pd.Series([None] * len(rows), dtype="Int64") if null else rows["entity"].to_numpy()
+        yield pd.DataFrame({"entity": entity, "seq": seq, "version": before + 1, "value": np.where(rows["op"] == DELETE, None, rows["value"])})
+
+    bucket = F.when(F.col("entity").isNotNull(), F.pmod(F.xxhash64("entity"), F.lit(BUCKETS)))
+    return stream.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(step, "entity bigint, seq bigint, version bigint, value string", "entities array<bigint>, versions array<bigint>", "append", GroupStateTimeout.NoTimeout)

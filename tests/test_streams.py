@@ -1,6 +1,7 @@
 """State that outlives micro-batches, resets, and patches that don't fit."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from colonnade import streaming
 from colonnade.sources import shared_folder
@@ -46,3 +47,36 @@ def test_patches(spark, tmp_path):
 def test_patch_for_another_version_stops_the_stream(spark, tmp_path, bad):
     with pytest.raises(Exception, match="entity 7"):
         drained(spark, tmp_path, [[(7, 0, "insert", None, "x")], [bad]], PATCHES, streaming.apply_patch_stream)
+
+
+def test_patches_of_a_bucket(spark, tmp_path, monkeypatch):
+    """A call has many entities of a stream, null among them, and all patches of a micro-batch; each entity has its versions."""
+    import random
+
+    r, versions, batches, seq = random.Random(1), {}, [], 0
+    for _ in range(3):
+        rows = []
+        for _ in range(60):
+            e = r.choice([None, -1, 0, 2**60 + 1, 2**60 + 2, *range(5, 20)])
+            rows.append((e, seq, "update" if e in versions else "insert", versions.get(e), r.choice("xyz")))
+            versions[e] = versions.get(e, 0) + 1
+            seq += 1
+        batches.append(rows)
+    monkeypatch.setattr(streaming, "BUCKETS", 2)
+    got = drained(spark, tmp_path, batches, PATCHES, streaming.apply_patch_stream).collect()
+    assert sorted((g["seq"], g["entity"], g["version"], g["value"]) for g in got) == [(q, e, (b or 0) + 1, v) for x in batches for e, q, _, b, v in x]
+
+
+def test_output_comes_in_slices(spark, tmp_path, monkeypatch):
+    """A stream's output isn't held whole, and more micro-batches take what a task's share would outgrow."""
+    from colonnade.plans import catalogue
+
+    monkeypatch.setattr(streaming, "_SLICE", 3)
+    monkeypatch.setattr(catalogue, "BATCH_ROWS", 20)
+    rows = spark.range(100).select(F.lit(0).cast("bigint").alias("stream_id"), F.col("id").alias("seq"), (F.col("id") % 7).cast("string").alias("value"), (F.col("id") == 50).alias("reset"))
+    got = catalogue._drained(spark, rows, "seq", streaming.MESSAGES, streaming.encode_dictionary)
+    assert [(g["id"], g["value"]) for g in got.orderBy("seq").collect()] == [((i - 50 * (i >= 50)) % 7, str(i % 7) if i % 50 < 7 else None) for i in range(100)]
+    import glob
+
+    path = got.inputFiles()[0].removeprefix("file://").rsplit("/out/", 1)[0]
+    assert len([x for x in glob.glob(f"{path}/log/commits/*") if x.rsplit("/", 1)[1].isdigit()]) == 5
