@@ -7,9 +7,10 @@ in their own encodings, so these are for analysis, shipping, and choosing.
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -645,14 +646,15 @@ def move_to_front_decode(encoded: DataFrame, firsts: DataFrame, column: str, rn:
 def _count_symbols(texts: Iterator[bytes], table: list[bytes], longest: int) -> Counter[bytes]:
     """Occurrences of what ``table`` cuts the texts to, and of neighbours put together."""
     counts: Counter[bytes] = Counter()
-    by = _by_first(table)
+    pairs: Counter[tuple[bytes, bytes]] = Counter()
+    cut = _cutter(table)
     for t in texts:
-        last = b""
-        for s in _cut_symbols(t, by):
-            counts[s] += 1
-            if last and len(last) + len(s) <= longest:
-                counts[last + s] += 1
-            last = s
+        tokens = cut(t)
+        counts.update(tokens)
+        pairs.update(zip(tokens, tokens[1:]))
+    for (a, b), n in pairs.items():
+        if len(a) + len(b) <= longest:
+            counts[a + b] += n
     return counts
 
 
@@ -670,19 +672,18 @@ def train_symbols(texts: list[bytes], rounds: int = 5, most: int = 255, longest:
     return table
 
 
-def _by_first(table: list[bytes]) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for s in sorted(table, key=lambda s: (-len(s), s)):
-        out.setdefault(s[0], []).append(s)
-    return out
+def _cutter(table: list[bytes]) -> Callable[[bytes], list[bytes]]:
+    """Cuts bytes to the longest symbols at each place, single bytes where there is none."""
+    rest: dict[int, list[bytes]] = {}
+    for s in sorted(table, key=lambda s: -len(s)):
+        rest.setdefault(s[0], []).append(s[1:])
+    each = [re.escape(bytes([c])) + b"(?:" + b"|".join([*map(re.escape, r), b""]) + b")" for c, r in rest.items()]
+    return re.compile(b"|".join([*each, b"."]), re.DOTALL).findall
 
 
-def _cut_symbols(text: bytes, by: dict[int, list[bytes]]) -> Iterator[bytes]:
-    at = 0
-    while at < len(text):
-        s = next((s for s in by.get(text[at], ()) if text.startswith(s, at)), text[at : at + 1])
-        yield s
-        at += len(s)
+def _spread(df: DataFrame) -> DataFrame:
+    """A small file is one partition, whatever its rows cost in Python."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def train_symbol_table(df: DataFrame, column: str, rounds: int = 5, most: int = 255, longest: int = 8) -> list[bytes]:
@@ -693,7 +694,7 @@ def train_symbol_table(df: DataFrame, column: str, rounds: int = 5, most: int =
     their sums reach the driver.
     """
     table: list[bytes] = []
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("binary").alias("v"))
+    values = _spread(df.where(F.col(column).isNotNull()).select(F.col(column).cast("binary").alias("v")))
     for _ in range(rounds):
 
         def count(batches: Iterator[pa.RecordBatch], table: list[bytes] = table) -> Iterator[pa.RecordBatch]:
@@ -744,30 +745,25 @@ class SymbolTable:
 
 def symbol_encode(df: DataFrame, column: str, table: list[bytes], out: str = "packed") -> DataFrame:
     """Add ``out``: a byte for each symbol, 255 before a byte that no symbol covers; null for null."""
-    code = {s: i for i, s in enumerate(table)}
-    by = _by_first(table)
+    code = {bytes([c]): bytes([255, c]) for c in range(256)} | {s: bytes([i]) for i, s in enumerate(table)}
+    cut = _cutter(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
             for t in b.column(b.schema.get_field_index(column)).to_pylist():
-                got.append(None if t is None else b"".join(bytes([code[s]]) if s in code else b"\xff" + s for s in _cut_symbols(t.encode(), by)))
+                got.append(None if t is None else b"".join(map(code.__getitem__, cut(t.encode()))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return _spread(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def symbol_decode(df: DataFrame, packed: str, table: list[bytes], out: str) -> DataFrame:
+    text = {bytes([255, c]): bytes([c]) for c in range(256)} | {bytes([i]): s for i, s in enumerate(table)}
+    cut = re.compile(rb"\xff.|.", re.DOTALL).findall
+
     def back(raw: bytes) -> str:
-        parts, at = [], 0
-        while at < len(raw):
-            if raw[at] == 255:
-                parts.append(raw[at + 1 : at + 2])
-                at += 2
-            else:
-                parts.append(table[raw[at]])
-                at += 1
-        return b"".join(parts).decode()
+        return b"".join(map(text.__getitem__, cut(raw))).decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -267,3 +267,17 @@ def test_wrapping_raises_nothing(spark, monkeypatch):
     values = [x for x, _ in pairs[:-2]]
     sums = back(order.with_wrapping_sum(column(spark, values, "bigint"), "v", "total"), "total")
     assert sums == [wrap(sum(values[: i + 1])) for i in range(len(values))]
+
+
+def test_symbols_are_cut_greedily_by_many_tasks(spark):
+    texts = [s.encode() for s in STRINGS if s is not None] + [bytes(range(256)), b"a.b|c\n" * 5, b"\xff\xff"]
+    table = E.train_symbols(texts)
+    for t in texts:
+        want, at = [], 0
+        while at < len(t):
+            want.append(max((s for s in [*table, t[at : at + 1]] if t.startswith(s, at)), key=len))
+            at += len(want[-1])
+        assert E._cutter(table)(t) == want
+    small = column(spark, ["Customer#0001", "Customer#0002"] * 50, "string").coalesce(1)
+    packed = E.symbol_encode(small, "v", E.train_symbol_table(small, "v"))
+    assert packed.select(F.spark_partition_id().alias("p")).distinct().count() > 1
